@@ -1,0 +1,98 @@
+"""Joins and ordered windows whose work stays spread when one key holds much of the data."""
+
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+
+# A key with more than 1/SALTS of all rows is split in SALTS parts.
+SALTS = 64
+
+# A group of more rows than this is cut along time before it is sorted.
+HOT_ROWS = 5_000_000
+MAX_SLICES = 10_000
+
+
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether ``df``, as measured by running it, is small enough to send to every executor.
+
+    At most ``max_rows + 1`` rows are looked at, so the check itself is bounded.
+    """
+    width = F.octet_length(F.to_json(F.struct("*")))
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return size.n <= max_rows and (size.bytes or 0) <= max_bytes
+
+
+def join_lookup(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    *,
+    salt_by: str,
+    fits: bool | None = None,
+) -> DataFrame:
+    """Equi-join of many ``rows`` with a ``lookup`` that is usually small.
+
+    A lookup that was measured to be small is broadcast, so ``rows`` are not shuffled.
+    Otherwise both sides are shuffled. Fewer than ``SALTS`` keys can each hold more than
+    1/SALTS of the rows; those rows are dealt out by a hash of ``salt_by``, and the lookup
+    rows of those keys, and of no others, are repeated for every part.
+    ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    """
+    if fits is None:
+        fits = fits_broadcast(lookup)
+    if fits:
+        return rows.join(F.broadcast(lookup), on, how)
+
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*")).scalar()
+    hot = counts.where(F.col("_n") * SALTS > total).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).otherwise(F.lit(0))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt.cast("int"))
+    repeated = lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(parts))
+    joined = dealt.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how)
+    return joined.drop("_salt")
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+
+
+def cut_hot_groups(
+    df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, bool]:
+    """Add ``slice``: -1 for ordinary groups, a rising number along ``ts`` in large ones.
+
+    Groups of more than ``hot_rows`` rows are cut at quantiles of ``ts`` taken over all their
+    rows, so a (key, slice) pair holds about ``hot_rows`` rows however they lie in time. Only
+    the cut points, at most ``MAX_SLICES`` numbers, come to the driver. Rows of one group with
+    one and the same ``ts`` share a slice. The flag says whether any group was cut.
+    """
+    hot = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    found = hot.agg(F.count("*").alias("groups"), F.sum("_n").alias("rows")).first()
+    if not found.groups:
+        return df.withColumn("slice", F.lit(-1)), False
+
+    n = min(MAX_SLICES, math.ceil(found.rows / hot_rows) + 1)
+    hot = hot.select(key, F.lit(True).alias("_hot"))
+    if found.groups <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    marked = df.join(hot, key, "left").withColumn("_at", _micros(ts))
+    cuts = marked.where("_hot").agg(
+        F.percentile_approx("_at", [i / n for i in range(1, n)], 10 * n).alias("at")
+    )
+    edges = [-math.inf, *sorted(set(cuts.first().at)), math.inf]
+    cutter = Bucketizer(splits=edges, inputCol="_at", outputCol="_slice", handleInvalid="keep")
+    sliced = cutter.transform(marked)
+    slice_no = F.when(F.col("_hot"), F.col("_slice").cast("int")).otherwise(F.lit(-1))
+    return sliced.withColumn("slice", slice_no).drop("_hot", "_at", "_slice"), True
