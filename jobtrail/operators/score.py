@@ -62,7 +62,7 @@ def blend_scores(kw: DataFrame, vec: DataFrame, w_kw: float, w_vec: float) -> Da
     """``w_kw * kw / max(kw) of the profile + w_vec * vec``; a missing part counts 0.
 
     The maxima are grouped first and joined back: a window per profile would sort all of a
-    profile's roles in one task.
+    profile's roles in one task. ``kw`` is read more than once, so hand in a stored table.
     """
     kw = kw.select("profile_id", "role_id", F.col("score").alias("kw"))
     vec = vec.select("profile_id", "role_id", F.col("score").alias("vec"))

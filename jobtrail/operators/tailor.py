@@ -45,12 +45,13 @@ def coverage_gap(roles: DataFrame, chosen: DataFrame, fragments: DataFrame) -> D
         .agg(F.flatten(F.collect_list("line")).alias("held"))
     )
     needs = roles.select("role_id", distinct_words(F.col("text")).alias("needs"))
-    covered = F.coalesce(F.size(F.array_intersect("needs", "held")), F.lit(0))
+    needed = F.coalesce(F.array_size("needs"), F.lit(0))
+    covered = F.coalesce(F.array_size(F.array_intersect("needs", "held")), F.lit(0))
     return (
         needs.join(held, "role_id", "left")
         .select(
             "role_id",
-            F.size("needs").cast("bigint").alias("needed"),
+            needed.cast("bigint").alias("needed"),
             covered.cast("bigint").alias("covered"),
         )
         .withColumn("missing", F.col("needed") - F.col("covered"))

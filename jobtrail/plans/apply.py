@@ -2,19 +2,30 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtrail.operators import application_payload, apply_queue, top_roles
+from jobtrail.operators import (
+    application_payload,
+    apply_queue,
+    assemble_resume,
+    rank_fragments,
+    top_roles,
+)
 from jobtrail.plans import inputs
 from jobtrail.plans import score as score_plans
 from jobtrail.plans import tailor as tailor_plans
-from jobtrail.sources import new_folder, read_outbox, write_outbox
+from jobtrail.sources import new_folder, read_outbox, stored, write_outbox
+
+# Roles to apply for, per search.
+K = 100
+
+OUTBOX_SCHEMA = "profile_id string, role_id bigint, channel string, payload string, batch bigint"
 
 # The applicant's answers to form fields.
 FIELDS = {"name": "A. Applicant", "phone": "000", "start": "at once"}
 
 
 def chosen(spark: SparkSession, folder: str) -> DataFrame:
-    """The best roles of each profile, with the source each came from."""
-    top = top_roles(score_plans.by_keywords(spark, folder), score_plans.K)
+    """The best roles of each search, with the source each came from."""
+    top = top_roles(score_plans.by_keywords(spark, folder), K)
     sources = inputs.roles(spark, folder).select("role_id", "source")
     return top.select("profile_id", "role_id").join(sources, "role_id")
 
@@ -26,24 +37,24 @@ def queue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    return application_payload(
-        queue(spark, folder), tailor_plans.resumes(spark, folder), FIELDS
-    )
+    """Resumes are tailored to the queued roles only."""
+    queued = stored(queue(spark, folder), "queue")
+    roles = inputs.roles(spark, folder).join(queued.select("role_id").distinct(), "role_id", "left_semi")
+    fragments = inputs.fragments(spark, folder)
+    ranked = rank_fragments(roles, fragments, tailor_plans.K)
+    return application_payload(queued, assemble_resume(roles, ranked, fragments), FIELDS)
 
 
 def outbox(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the payloads as one batch, and once more as a re-run would; read the outbox."""
     out = new_folder(spark, "outbox")
-    batch = payloads(spark, folder)
-    for _ in range(2):
-        write_outbox(batch, out, batch=0)
-    return read_outbox(spark, out)
+    write_outbox(payloads(spark, folder), out, batch=0)
+    return read_outbox(spark, out, OUTBOX_SCHEMA)
 
 
 QUERIES = {"apply_queue": queue, "application_payload": payloads, "write_outbox": outbox}
 
-_QUEUE = f"""{score_plans._KEYWORDS},
-    chosen AS ({score_plans._TOP.format(scores="kw")}),
+_QUEUE = f"""{score_plans._ITEMS}, {score_plans._KEYWORDS},
+    chosen AS ({score_plans._TOP.format(scores="kw", k=K)}),
     queue AS (SELECT profile_id, role_id, source,
                      CASE WHEN source IN ('src1', 'src2') THEN 'email' ELSE 'form' END AS channel
               FROM chosen JOIN documents ON doc_id = role_id

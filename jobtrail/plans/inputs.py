@@ -7,13 +7,18 @@ resume fragments, and events are the log, with the user as the application.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.sources import read_table, scan_pages
+from jobtrail.sources import read_table, scan_pages, spread
 
 # Stages of an application, as the log spells them.
 SENT = "signup"
 ANSWER = "purchase"
 
 
+def crawled(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages, laid out for work on their html."""
+    return spread(scan_pages(spark, folder), "page_id")
+
+
 def previous_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The crawl before: pages announced by the feed were not there yet."""
     return scan_pages(spark, folder).where(~F.col("url").endswith("?utm_source=feed"))
@@ -31,23 +36,41 @@ def roles(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents").withColumnRenamed("doc_id", "role_id")
 
 
-def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "benchmark").withColumnRenamed("item_id", "profile_id")
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles, laid out for work on their texts."""
+    return spread(roles(spark, folder), "role_id")
 
 
-def fragments(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "benchmark").withColumnRenamed("item_id", "fragment_id")
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark texts, each with the language and length of the role of its number."""
+    items = read_table(spark, folder, "benchmark")
+    like = roles(spark, folder).select(F.col("role_id").alias("item_id"), "lang", "n_chars")
+    return items.join(like, "item_id")
+
+
+def profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """One search per language, which looks for the words of all its benchmark texts."""
+    return _items(spark, folder).select(F.col("lang").alias("profile_id"), "text")
 
 
 def preferences(spark: SparkSession, folder: str) -> DataFrame:
-    """Each profile wants roles like the one of its number: same language, half to twice as long."""
-    like = roles(spark, folder).select(
-        F.col("role_id").alias("profile_id"),
-        "lang",
-        F.expr("n_chars div 2").alias("min_chars"),
-        (F.col("n_chars") * 2).alias("max_chars"),
+    """Each search wants its language, and half to double the mean length of its items."""
+    items, chars = F.count("*"), F.sum("n_chars")
+    return (
+        _items(spark, folder)
+        .groupBy("lang")
+        .agg(items.alias("items"), chars.alias("chars"))
+        .selectExpr(
+            "lang AS profile_id",
+            "lang",
+            "chars div (2 * items) AS min_chars",
+            "(2 * chars) div items AS max_chars",
+        )
     )
-    return profiles(spark, folder).select("profile_id").join(like, "profile_id")
+
+
+def fragments(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "benchmark").withColumnRenamed("item_id", "fragment_id")
 
 
 def role_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,9 +79,10 @@ def role_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def profile_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = read_table(spark, folder, "embeddings")
-    vectors = vectors.select(F.col("vec_id").alias("profile_id"), "embedding")
-    return profiles(spark, folder).select("profile_id").join(vectors, "profile_id")
+    """The vector of the first item of each search."""
+    items = _items(spark, folder).select(F.col("lang").alias("profile_id"), "item_id")
+    first = items.groupBy("profile_id").agg(F.min("item_id").alias("role_id"))
+    return role_vectors(spark, folder).join(first, "role_id").select("profile_id", "embedding")
 
 
 def as_log(events: DataFrame) -> DataFrame:

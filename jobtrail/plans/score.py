@@ -10,6 +10,7 @@ from jobtrail.operators import (
     vector_score,
 )
 from jobtrail.plans import inputs
+from jobtrail.sources import stored
 
 K = 10
 W_KEYWORDS = 0.7
@@ -21,7 +22,7 @@ def wanted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def by_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword_score(inputs.roles(spark, folder), inputs.profiles(spark, folder))
+    return keyword_score(inputs.texts(spark, folder), inputs.profiles(spark, folder))
 
 
 def by_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,13 +38,12 @@ def vectors_rounded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blended(spark: SparkSession, folder: str) -> DataFrame:
-    return blend_scores(
-        by_keywords(spark, folder), by_vectors(spark, folder), W_KEYWORDS, W_VECTORS
-    )
+    kw = stored(by_keywords(spark, folder), "keyword-scores")
+    return blend_scores(kw, by_vectors(spark, folder), W_KEYWORDS, W_VECTORS)
 
 
 def top(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best roles for each profile."""
+    """The ten best roles for each search."""
     return top_roles(by_keywords(spark, folder), K)
 
 
@@ -60,16 +60,20 @@ QUERIES = {
     "top_blended_roles": top_blended,
 }
 
+_ITEMS = """
+    items AS (SELECT b.item_id, b.text, d.lang, d.n_chars FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+
 _PAIRS = """
-    prefs AS (SELECT b.item_id AS profile_id, d.lang, d.n_chars // 2 AS min_chars, d.n_chars * 2 AS max_chars
-              FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+    prefs AS (SELECT lang AS profile_id, lang, CAST(sum(n_chars) // (2 * count(*)) AS BIGINT) AS min_chars,
+                     CAST(2 * sum(n_chars) // count(*) AS BIGINT) AS max_chars
+              FROM items GROUP BY lang),
     pairs AS (SELECT p.profile_id, d.doc_id AS role_id
               FROM prefs p JOIN documents d
                 ON d.lang = p.lang AND d.n_chars BETWEEN p.min_chars AND p.max_chars)"""
 
 _KEYWORDS = """
-    wishes AS (SELECT DISTINCT item_id AS profile_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
-               FROM benchmark),
+    wishes AS (SELECT DISTINCT lang AS profile_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
+               FROM items),
     spoken AS (SELECT doc_id AS role_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
                FROM documents),
     tf AS (SELECT role_id, word, count(*) AS tf FROM spoken GROUP BY 1, 2),
@@ -79,10 +83,11 @@ _KEYWORDS = """
            FROM tf JOIN weights USING (word) JOIN wishes USING (word) GROUP BY 1, 2)"""
 
 _VECTORS = """
+    wish AS (SELECT lang AS profile_id, min(item_id) AS vec_id FROM items JOIN embeddings ON vec_id = item_id GROUP BY 1),
     vec AS (SELECT p.profile_id, p.role_id,
                    list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])) AS score
             FROM pairs p JOIN embeddings r ON r.vec_id = p.role_id
-                         JOIN embeddings w ON w.vec_id = p.profile_id)"""
+                         JOIN wish USING (profile_id) JOIN embeddings w ON w.vec_id = wish.vec_id)"""
 
 _BLEND = """
     top AS (SELECT profile_id, max(score) AS top FROM kw GROUP BY 1),
@@ -95,13 +100,16 @@ _TOP = """
         SELECT profile_id, role_id, round(score, 6) AS score,
                row_number() OVER (PARTITION BY profile_id ORDER BY round(score, 6) DESC, role_id) AS rank
         FROM {scores})
-    WHERE rank <= 10"""
+    WHERE rank <= {k}"""
+
+_ALL = f"{_ITEMS}, {_PAIRS}, {_KEYWORDS}, {_VECTORS}, {_BLEND}"
 
 ORACLES = {
-    "preference_filter": f"WITH {_PAIRS} SELECT profile_id, role_id FROM pairs",
-    "keyword_score": f"WITH {_KEYWORDS} SELECT profile_id, role_id, score FROM kw",
-    "vector_score": f"WITH {_PAIRS}, {_VECTORS} SELECT profile_id, role_id, round(score, 6) AS score FROM vec",
-    "blend_scores": f"WITH {_PAIRS}, {_KEYWORDS}, {_VECTORS}, {_BLEND} SELECT profile_id, role_id, score FROM blend",
-    "top_roles": f"WITH {_KEYWORDS} {_TOP.format(scores='kw')}",
-    "top_blended_roles": f"WITH {_PAIRS}, {_KEYWORDS}, {_VECTORS}, {_BLEND} {_TOP.format(scores='blend')}",
+    "preference_filter": f"WITH {_ITEMS}, {_PAIRS} SELECT profile_id, role_id FROM pairs",
+    "keyword_score": f"WITH {_ITEMS}, {_KEYWORDS} SELECT profile_id, role_id, score FROM kw",
+    "vector_score": f"""WITH {_ITEMS}, {_PAIRS}, {_VECTORS}
+        SELECT profile_id, role_id, round(score, 6) AS score FROM vec""",
+    "blend_scores": f"WITH {_ALL} SELECT profile_id, role_id, score FROM blend",
+    "top_roles": f"WITH {_ITEMS}, {_KEYWORDS} {_TOP.format(scores='kw', k=K)}",
+    "top_blended_roles": f"WITH {_ALL} {_TOP.format(scores='blend', k=K)}",
 }

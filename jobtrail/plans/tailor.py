@@ -10,12 +10,12 @@ K = 3
 
 def ranked(spark: SparkSession, folder: str) -> DataFrame:
     """The three best fragments for each role."""
-    return rank_fragments(inputs.roles(spark, folder), inputs.fragments(spark, folder), K)
+    return rank_fragments(inputs.texts(spark, folder), inputs.fragments(spark, folder), K)
 
 
 def gap(spark: SparkSession, folder: str) -> DataFrame:
     return coverage_gap(
-        inputs.roles(spark, folder), ranked(spark, folder), inputs.fragments(spark, folder)
+        inputs.texts(spark, folder), ranked(spark, folder), inputs.fragments(spark, folder)
     )
 
 

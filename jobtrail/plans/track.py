@@ -23,7 +23,7 @@ from jobtrail.streaming import (
 )
 
 WIDTH = "1 hour"
-SPAN = "2 hours"
+SPAN = "2 days"
 LATE = "1 day"
 CUTOFF = "2024-01-30 00:00:00"
 
@@ -126,7 +126,7 @@ _RESPONSES = """
         SELECT s.user_id AS application_id, s.event_id, s.ts AS sent_at,
                count(*) AS n_answers, min(a.ts) AS first_answer
         FROM events s JOIN events a
-          ON a.user_id = s.user_id AND a.ts BETWEEN s.ts AND s.ts + INTERVAL 2 HOUR
+          ON a.user_id = s.user_id AND a.ts BETWEEN s.ts AND s.ts + INTERVAL 2 DAY
         WHERE s.event_type = 'signup' AND a.event_type = 'purchase'
         GROUP BY 1, 2, 3)"""
 

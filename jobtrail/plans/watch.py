@@ -13,7 +13,7 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fields(spark: SparkSession, folder: str) -> DataFrame:
-    return page_fields(scan_pages(spark, folder))
+    return page_fields(inputs.crawled(spark, folder))
 
 
 def keys(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from jobtrail.sources.log import append_log, read_log
 from jobtrail.sources.outbox import outbox_sink, read_outbox, write_outbox
-from jobtrail.sources.shared import new_folder
-from jobtrail.sources.tables import read_table, scan_pages, stream_table
+from jobtrail.sources.shared import new_folder, stored
+from jobtrail.sources.tables import read_table, scan_pages, spread, stream_table
 
 __all__ = [
     "append_log",
@@ -11,6 +11,8 @@ __all__ = [
     "read_outbox",
     "read_table",
     "scan_pages",
+    "spread",
+    "stored",
     "stream_table",
     "write_outbox",
 ]

@@ -4,8 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-OUTBOX_SCHEMA = "profile_id bigint, role_id bigint, channel string, payload string, batch bigint"
-
 
 def write_outbox(payloads: DataFrame, folder: str, batch: int) -> None:
     """Write one batch. Writing the same batch again replaces it."""
@@ -21,5 +19,6 @@ def outbox_sink(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def read_outbox(spark: SparkSession, folder: str, schema: str = OUTBOX_SCHEMA) -> DataFrame:
+def read_outbox(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All batches. ``schema`` ends in ``batch bigint``, the batch a row was written in."""
     return spark.read.schema(schema).parquet(folder)

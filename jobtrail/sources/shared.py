@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 
@@ -19,3 +19,15 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {SHARED_FOLDER} to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="jobtrail-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For a result that is used more than once. It is worked out once, and the loss of an
+    executor later on does not make it start again.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
