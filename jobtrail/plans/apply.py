@@ -37,9 +37,10 @@ def queue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Resumes are tailored to the queued roles only."""
+    """Resumes are tailored to the queued roles only, which are few but may be long."""
     queued = stored(queue(spark, folder), "queue")
-    roles = inputs.roles(spark, folder).join(queued.select("role_id").distinct(), "role_id", "left_semi")
+    ids = queued.select("role_id").distinct()
+    roles = inputs.roles(spark, folder).join(ids, "role_id", "left_semi").repartition("role_id")
     fragments = inputs.fragments(spark, folder)
     ranked = rank_fragments(roles, fragments, tailor_plans.K)
     return application_payload(queued, assemble_resume(roles, ranked, fragments), FIELDS)

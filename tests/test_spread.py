@@ -1,0 +1,68 @@
+from collections import Counter
+
+import pytest
+from helpers import at
+from pyspark.sql import functions as F
+
+from jobtrail.operators.spread import cut_hot_groups, fits_broadcast, join_lookup
+
+
+def test_fits_broadcast_looks_at_rows_and_bytes(spark):
+    df = spark.range(100).withColumn("text", F.repeat(F.lit("x"), 1000))
+    assert fits_broadcast(df)
+    assert not fits_broadcast(df, max_rows=99)
+    assert not fits_broadcast(df, max_bytes=100_000)
+    assert fits_broadcast(df.limit(0))
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of all rows has key ``hot``; some keys and some lookups have no partner."""
+    ids = spark.range(3000).withColumnRenamed("id", "role_id")
+    key = F.when(F.col("role_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("role_id") % 200))
+    rows = ids.withColumn("word", key).unionByName(
+        spark.createDataFrame([(9000, None)], "role_id bigint, word string")
+    )
+    lookup = spark.createDataFrame(
+        [("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), ("k2", 5), ("unused", 6), (None, 7)],
+        "word string, value int",
+    )
+    return rows, lookup
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_broadcast_join(skewed, how):
+    rows, lookup = skewed
+    want = join_lookup(rows, lookup, ["word"], how, salt_by="role_id", fits=True)
+    got = join_lookup(rows, lookup, ["word"], how, salt_by="role_id", fits=False)
+    assert got.columns == want.columns
+    assert Counter(got.collect()) == Counter(want.collect())
+
+
+def test_hot_key_is_dealt_over_many_parts(skewed):
+    rows, lookup = skewed
+    joined = join_lookup(
+        rows, lookup.hint("merge"), ["word"], salt_by="role_id", fits=False
+    )
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "xxhash64" in plan
+
+
+def test_groups_are_cut_along_time(spark):
+    hot = [(1, i, at(i)) for i in range(1000)] + [(2, i, at(i)) for i in range(20)]
+    df = spark.createDataFrame(hot, "app bigint, n bigint, ts timestamp_ntz")
+    cut, was_cut = cut_hot_groups(df, "app", "ts", hot_rows=100)
+    assert was_cut
+    sizes = Counter((row.app, row.slice) for row in cut.collect())
+    assert sizes[(2, -1)] == 20
+    assert sum(n for (app, _), n in sizes.items() if app == 1) == 1000
+    assert max(n for (app, _), n in sizes.items() if app == 1) <= 130
+    in_time = [row.slice for row in cut.where("app = 1").orderBy("ts").collect()]
+    assert in_time == sorted(in_time)
+
+
+def test_ordinary_groups_are_not_cut(spark):
+    df = spark.createDataFrame([(1, at(0)), (2, at(1))], "app bigint, ts timestamp_ntz")
+    cut, was_cut = cut_hot_groups(df, "app", "ts", hot_rows=10)
+    assert not was_cut
+    assert {row.slice for row in cut.collect()} == {-1}
