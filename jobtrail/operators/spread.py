@@ -3,9 +3,11 @@
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtrail.functions import micros
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
@@ -43,7 +45,8 @@ def join_lookup(
     A lookup that was measured to be small is broadcast, so ``rows`` are not shuffled.
     Otherwise both sides are shuffled. Fewer than ``SALTS`` keys can each hold more than
     1/SALTS of the rows; those rows are dealt out by a hash of ``salt_by``, and the lookup
-    rows of those keys, and of no others, are repeated for every part.
+    rows of those keys, and of no others, are repeated for every part. Rows without a key,
+    which match nothing, are dealt out as well.
     ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     if fits is None:
@@ -52,22 +55,21 @@ def join_lookup(
         return rows.join(F.broadcast(lookup), on, how)
 
     counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("_n")).scalar()
     hot = counts.where(F.col("_n") * SALTS > total).select(*on, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).otherwise(F.lit(0))
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt.cast("int"))
-    repeated = lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(parts))
+    hot = F.broadcast(hot)
+
+    no_key = F.greatest(*(F.col(name).isNull() for name in on), F.lit(False))
+    part = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
+    salt = F.when(F.col("_hot") | no_key, part).otherwise(F.lit(0))
+    every_part = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    parts = F.when(F.col("_hot"), every_part).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", salt)
+    repeated = lookup.join(hot, on, "left").withColumn("_salt", F.explode(parts))
     joined = dealt.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how)
     return joined.drop("_salt")
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-
-
 def cut_hot_groups(
     df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, bool]:
@@ -87,7 +89,7 @@ def cut_hot_groups(
     hot = hot.select(key, F.lit(True).alias("_hot"))
     if found.groups <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    marked = df.join(hot, key, "left").withColumn("_at", _micros(ts))
+    marked = df.join(hot, key, "left").withColumn("_at", micros(F.col(ts)).cast("double"))
     cuts = marked.where("_hot").agg(
         F.percentile_approx("_at", [i / n for i in range(1, n)], 10 * n).alias("at")
     )

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtrail.functions import micros
 from jobtrail.operators.spread import HOT_ROWS, cut_hot_groups
 
 
@@ -38,21 +39,22 @@ def status_history(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     log = events.select("application_id", "event_id", "status", "ts")
     log, was_cut = cut_hot_groups(log, "application_id", "ts", hot_rows)
-    in_order = Window.partitionBy("application_id", "slice").orderBy("ts", "event_id")
+    group = ["application_id", "slice"] if was_cut else ["application_id"]
+    in_order = Window.partitionBy(*group).orderBy("ts", "event_id")
     log = log.withColumn("next_ts", F.lead("ts").over(in_order))
     if was_cut:
         along = Window.partitionBy("application_id").orderBy("slice")
         opening = (
             log.where("slice >= 0")
-            .groupBy("application_id", "slice")
+            .groupBy(*group)
             .agg(F.min("ts").alias("first_ts"))
             .withColumn("after", F.lead("first_ts").over(along))
             .drop("first_ts")
         )
-        log = log.join(opening, ["application_id", "slice"], "left").withColumn(
+        log = log.join(opening, group, "left").withColumn(
             "next_ts", F.coalesce("next_ts", "after")
         )
-    lasted = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts"))
+    lasted = micros(F.col("next_ts")) - micros(F.col("ts"))
     return log.select("application_id", "event_id", "status", "ts", lasted.alias("lasted_us"))
 
 
@@ -122,8 +124,9 @@ def responses_within(
 
     # At one moment the end comes first, then answers, then the start: all of them count.
     is_reply = F.col("mark") == replies
+    group = ["application_id", "slice"] if was_cut else ["application_id"]
     back = (
-        Window.partitionBy("application_id", "slice")
+        Window.partitionBy(*group)
         .orderBy(F.col("at").desc(), F.col("mark").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -141,19 +144,18 @@ def responses_within(
         )
         beyond = (
             marks.where("slice >= 0")
-            .groupBy("application_id", "slice")
+            .groupBy(*group)
             .agg(
                 F.count(F.when(is_reply, 1)).alias("n"),
                 F.min(F.when(is_reply, F.col("at"))).alias("at"),
             )
             .select(
-                "application_id",
-                "slice",
+                *group,
                 F.sum("n").over(later).alias("count_beyond"),
                 F.min("at").over(later).alias("first_beyond"),
             )
         )
-        marks = marks.join(beyond, ["application_id", "slice"], "left").withColumns(
+        marks = marks.join(beyond, group, "left").withColumns(
             {
                 "count": F.col("count") + F.coalesce("count_beyond", F.lit(0)),
                 "first": F.coalesce("first", "first_beyond"),

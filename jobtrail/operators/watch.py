@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions import address_key, host_of, markup_text, path_of
 from jobtrail.functions.pages import UNREAD, element
+from jobtrail.operators.spread import fits_broadcast, join_lookup
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
@@ -78,6 +79,10 @@ def site_activity(diff: DataFrame) -> DataFrame:
     return diff.groupBy(host_of(F.col("url")).alias("host")).agg(*counts)
 
 
-def new_roles(roles: DataFrame, seen: DataFrame, key: str = "page_key") -> DataFrame:
-    """Roles whose key is not among the seen keys."""
-    return roles.join(seen.select(key).distinct(), key, "left_anti")
+def new_roles(
+    roles: DataFrame, seen: DataFrame, key: str = "page_key", salt_by: str = "page_id"
+) -> DataFrame:
+    """Roles whose key is not among the seen keys. A role without a key is new."""
+    seen = seen.select(key)
+    fits = fits_broadcast(seen)
+    return join_lookup(roles, seen.distinct(), [key], "left_anti", salt_by=salt_by, fits=fits)

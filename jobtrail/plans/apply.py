@@ -54,14 +54,14 @@ def outbox(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"apply_queue": queue, "application_payload": payloads, "write_outbox": outbox}
 
-_QUEUE = f"""{score_plans._ITEMS}, {score_plans._KEYWORDS},
-    chosen AS ({score_plans._TOP.format(scores="kw", k=K)}),
+_QUEUE = f"""{score_plans.ITEMS}, {score_plans.KEYWORDS},
+    chosen AS ({score_plans.TOP.format(scores="kw", k=K)}),
     queue AS (SELECT profile_id, role_id, source,
                      CASE WHEN source IN ('src1', 'src2') THEN 'email' ELSE 'form' END AS channel
               FROM chosen JOIN documents ON doc_id = role_id
               WHERE role_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup'))"""
 
-_PAYLOADS = f"""{_QUEUE}, {tailor_plans.RANKED}, {tailor_plans.RESUMES},
+_PAYLOADS = f"""{_QUEUE}, {tailor_plans.RESUMES},
     payloads AS (
         SELECT profile_id, role_id, channel,
                CAST(CASE WHEN channel = 'email'

@@ -60,7 +60,7 @@ QUERIES = {
     "top_blended_roles": top_blended,
 }
 
-_ITEMS = """
+ITEMS = """
     items AS (SELECT b.item_id, b.text, d.lang, d.n_chars FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
 
 _PAIRS = """
@@ -71,17 +71,24 @@ _PAIRS = """
               FROM prefs p JOIN documents d
                 ON d.lang = p.lang AND d.n_chars BETWEEN p.min_chars AND p.max_chars)"""
 
-_KEYWORDS = """
-    wishes AS (SELECT DISTINCT lang AS profile_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
+
+
+def keywords_of(table: str, key: str) -> str:
+    """SQL for keyword scores of the texts of a table."""
+    return f"""
+    wishes AS (SELECT DISTINCT lang AS profile_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word
                FROM items),
-    spoken AS (SELECT doc_id AS role_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
-               FROM documents),
+    spoken AS (SELECT {key} AS role_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word
+               FROM {table}),
     tf AS (SELECT role_id, word, count(*) AS tf FROM spoken GROUP BY 1, 2),
-    weights AS (SELECT word, CAST(round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) * 1000000) AS BIGINT) AS weight
+    weights AS (SELECT word, CAST(round(ln(((SELECT count(*) FROM {table}) + 1) / (count(*) + 1)) * 1000000) AS BIGINT) AS weight
                 FROM tf GROUP BY 1),
     kw AS (SELECT profile_id, role_id, CAST(sum(tf * weight) AS DOUBLE) / 1000000 AS score
            FROM tf JOIN weights USING (word) JOIN wishes USING (word) GROUP BY 1, 2)"""
 
+
+KEYWORDS = keywords_of("documents", "doc_id")
+
 _VECTORS = """
     wish AS (SELECT lang AS profile_id, min(item_id) AS vec_id FROM items JOIN embeddings ON vec_id = item_id GROUP BY 1),
     vec AS (SELECT p.profile_id, p.role_id,
@@ -95,21 +102,21 @@ _BLEND = """
                      round(0.7::DOUBLE * coalesce(k.score / nullif(t.top, 0), 0) + 0.3::DOUBLE * coalesce(v.score, 0), 6) AS score
               FROM kw k FULL JOIN vec v USING (profile_id, role_id) LEFT JOIN top t USING (profile_id))"""
 
-_TOP = """
+TOP = """
     SELECT profile_id, CAST(rank AS INTEGER) AS rank, role_id, score FROM (
         SELECT profile_id, role_id, round(score, 6) AS score,
                row_number() OVER (PARTITION BY profile_id ORDER BY round(score, 6) DESC, role_id) AS rank
         FROM {scores})
     WHERE rank <= {k}"""
 
-_ALL = f"{_ITEMS}, {_PAIRS}, {_KEYWORDS}, {_VECTORS}, {_BLEND}"
+_ALL = f"{ITEMS}, {_PAIRS}, {KEYWORDS}, {_VECTORS}, {_BLEND}"
 
 ORACLES = {
-    "preference_filter": f"WITH {_ITEMS}, {_PAIRS} SELECT profile_id, role_id FROM pairs",
-    "keyword_score": f"WITH {_ITEMS}, {_KEYWORDS} SELECT profile_id, role_id, score FROM kw",
-    "vector_score": f"""WITH {_ITEMS}, {_PAIRS}, {_VECTORS}
+    "preference_filter": f"WITH {ITEMS}, {_PAIRS} SELECT profile_id, role_id FROM pairs",
+    "keyword_score": f"WITH {ITEMS}, {KEYWORDS} SELECT profile_id, role_id, score FROM kw",
+    "vector_score": f"""WITH {ITEMS}, {_PAIRS}, {_VECTORS}
         SELECT profile_id, role_id, round(score, 6) AS score FROM vec""",
     "blend_scores": f"WITH {_ALL} SELECT profile_id, role_id, score FROM blend",
-    "top_roles": f"WITH {_ITEMS}, {_KEYWORDS} {_TOP.format(scores='kw', k=K)}",
-    "top_blended_roles": f"WITH {_ALL} {_TOP.format(scores='blend', k=K)}",
+    "top_roles": f"WITH {ITEMS}, {KEYWORDS} {TOP.format(scores='kw', k=K)}",
+    "top_blended_roles": f"WITH {_ALL} {TOP.format(scores='blend', k=K)}",
 }

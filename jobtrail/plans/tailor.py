@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from jobtrail.operators import assemble_resume, coverage_gap, rank_fragments
-from jobtrail.plans import inputs
+from jobtrail.plans import inputs, watch
+from jobtrail.sources import stored
 
 K = 3
 
@@ -25,23 +26,44 @@ def resumes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"rank_fragments": ranked, "coverage_gap": gap, "assemble_resume": resumes}
+def new_role_resumes(spark: SparkSession, folder: str) -> DataFrame:
+    """A resume for each new page."""
+    roles = stored(watch.new_role_texts(spark, folder), "new-role-texts")
+    fragments = inputs.fragments(spark, folder)
+    return assemble_resume(roles, rank_fragments(roles, fragments, K), fragments)
 
-RANKED = """
-    lines AS (SELECT DISTINCT item_id AS fragment_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
+
+QUERIES = {
+    "rank_fragments": ranked,
+    "coverage_gap": gap,
+    "assemble_resume": resumes,
+    "new_role_resumes": new_role_resumes,
+}
+
+
+def ranked_of(table: str, key: str) -> str:
+    """SQL for the best fragments for the texts of a table."""
+    return f"""
+    lines AS (SELECT DISTINCT item_id AS fragment_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word
               FROM benchmark),
-    needs AS (SELECT DISTINCT doc_id AS role_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
-              FROM documents),
+    needs AS (SELECT DISTINCT {key} AS role_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word
+              FROM {table}),
     shared AS (SELECT role_id, fragment_id, count(*) AS shared FROM needs JOIN lines USING (word) GROUP BY 1, 2),
     ranked AS (SELECT role_id, CAST(rank AS INTEGER) AS rank, fragment_id, shared FROM (
                    SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY shared DESC, fragment_id) AS rank
                    FROM shared) WHERE rank <= 3)"""
 
-RESUMES = """
-    lists AS (SELECT role_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS resume
-              FROM ranked JOIN benchmark ON item_id = fragment_id GROUP BY 1),
-    resumes AS (SELECT doc_id AS role_id, coalesce(resume, '') AS resume
-                FROM documents LEFT JOIN lists ON doc_id = role_id)"""
+
+def resumes_of(table: str, key: str) -> str:
+    return f"""{ranked_of(table, key)},
+    lists AS (SELECT role_id, string_agg(b.text, chr(10) || chr(10) ORDER BY rank) AS resume
+              FROM ranked JOIN benchmark b ON item_id = fragment_id GROUP BY 1),
+    resumes AS (SELECT t.{key} AS role_id, coalesce(resume, '') AS resume
+                FROM {table} t LEFT JOIN lists ON t.{key} = lists.role_id)"""
+
+
+RANKED = ranked_of("documents", "doc_id")
+RESUMES = resumes_of("documents", "doc_id")
 
 ORACLES = {
     "rank_fragments": f"WITH {RANKED} SELECT role_id, rank, fragment_id, shared FROM ranked",
@@ -53,5 +75,7 @@ ORACLES = {
         SELECT doc_id AS role_id, coalesce(needed, 0) AS needed, coalesce(covered, 0) AS covered,
                coalesce(needed, 0) - coalesce(covered, 0) AS missing
         FROM documents LEFT JOIN need ON need.role_id = doc_id LEFT JOIN cover ON cover.role_id = doc_id""",
-    "assemble_resume": f"WITH {RANKED}, {RESUMES} SELECT role_id, resume FROM resumes",
+    "assemble_resume": f"WITH {RESUMES} SELECT role_id, resume FROM resumes",
+    "new_role_resumes": f"""WITH {watch.NEW_TEXTS}, {resumes_of("roles", "role_id")}
+        SELECT role_id, resume FROM resumes""",
 }

@@ -14,7 +14,14 @@ from jobtrail.operators import (
 )
 from jobtrail.plans import inputs
 from jobtrail.plans.inputs import shown
-from jobtrail.sources import append_log, new_folder, read_log, read_outbox, stream_table
+from jobtrail.sources import (
+    append_log,
+    new_folder,
+    outbox_sink,
+    read_log,
+    read_outbox,
+    stream_table,
+)
 from jobtrail.streaming import (
     activity_changes,
     latest_counts,
@@ -66,9 +73,8 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
 def windows_stream(spark: SparkSession, folder: str) -> DataFrame:
     arriving = inputs.as_log(stream_table(spark, folder, "events"))
     out = new_folder(spark, "activity")
-    run_to_end(
-        activity_changes(arriving, WIDTH, LATE), f"{out}/changes", f"{out}/checkpoint", "update"
-    )
+    changes = activity_changes(arriving, WIDTH, LATE)
+    run_to_end(changes, outbox_sink(f"{out}/changes"), f"{out}/checkpoint", "update")
     schema = "window_start timestamp, status string, n bigint, batch bigint"
     counts = latest_counts(read_outbox(spark, f"{out}/changes", schema))
     return counts.withColumn("window_start", shown("window_start"))
@@ -97,7 +103,7 @@ def responses_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
     out = new_folder(spark, "responses")
     found = responses_within_stream(sent, answers, SPAN, LATE)
-    run_to_end(found, f"{out}/answered", f"{out}/checkpoint")
+    run_to_end(found, outbox_sink(f"{out}/answered"), f"{out}/checkpoint")
     schema = "application_id bigint, event_id bigint, sent_at timestamp, batch bigint"
     answered = read_outbox(spark, f"{out}/answered", schema).drop("batch")
     return answered.withColumn("sent_at", shown("sent_at"))

@@ -2,10 +2,19 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobtrail.operators import new_roles, page_fields, page_key, site_activity, snapshot_diff
+from jobtrail.operators import (
+    keyword_score,
+    new_roles,
+    page_fields,
+    page_key,
+    site_activity,
+    snapshot_diff,
+    top_roles,
+)
 from jobtrail.plans import inputs
-from jobtrail.sources import new_folder, read_outbox, scan_pages, stream_table
-from jobtrail.streaming import new_roles_stream, run_to_end
+from jobtrail.plans.score import ITEMS, K, TOP, keywords_of
+from jobtrail.sources import new_folder, read_outbox, scan_pages, stored, stream_table
+from jobtrail.streaming import new_roles_sink, run_to_end
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,11 +46,25 @@ def unseen_stream(spark: SparkSession, folder: str) -> DataFrame:
     arriving = page_key(inputs.current_pages(stream_table(spark, folder, "pages")))
     seen = page_key(inputs.previous_pages(spark, folder))
     out = new_folder(spark, "new-roles")
-    found = new_roles_stream(arriving, seen, "page_key", salt_by="page_id")
-    run_to_end(found, f"{out}/keys", f"{out}/checkpoint")
+    sink = new_roles_sink(seen, "page_key", f"{out}/keys")
+    run_to_end(arriving, sink, f"{out}/checkpoint")
     return read_outbox(spark, f"{out}/keys", "page_key string, batch bigint").select("page_key")
 
 
+def new_role_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The new pages as roles: the id of the page and its reading text."""
+    new_pages = new_roles(
+        page_key(current(spark, folder)), page_key(inputs.previous_pages(spark, folder))
+    )
+    return page_fields(new_pages).selectExpr("page_id AS role_id", "body AS text")
+
+
+def top_new(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of the new pages for each search."""
+    roles = stored(new_role_texts(spark, folder), "new-role-texts")
+    return top_roles(keyword_score(roles, inputs.profiles(spark, folder)), K)
+
+
 QUERIES = {
     "scan_pages": scan_pages,
     "page_fields": fields,
@@ -50,6 +73,7 @@ QUERIES = {
     "site_activity": activity,
     "new_roles": unseen,
     "new_roles_stream": unseen_stream,
+    "top_new_roles": top_new,
 }
 
 _CRAWLS = """
@@ -84,19 +108,29 @@ def _read(markup: str) -> str:
 _UNREAD = (
     "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>"
 )
+_LANGUAGE = """(?is)<html\\b[^>]*?\\blang\\s*=\\s*["'']?([a-z0-9-]+)"""
+_HEADING = _read("regexp_extract(markup, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
+_BODY = _read(
+    """CASE WHEN markup LIKE '%<article%'
+       THEN regexp_extract(markup, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE markup END"""
+)
+
+_UNSEEN = f"""{_CRAWLS},
+    unseen AS (SELECT page_id, html, {_KEY} AS page_key FROM cur
+               WHERE {_KEY} NOT IN (SELECT {_KEY} FROM prev))"""
+
+NEW_TEXTS = f"""{_UNSEEN},
+    read AS (SELECT page_id, regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup FROM unseen),
+    roles AS (SELECT page_id AS role_id, {_BODY} AS text FROM read)"""
 
 ORACLES = {
     "scan_pages": "SELECT page_id, url, html FROM pages",
     "page_fields": f"""
         WITH read AS (
-            SELECT page_id,
-                   lower(regexp_extract(html, '(?is)<html\\b[^>]*?\\blang\\s*=\\s*["'']?([a-z0-9-]+)', 1)) AS language,
+            SELECT page_id, lower(regexp_extract(html, '{_LANGUAGE}', 1)) AS language,
                    regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup
             FROM pages)
-        SELECT page_id, language,
-               {_read("regexp_extract(markup, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
-               {_read("CASE WHEN markup LIKE '%<article%' THEN regexp_extract(markup, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE markup END")} AS body
-        FROM read""",
+        SELECT page_id, language, {_HEADING} AS heading, {_BODY} AS body FROM read""",
     "page_key": f"""
         SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host,
                regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, {_KEY} AS page_key
@@ -110,12 +144,7 @@ ORACLES = {
                count(CASE WHEN state = 'changed' THEN 1 END) AS changed,
                count(CASE WHEN state = 'same' THEN 1 END) AS same
         FROM diff GROUP BY 1""",
-    "new_roles": f"""
-        WITH {_CRAWLS}
-        SELECT page_id, {_KEY} AS page_key FROM cur
-        WHERE {_KEY} NOT IN (SELECT {_KEY} FROM prev)""",
-    "new_roles_stream": f"""
-        WITH {_CRAWLS}
-        SELECT DISTINCT {_KEY} AS page_key FROM cur
-        WHERE {_KEY} NOT IN (SELECT {_KEY} FROM prev)""",
+    "new_roles": f"WITH {_UNSEEN} SELECT page_id, page_key FROM unseen",
+    "new_roles_stream": f"WITH {_UNSEEN} SELECT DISTINCT page_key FROM unseen",
+    "top_new_roles": f"WITH {NEW_TEXTS}, {ITEMS}, {keywords_of('roles', 'role_id')} {TOP.format(scores='kw', k=K)}",
 }

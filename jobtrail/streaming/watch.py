@@ -1,23 +1,28 @@
 """Watch, as pages arrive."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 64
+from jobtrail.sources.outbox import read_outbox, write_outbox
 
 
-def new_roles_stream(stream: DataFrame, seen: DataFrame, key: str, salt_by: str) -> DataFrame:
-    """The key of each arriving role that was not seen before, once per key.
+def new_roles_sink(seen: DataFrame, key: str, folder: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that writes each key once, when it first arrives unseen.
 
-    Copies of one key may be a large share of what arrives. They are first thinned in up to
-    ``SALTS`` places, chosen by a hash of ``salt_by``, so that the task which holds the key
-    meets at most that many of them.
+    Copies of a key within a batch are folded before they are shuffled, so a key that is much
+    of what arrives is no burden. What earlier batches found is read from ``folder``; a batch
+    that is run again leaves its own former output out of account and replaces it. ``folder``
+    belongs to one checkpoint.
     """
-    salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).alias("salt")
-    return (
-        stream.select(key, salt)
-        .join(seen.select(key).distinct(), key, "left_anti")
-        .dropDuplicates([key, "salt"])
-        .dropDuplicates([key])
-        .select(key)
-    )
+    schema = f"{key} string, batch bigint"
+
+    def write(arrived: DataFrame, batch: int) -> None:
+        known = seen.select(key)
+        if batch > 0:
+            earlier = read_outbox(arrived.sparkSession, folder, schema).where(f"batch < {batch}")
+            known = known.union(earlier.select(key))
+        found = arrived.select(key).distinct().join(known.distinct(), key, "left_anti")
+        write_outbox(found, folder, batch)
+
+    return write

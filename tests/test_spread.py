@@ -21,7 +21,7 @@ def skewed(spark):
     ids = spark.range(3000).withColumnRenamed("id", "role_id")
     key = F.when(F.col("role_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("role_id") % 200))
     rows = ids.withColumn("word", key).unionByName(
-        spark.createDataFrame([(9000, None)], "role_id bigint, word string")
+        spark.range(9000, 9500).selectExpr("id AS role_id", "CAST(NULL AS string) AS word")
     )
     lookup = spark.createDataFrame(
         [("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), ("k2", 5), ("unused", 6), (None, 7)],
@@ -39,13 +39,23 @@ def test_salted_join_equals_broadcast_join(skewed, how):
     assert Counter(got.collect()) == Counter(want.collect())
 
 
-def test_hot_key_is_dealt_over_many_parts(skewed):
-    rows, lookup = skewed
-    joined = join_lookup(
-        rows, lookup.hint("merge"), ["word"], salt_by="role_id", fits=False
-    )
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and "xxhash64" in plan
+def test_salted_join_spreads_the_hot_key(spark):
+    """With the broadcast path off, no task holds the hot key's rows, nor those without a key."""
+    ids = spark.range(40_000).withColumnRenamed("id", "role_id")
+    name = F.col("role_id").cast("string")
+    key = F.when(F.col("role_id") % 3 == 0, "hot").when(F.col("role_id") % 3 == 1, name)
+    rows = ids.withColumn("word", key)
+    lookup = spark.createDataFrame([("hot", 1)], "word string, value int").hint("merge")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        joined = join_lookup(rows, lookup, ["word"], "left", salt_by="role_id", fits=False)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(row["count"] for row in sizes) == 40_000
+    assert max(row["count"] for row in sizes) < 40_000 / 32 * 3
 
 
 def test_groups_are_cut_along_time(spark):

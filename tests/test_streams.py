@@ -6,11 +6,11 @@ import pytest
 from helpers import LOG, at, rows
 
 from jobtrail.operators import activity_windows, responses_within
-from jobtrail.sources import read_outbox
+from jobtrail.sources import outbox_sink, read_outbox
 from jobtrail.streaming import (
     activity_changes,
     latest_counts,
-    new_roles_stream,
+    new_roles_sink,
     responses_within_stream,
     run_to_end,
 )
@@ -40,8 +40,8 @@ def test_each_new_key_comes_once(spark, tmp_path):
         drop_file(spark, inbox, arrived + [(9_000 + part, "seen"), (9_100 + part, f"only{part}")], KEYS, part)
 
     def run():
-        found = new_roles_stream(stream(spark, inbox, KEYS), seen, "page_key", salt_by="page_id")
-        run_to_end(found, out, str(tmp_path / "checkpoint"))
+        sink = new_roles_sink(seen, "page_key", out)
+        run_to_end(stream(spark, inbox, KEYS), sink, str(tmp_path / "checkpoint"))
         return Counter(row.page_key for row in read_outbox(spark, out, "page_key string, batch bigint").collect())
 
     want = {"hot", "only0", "only1", "only2"} | {f"k{i}" for i in range(50)}
@@ -51,6 +51,20 @@ def test_each_new_key_comes_once(spark, tmp_path):
     assert run() == Counter(want | {"late"})
 
 
+def test_new_keys_survive_a_batch_that_is_run_again(spark, tmp_path):
+    out = str(tmp_path / "out")
+    sink = new_roles_sink(spark.createDataFrame([("seen",)], "page_key string"), "page_key", out)
+
+    def batch(*keys):
+        return spark.createDataFrame([(key,) for key in keys], "page_key string")
+
+    sink(batch("a", "b", "seen"), 0)
+    for _ in range(2):
+        sink(batch("b", "c", "c"), 1)
+    found = read_outbox(spark, out, "page_key string, batch bigint")
+    assert rows(found, "batch", "page_key") == [(0, "a"), (0, "b"), (1, "c")]
+
+
 @pytest.fixture(scope="module")
 def inbox(spark, tmp_path_factory):
     """A log in three files, oldest first."""
@@ -67,7 +81,7 @@ def inbox(spark, tmp_path_factory):
 def test_window_counts_equal_the_batch(spark, inbox, tmp_path):
     folder, events = inbox
     changes = activity_changes(stream(spark, folder, LOG), "1 hour", "10 minutes")
-    run_to_end(changes, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "update")
+    run_to_end(changes, outbox_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint"), "update")
     schema = "window_start timestamp, status string, n bigint, batch bigint"
     written = read_outbox(spark, str(tmp_path / "out"), schema)
     assert written.select("batch").distinct().count() >= 3
@@ -81,7 +95,7 @@ def test_events_behind_the_watermark_are_left_out(spark, tmp_path):
     drop_file(spark, folder, [(3, at(601), 1, "a")], LOG, 1)
     drop_file(spark, folder, [(4, at(1), 1, "a"), (5, at(595), 1, "a")], LOG, 2)
     changes = activity_changes(stream(spark, folder, LOG), "1 hour", "10 minutes")
-    run_to_end(changes, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "update")
+    run_to_end(changes, outbox_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint"), "update")
     schema = "window_start timestamp, status string, n bigint, batch bigint"
     found = latest_counts(read_outbox(spark, str(tmp_path / "out"), schema))
     assert set(rows(found, "window_start", "n")) == {(at(0), 1), (at(540), 1), (at(600), 2)}
@@ -94,7 +108,7 @@ def test_answered_applications_equal_the_batch(spark, inbox, tmp_path, span):
         stream(spark, folder, LOG).where(f"status = '{status}'") for status in ("signup", "purchase")
     )
     found = responses_within_stream(sent, answers, span, "10 minutes")
-    run_to_end(found, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    run_to_end(found, outbox_sink(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
     schema = "application_id bigint, event_id bigint, sent_at timestamp, batch bigint"
     got = read_outbox(spark, str(tmp_path / "out"), schema)
     want = responses_within(events.where("status = 'signup'"), events.where("status = 'purchase'"), span)

@@ -1,8 +1,16 @@
+import pytest
 from helpers import plan_of, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from jobtrail.operators import new_roles, page_fields, page_key, site_activity, snapshot_diff
+from jobtrail.operators import (
+    new_roles,
+    page_fields,
+    page_key,
+    site_activity,
+    snapshot_diff,
+    watch,
+)
 from jobtrail.sources import scan_pages
 
 PAGES = "page_id bigint, url string, html string"
@@ -131,7 +139,9 @@ def test_site_activity(spark):
     assert found == [("a.example", 1, 0, 0, 1), ("b.example", 1, 0, 0, 0)]
 
 
-def test_new_roles(spark):
+@pytest.mark.parametrize("fits", [True, False])
+def test_new_roles(spark, monkeypatch, fits):
+    monkeypatch.setattr(watch, "fits_broadcast", lambda df: fits)
     roles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, None)], "page_id bigint, page_key string")
     seen = spark.createDataFrame([("a",)] * 50 + [(None,)], "page_key string")
     assert rows(new_roles(roles, seen), "page_id") == [(2,), (3,), (4,), (5,)]
