@@ -45,12 +45,12 @@ def path_of(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("PATH"))
 
 
-def address_key(url: Column) -> Column:
+def address_key(host: Column, path: Column, url: Column) -> Column:
     """One key for all spellings of a page address.
 
     Scheme, leading ``www.`` or ``m.``, query, fragment, ``.html`` and a final slash are
     left out. An address that is not well formed is its own key, so it is never lost.
     """
-    site = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    page = F.regexp_replace(path_of(url), r"(/|\.html)$", "")
+    site = F.regexp_replace(host, r"^(www|m)\.", "")
+    page = F.regexp_replace(path, r"(/|\.html)$", "")
     return F.coalesce(F.concat(site, page), F.lower(F.trim(url)))

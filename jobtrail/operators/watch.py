@@ -33,10 +33,9 @@ def page_fields(pages: DataFrame) -> DataFrame:
 
 def page_key(pages: DataFrame) -> DataFrame:
     """Add host, path and a key shared by all spellings of the address."""
-    url = F.col("url")
-    return pages.withColumns(
-        {"host": host_of(url), "path": path_of(url), "page_key": address_key(url)}
-    )
+    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    parsed = pages.withColumns({"host": host_of(url), "path": path_of(url)})
+    return parsed.withColumn("page_key", address_key(host, path, url))
 
 
 def snapshot_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
@@ -50,7 +49,9 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
     def versions(pages: DataFrame, crawl: str) -> DataFrame:
         content = F.coalesce(F.md5(F.col("html").cast("binary")), F.lit(""))
         return pages.select(
-            "page_id", F.struct(content.alias("content"), "url").alias("version"), F.lit(crawl).alias("crawl")
+            "page_id",
+            F.struct(content.alias("content"), "url").alias("version"),
+            F.lit(crawl).alias("crawl"),
         )
 
     def version_in(crawl: str):
