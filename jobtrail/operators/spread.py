@@ -14,7 +14,7 @@ BROADCAST_BYTES = 64 << 20
 # A key with more than 1/SALTS of all rows is split in SALTS parts.
 SALTS = 64
 
-# A group of more rows than this is cut along time before it is sorted.
+# The rows of a key with more rows than this are not sorted in one task.
 HOT_ROWS = 5_000_000
 MAX_SLICES = 10_000
 
@@ -71,31 +71,28 @@ def join_lookup(
     return joined.drop("_salt")
 
 
-def cut_hot_groups(
-    df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, bool]:
-    """Add ``slice``: -1 for ordinary groups, a rising number along ``ts`` in large ones.
+def busy_keys(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Keys with more than ``hot_rows`` rows, or None, and the number of rows they have."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    found = counts.agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).first()
+    if not found.keys:
+        return None, 0
+    busy = counts.select(key)
+    return (F.broadcast(busy) if found.keys <= BROADCAST_ROWS else busy), found.rows
 
-    Groups of more than ``hot_rows`` rows are cut at quantiles of ``ts`` taken over all their
-    rows, so a (key, slice) pair holds about ``hot_rows`` rows however they lie in time. Only
-    the cut points, at most ``MAX_SLICES`` numbers, come to the driver. Rows of one group with
-    one and the same ``ts`` share a slice. The flag says whether any group was cut.
+
+def cut_along(df: DataFrame, ts: str, parts: int) -> DataFrame:
+    """Add ``slice``, a number that rises with ``ts`` and parts the rows about evenly.
+
+    The cuts are quantiles of the data, so it does not matter how the rows lie in time. Only
+    the cut points, at most ``MAX_SLICES`` numbers, come to the driver.
     """
-    hot = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    found = hot.agg(F.count("*").alias("groups"), F.sum("_n").alias("rows")).first()
-    if not found.groups:
-        return df.withColumn("slice", F.lit(-1)), False
-
-    n = min(MAX_SLICES, math.ceil(found.rows / hot_rows) + 1)
-    hot = hot.select(key, F.lit(True).alias("_hot"))
-    if found.groups <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    marked = df.join(hot, key, "left").withColumn("_at", micros(F.col(ts)).cast("double"))
-    cuts = marked.where("_hot").agg(
-        F.percentile_approx("_at", [i / n for i in range(1, n)], 10 * n).alias("at")
-    )
-    edges = [-math.inf, *sorted(set(cuts.first().at)), math.inf]
+    parts = min(MAX_SLICES, parts)
+    at = df.withColumn("_at", micros(F.col(ts)).cast("double"))
+    ranks = [i / parts for i in range(1, parts)]
+    cuts = at.agg(F.percentile_approx("_at", ranks, 10 * parts).alias("at")).first().at or []
+    if not cuts:
+        return df.withColumn("slice", F.lit(0))
+    edges = [-math.inf, *sorted(set(cuts)), math.inf]
     cutter = Bucketizer(splits=edges, inputCol="_at", outputCol="_slice", handleInvalid="keep")
-    sliced = cutter.transform(marked)
-    slice_no = F.when(F.col("_hot"), F.col("_slice").cast("int")).otherwise(F.lit(-1))
-    return sliced.withColumn("slice", slice_no).drop("_hot", "_at", "_slice"), True
+    return cutter.transform(at).withColumn("slice", F.col("_slice").cast("int")).drop("_at", "_slice")

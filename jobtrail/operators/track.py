@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.functions import micros
-from jobtrail.operators.spread import HOT_ROWS, cut_hot_groups
+from jobtrail.operators.spread import HOT_ROWS, busy_keys, cut_along
 
 
 def current_status(events: DataFrame) -> DataFrame:
@@ -34,28 +34,52 @@ def current_status(events: DataFrame) -> DataFrame:
 def status_history(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each event with the microseconds until the application's next event; null for the last.
 
-    An application with very many events is cut along time. Inside a cut the next event is
-    found by sorting; the last event of a cut takes the first of the next non-empty one.
+    The events of one application are sorted in one task, unless there are very many of them.
     """
     log = events.select("application_id", "event_id", "status", "ts")
-    log, was_cut = cut_hot_groups(log, "application_id", "ts", hot_rows)
-    group = ["application_id", "slice"] if was_cut else ["application_id"]
-    in_order = Window.partitionBy(*group).orderBy("ts", "event_id")
-    log = log.withColumn("next_ts", F.lead("ts").over(in_order))
-    if was_cut:
-        along = Window.partitionBy("application_id").orderBy("slice")
-        opening = (
-            log.where("slice >= 0")
-            .groupBy(*group)
-            .agg(F.min("ts").alias("first_ts"))
-            .withColumn("after", F.lead("first_ts").over(along))
-            .drop("first_ts")
-        )
-        log = log.join(opening, group, "left").withColumn(
-            "next_ts", F.coalesce("next_ts", "after")
-        )
+    busy, busy_rows = busy_keys(log, "application_id", hot_rows)
+    rest = log if busy is None else log.join(busy, "application_id", "left_anti")
+    in_order = Window.partitionBy("application_id").orderBy("ts", "event_id")
+    found = rest.withColumn("next_ts", F.lead("ts").over(in_order))
+    if busy is not None:
+        busy_log = log.join(busy, "application_id", "left_semi")
+        parts = 1 + busy_rows // hot_rows
+        found = found.unionByName(_busy_history(busy_log, parts))
     lasted = micros(F.col("next_ts")) - micros(F.col("ts"))
-    return log.select("application_id", "event_id", "status", "ts", lasted.alias("lasted_us"))
+    return found.select("application_id", "event_id", "status", "ts", lasted.alias("lasted_us"))
+
+
+def _busy_history(log: DataFrame, parts: int) -> DataFrame:
+    """``next_ts`` for applications with very many events.
+
+    Events are folded to the moments at which there are any, which are cut along time. The
+    next moment is the following one in the cut or, after its last, the first of a later cut.
+    Of the events of one moment, the one with the greatest id lasts until the next moment.
+    """
+    moments = log.groupBy("application_id", "ts").agg(F.max("event_id").alias("last_id"))
+    moments = cut_along(moments, "ts", parts)
+    in_cut = Window.partitionBy("application_id", "slice").orderBy("ts")
+    along = Window.partitionBy("application_id").orderBy("slice")
+    later = (
+        moments.groupBy("application_id", "slice")
+        .agg(F.min("ts").alias("first_ts"))
+        .withColumn("later_ts", F.lead("first_ts").over(along))
+        .drop("first_ts")
+    )
+    following = (
+        moments.withColumn("following_ts", F.lead("ts").over(in_cut))
+        .join(later, ["application_id", "slice"])
+        .withColumn("following_ts", F.coalesce("following_ts", "later_ts"))
+        .drop("slice", "later_ts")
+    )
+    next_ts = F.when(F.col("event_id") < F.col("last_id"), F.col("ts")).otherwise(
+        F.col("following_ts")
+    )
+    return (
+        log.join(following, ["application_id", "ts"])
+        .withColumn("next_ts", next_ts)
+        .drop("last_id", "following_ts")
+    )
 
 
 def stage_funnel(events: DataFrame, stages: Sequence[str]) -> DataFrame:
@@ -105,62 +129,55 @@ def responses_within(
 ) -> DataFrame:
     """Each sent application answered within ``span``: how many answers, and the first.
 
-    No (sent, answer) pair is formed. Every sent event marks the start and the end of its span
-    among the answers of its application. Going back in time, a running count of answers is
-    taken at both marks; the difference is the number inside, both ends included.
+    No (sent, answer) pair is formed. Both ends of each span are marked among the answers of
+    the application. Going back in time, a running count of answers is taken at both marks;
+    the difference is the number inside, both ends included. The marks of one application are
+    sorted in one task, unless there are very many of them.
     """
-    starts, replies, ends = 0, 1, 2
-    ts = F.col("ts")
-    span_marks = F.array(
-        F.struct(ts.alias("at"), F.lit(starts).alias("mark")),
-        F.struct((ts + F.expr(f"INTERVAL {span}")).alias("at"), F.lit(ends).alias("mark")),
+    sent = sent.select(
+        "application_id",
+        "event_id",
+        F.col("ts").alias("sent_at"),
+        (F.col("ts") + F.expr(f"INTERVAL {span}")).alias("until"),
     )
-    marks = sent.select("application_id", "event_id", ts.alias("sent_at"), F.inline(span_marks))
-    marks = marks.unionByName(
-        answers.select("application_id", ts.alias("at"), F.lit(replies).alias("mark")),
-        allowMissingColumns=True,
+    answers = answers.select("application_id", F.col("ts").alias("at"))
+    ids = sent.select("application_id").unionAll(answers.select("application_id"))
+    busy, busy_rows = busy_keys(ids, "application_id", hot_rows)
+    if busy is None:
+        return _count_responses(sent, answers)
+
+    def parted(df: DataFrame, how: str) -> DataFrame:
+        return df.join(busy, "application_id", how)
+
+    rest = _count_responses(parted(sent, "left_anti"), parted(answers, "left_anti"))
+    parts = 1 + 2 * busy_rows // hot_rows
+    return rest.unionByName(
+        _count_busy_responses(parted(sent, "left_semi"), parted(answers, "left_semi"), parts)
     )
-    marks, was_cut = cut_hot_groups(marks, "application_id", "at", hot_rows)
 
+
+def _count_responses(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    starts, replies, ends = 0, 1, 2
+    both_ends = F.array(
+        F.struct(F.col("sent_at").alias("at"), F.lit(starts).alias("mark")),
+        F.struct(F.col("until").alias("at"), F.lit(ends).alias("mark")),
+    )
+    marks = sent.select("application_id", "event_id", "sent_at", F.inline(both_ends)).unionByName(
+        answers.withColumn("mark", F.lit(replies)), allowMissingColumns=True
+    )
     # At one moment the end comes first, then answers, then the start: all of them count.
-    is_reply = F.col("mark") == replies
-    group = ["application_id", "slice"] if was_cut else ["application_id"]
     back = (
-        Window.partitionBy(*group)
+        Window.partitionBy("application_id")
         .orderBy(F.col("at").desc(), F.col("mark").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    is_reply = F.col("mark") == replies
     marks = marks.withColumns(
         {
             "count": F.count(F.when(is_reply, 1)).over(back),
             "first": F.min(F.when(is_reply, F.col("at"))).over(back),
         }
     )
-    if was_cut:
-        later = (
-            Window.partitionBy("application_id")
-            .orderBy(F.col("slice").desc())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        beyond = (
-            marks.where("slice >= 0")
-            .groupBy(*group)
-            .agg(
-                F.count(F.when(is_reply, 1)).alias("n"),
-                F.min(F.when(is_reply, F.col("at"))).alias("at"),
-            )
-            .select(
-                *group,
-                F.sum("n").over(later).alias("count_beyond"),
-                F.min("at").over(later).alias("first_beyond"),
-            )
-        )
-        marks = marks.join(beyond, group, "left").withColumns(
-            {
-                "count": F.col("count") + F.coalesce("count_beyond", F.lit(0)),
-                "first": F.coalesce("first", "first_beyond"),
-            }
-        )
     at_start = F.col("mark") == starts
     inside = F.sum(F.when(at_start, F.col("count")).otherwise(-F.col("count")))
     return (
@@ -169,3 +186,60 @@ def responses_within(
         .agg(inside.alias("n_answers"), F.min(F.when(at_start, F.col("first"))).alias("first_answer"))
         .where("n_answers > 0")
     )
+
+
+def _count_busy_responses(sent: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """The same for applications with very many events.
+
+    Answers and marks are folded to one row per moment, and the moments are cut along time.
+    The running count is taken in each cut, and what lies in later cuts is added.
+    """
+    moments = (
+        answers.select("application_id", "at", F.lit(1).alias("n"))
+        .unionAll(sent.select("application_id", "sent_at", F.lit(0)))
+        .unionAll(sent.select("application_id", "until", F.lit(0)))
+        .groupBy("application_id", "at")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("answer_at", F.when(F.col("n") > 0, F.col("at")))
+    )
+    moments = cut_along(moments, "at", parts)
+    in_cut = Window.partitionBy("application_id", "slice").orderBy(F.col("at").desc())
+    back = Window.partitionBy("application_id").orderBy(F.col("slice").desc())
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    beyond = (
+        moments.groupBy("application_id", "slice")
+        .agg(F.sum("n").alias("n"), F.min("answer_at").alias("answer_at"))
+        .select(
+            "application_id",
+            "slice",
+            F.coalesce(F.sum("n").over(later), F.lit(0)).alias("count_beyond"),
+            F.min("answer_at").over(later).alias("first_beyond"),
+        )
+    )
+    counted = (
+        moments.withColumns({"count": F.sum("n").over(in_cut), "first": F.min("answer_at").over(in_cut)})
+        .join(beyond, ["application_id", "slice"])
+        .select(
+            "application_id",
+            "at",
+            "n",
+            (F.col("count") + F.col("count_beyond")).alias("count"),
+            F.coalesce("first", "first_beyond").alias("first"),
+        )
+    )
+    from_start = counted.select(
+        "application_id",
+        F.col("at").alias("sent_at"),
+        F.col("count").alias("since_start"),
+        F.col("first").alias("first_answer"),
+    )
+    after_end = counted.select(
+        "application_id", F.col("at").alias("until"), (F.col("count") - F.col("n")).alias("after_end")
+    )
+    return (
+        sent.join(from_start, ["application_id", "sent_at"])
+        .join(after_end, ["application_id", "until"])
+        .withColumn("n_answers", F.col("since_start") - F.col("after_end"))
+        .where("n_answers > 0")
+        .select("application_id", "event_id", "sent_at", "n_answers", "first_answer")
+    )

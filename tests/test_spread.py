@@ -4,7 +4,7 @@ import pytest
 from helpers import at
 from pyspark.sql import functions as F
 
-from jobtrail.operators.spread import cut_hot_groups, fits_broadcast, join_lookup
+from jobtrail.operators.spread import busy_keys, cut_along, fits_broadcast, join_lookup
 
 
 def test_fits_broadcast_looks_at_rows_and_bytes(spark):
@@ -58,21 +58,30 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert max(row["count"] for row in sizes) < 40_000 / 32 * 3
 
 
-def test_groups_are_cut_along_time(spark):
-    hot = [(1, i, at(i)) for i in range(1000)] + [(2, i, at(i)) for i in range(20)]
-    df = spark.createDataFrame(hot, "app bigint, n bigint, ts timestamp_ntz")
-    cut, was_cut = cut_hot_groups(df, "app", "ts", hot_rows=100)
-    assert was_cut
-    sizes = Counter((row.app, row.slice) for row in cut.collect())
-    assert sizes[(2, -1)] == 20
-    assert sum(n for (app, _), n in sizes.items() if app == 1) == 1000
-    assert max(n for (app, _), n in sizes.items() if app == 1) <= 130
-    in_time = [row.slice for row in cut.where("app = 1").orderBy("ts").collect()]
+def test_busy_keys(spark):
+    df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 5 + [(3,)] * 11, "app bigint")
+    busy, n = busy_keys(df, "app", hot_rows=10)
+    assert sorted(row.app for row in busy.collect()) == [1, 3]
+    assert n == 41
+    assert busy_keys(df, "app", hot_rows=30) == (None, 0)
+
+
+def test_rows_are_cut_evenly_along_time(spark):
+    # Half of the rows lie in one hour, the others in forty days.
+    moments = [at(i / 10) for i in range(500)] + [at(100 + 120 * i) for i in range(500)]
+    df = spark.createDataFrame([(ts,) for ts in moments], "ts timestamp_ntz")
+    cut = cut_along(df, "ts", 10)
+    sizes = Counter(row.slice for row in cut.collect())
+    assert sum(sizes.values()) == 1000
+    assert len(sizes) == 10
+    # A cut may be off by a tenth of a part.
+    assert max(sizes.values()) <= 120
+    in_time = [row.slice for row in cut.orderBy("ts").collect()]
     assert in_time == sorted(in_time)
 
 
-def test_ordinary_groups_are_not_cut(spark):
-    df = spark.createDataFrame([(1, at(0)), (2, at(1))], "app bigint, ts timestamp_ntz")
-    cut, was_cut = cut_hot_groups(df, "app", "ts", hot_rows=10)
-    assert not was_cut
-    assert {row.slice for row in cut.collect()} == {-1}
+def test_cutting_few_rows(spark):
+    df = spark.createDataFrame([(at(0),)], "ts timestamp_ntz")
+    assert cut_along(df, "ts", 1).count() == 1
+    assert cut_along(df, "ts", 50).count() == 1
+    assert cut_along(df.limit(0), "ts", 50).count() == 0

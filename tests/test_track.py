@@ -69,6 +69,17 @@ def test_history_by_hand(spark, busy, hot_rows):
     assert rows(found, "application_id", "event_id", "lasted_us") == history_by_hand(busy)
 
 
+def test_events_of_one_moment_are_no_burden(spark):
+    """Most events of a busy application fall on one moment: they are folded, not sorted."""
+    events = [(i, at(5), 1, "signup" if i % 2 else "purchase") for i in range(400)]
+    events += [(1000 + i, at(i), 1, "view") for i in range(20)] + [(2000, at(6), 2, "view")]
+    found = status_history(log(spark, *events), hot_rows=50)
+    assert rows(found, "application_id", "event_id", "lasted_us") == history_by_hand(events)
+    assert responses(log(spark, *events), "1 hour", hot_rows=50) == responses_by_hand(
+        events, timedelta(hours=1)
+    )
+
+
 def test_funnel(spark):
     events = log(
         spark, (1, at(3), 1, "view"), (2, at(1), 1, "view"), (3, at(2), 1, "signup"), (4, at(9), 2, "other")
