@@ -101,8 +101,7 @@ def applied(spark: SparkSession, folder: str) -> DataFrame:
 
 def channels(spark: SparkSession) -> DataFrame:
     """Sources that take applications by mail."""
-    by_mail = [("src1", "email"), ("src2", "email")]
-    return spark.createDataFrame(by_mail, "source string, channel string")
+    return spark.sql("SELECT * FROM VALUES ('src1', 'email'), ('src2', 'email') AS t (source, channel)")
 
 
 def shown(ts: str) -> Column:
