@@ -4,6 +4,7 @@ import pytest
 from check import open_tables, spark_result, sql_result
 
 import __spark_entry__ as entry
+from jobtrail import plans
 from helpers import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,14 +16,14 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert plans.QUERIES.keys() == plans.ORACLES.keys()
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["profile_id", "rank", "role_id", "score"]
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", plans.QUERIES)
 def test_query_equals_sql(spark, db, name):
     got_schema, got = spark_result(spark, name, FOLDER)
     want_schema, want = sql_result(db, name)
@@ -31,7 +32,7 @@ def test_query_equals_sql(spark, db, name):
     assert got
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", plans.QUERIES)
 def test_plan_has_no_cross_join_and_no_python(spark, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "InPandas"):
