@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,13 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return joined.withColumn(place, F.col(place) + F.col(before)).select(
         *map(quoted, df.columns), F.col(place).alias(name)
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished work now.
+
+    It does so when the driver's garbage is collected, which may be long after a large
+    intermediate result was written and its shuffles became useless.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
