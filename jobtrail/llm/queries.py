@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import chat, content_sort, cube, huffman, jaccard, merges, sharding, tiles
+from jobtrail.llm import chat, content_sort, cube, huffman, jaccard, merges, perplexity, sharding, tiles
 from jobtrail.llm.common import hex_digest, read
 from jobtrail.sources.shared import new_folder
 
@@ -47,6 +47,13 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    rows = perplexity.judged(docs, read(spark, folder, "labels"))
+    perplexity_ = F.pow(F.lit(2.0), F.col("quality.bits"))
+    return rows.select("doc_id", perplexity_.alias("perplexity"), "quality.limit", "quality.accepted")
+
+
 def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.range(2).select(
@@ -98,6 +105,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
