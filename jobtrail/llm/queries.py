@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import chat, content_sort, cube, huffman, jaccard, merges, perplexity, sharding, tiles
+from jobtrail.llm import chat, content_sort, cube, huffman, jaccard, merges, perplexity, ppm, sharding, tiles
 from jobtrail.llm.common import hex_digest, read
 from jobtrail.sources.shared import new_folder
 
@@ -90,6 +90,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return ppm.identify(docs.select("doc_id", "text"), ppm.learn(docs))
+
+
 def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as file:
         definition = file.read()
@@ -109,6 +114,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {}
