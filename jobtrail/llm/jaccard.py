@@ -115,7 +115,7 @@ def shingles(hashes: np.ndarray, count: np.ndarray, words: int) -> tuple[np.ndar
         token = np.zeros(len(docs), U)
         for step in range(size):
             token = token * A + hashes[first[docs] + step]
-        found.append(_mix(token + U(size) * B))
+        found.append(_mix(token + U(size * int(B) % 2**64)))
         owner.append(docs)
     tokens, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
