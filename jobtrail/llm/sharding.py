@@ -29,14 +29,17 @@ SHARDS = 24
 FRAME = 8
 #: A shard may grow this much above the mean while documents move.
 SLACK = 0.02
-#: No more rounds than this; rounds also end when fewer than SETTLED of the bytes move.
+#: No more rounds than this; rounds also end when fewer than SETTLED of the bytes ask to move.
 ROUNDS = 8
 SETTLED = 0.0005
+#: What a full shard loses in a group's choice, as a share of the group.
+FULL = 0.4
 #: Loads are evened out in steps of this part of a shard.
 STEPS = 4096
-#: Shards count as even when they differ by this part of the mean; documents without links
-#: are moved in all turns but the last, where linked ones may move too.
+#: Shards count as even when they differ by this part of the mean. Documents without links are
+#: moved in all turns but the last, where linked ones may move too if shards differ by APART.
 EVEN = 0.002
+APART = 0.03
 EVENINGS = 5
 
 
@@ -80,8 +83,12 @@ def propagate(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK, round
     for turn in range(rounds):
         votes = linked.groupBy("group", "shard").agg(F.sum("size").alias("held"))
         loads = [a + b for a, b in zip(still, _loads(votes.withColumn("size", F.col("held")), shards))]
-        bonus = _by_shard([1 - load / capacity if capacity else 0.0 for load in loads], "shard")
-        # A group's own bytes weigh more than any bonus, unless two shards hold about the same.
+        # A full shard is worth less, or groups that hold most there would ask in vain.
+        worth = [1 - load / (capacity or 1) - FULL * (load > capacity * (1 - slack / 4)) for load in loads]
+        bonus = _by_shard(worth, "shard")
+        # A group's own bytes weigh more than any bonus, unless two shards hold about the same. Chance
+        # has such groups choose differently, so that they can change places between full shards.
+        bonus = bonus + slack * _chance(F.col("group"), F.col("shard"), F.lit(turn))
         score = F.col("held").cast("double") / F.sum("held").over(Window.partitionBy("group")) + bonus
         votes = votes.withColumn("score", F.struct(score, -F.col("shard")))
         goals = votes.groupBy("group").agg(F.max_by("shard", "score").alias("goal"))
@@ -92,7 +99,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK, round
         takes = _chance(F.col("uid"), F.lit(turn)) < _by_shard(share, "goal")
         linked = asked.withColumn("shard", F.when(takes, F.col("goal")).otherwise(F.col("shard"))).drop("goal")
         linked = stored(linked, "moved")
-        if sum(size * share[goal] for (_, goal), size in flows.items()) <= SETTLED * total:
+        if sum(flows.values()) <= SETTLED * total:
             break
     return alone.unionByName(linked)
 
@@ -152,16 +159,18 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     )
     rows = stored(rows, "shard-rows")
     groups = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    groups = groups.withColumn("group", F.struct("a", "b"))
+    # Written first: the join can then split a group that holds many of the rows.
+    groups = stored(groups.withColumn("group", F.struct("a", "b")), "shard-groups")
     start = F.pmod(F.xxhash64(F.coalesce("id", "uid")), F.lit(shards)).cast("int")
     rows = rows.join(groups, ["a", "b"], "left").drop("a", "b").withColumn("shard", start)
     rows = stored(propagate(stored(rows, "shard-links"), shards), "shard-propagated")
     for turn in range(EVENINGS):
         loads = _loads(rows, shards)
-        if max(loads) - min(loads) <= EVEN * sum(loads) / shards:
+        apart = (max(loads) - min(loads)) * shards
+        last = turn == EVENINGS - 1
+        if apart <= (APART if last else EVEN) * sum(loads):
             break
-        movable = F.col("group").isNull() if turn < EVENINGS - 1 else F.lit(True)
-        rows = stored(even_out(rows, movable, shards, turn), "shard-even")
+        rows = stored(even_out(rows, F.lit(True) if last else F.col("group").isNull(), shards, turn), "shard-even")
     return slots(rows).select(
         F.col("id").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),

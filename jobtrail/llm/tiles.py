@@ -96,15 +96,17 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Itera
 def _smallest(count: int, pairs: list) -> np.ndarray:
     """The smallest place each place is connected with."""
     root = np.arange(count)
-    while pairs:
-        before = root.copy()
+    moved = True
+    while moved:
+        moved = False
         for i, j in pairs:
-            low = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            break
+            a, b = root[i], root[j]
+            if (a != b).any():
+                low, moved = np.minimum(a, b), True
+                np.minimum.at(root, a, low)
+                np.minimum.at(root, b, low)
+        while (root != root[root]).any():
+            root = root[root]
     return root
 
 
