@@ -45,12 +45,28 @@ def path_of(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("PATH"))
 
 
-def address_key(host: Column, path: Column, url: Column) -> Column:
+# Parts of a query that say where a visitor came from, not which page it is.
+TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+
+
+def address_key(path: Column, url: Column) -> Column:
     """One key for all spellings of a page address.
 
-    Scheme, leading ``www.`` or ``m.``, query, fragment, ``.html`` and a final slash are
-    left out. An address that is not well formed is its own key, so it is never lost.
+    Scheme, user, usual port, leading ``www.`` or ``m.``, ``.html``, a final slash, tracking
+    fields of the query and fragments are left out. Other ports, other fields of the query
+    and fragments that are routes (``#/``) tell pages apart. An address that is not well formed
+    is its own key, so it is never lost.
     """
-    site = F.regexp_replace(host, r"^(www|m)\.", "")
+    site = F.lower(F.try_parse_url(url, F.lit("AUTHORITY")))
+    site = F.regexp_replace(site, r"^.*@", "")
+    usual = F.when(F.lower(url).startswith("https:"), ":443$").otherwise(":80$")
+    site = F.regexp_replace(F.regexp_replace(site, usual, F.lit("")), r"^(www|m)\.", "")
     page = F.regexp_replace(path, r"(/|\.html)$", "")
-    return F.coalesce(F.concat(site, page), F.lower(F.trim(url)))
+    fields = F.split(F.try_parse_url(url, F.lit("QUERY")), "&")
+    fields = F.filter(fields, lambda field: (field != "") & ~field.rlike(TRACKING))
+    query = F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&")))
+    fragment = F.try_parse_url(url, F.lit("REF"))
+    route = F.when(fragment.startswith("/"), F.concat(F.lit("#"), fragment))
+    empty = F.lit("")
+    known = F.concat(site, page, F.coalesce(query, empty), F.coalesce(route, empty))
+    return F.coalesce(known, F.lower(F.trim(url)))

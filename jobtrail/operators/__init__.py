@@ -2,6 +2,7 @@ from jobtrail.operators.apply import application_payload, apply_queue
 from jobtrail.operators.score import (
     blend_scores,
     keyword_score,
+    keyword_weights,
     preference_filter,
     top_roles,
     vector_score,
@@ -16,7 +17,14 @@ from jobtrail.operators.track import (
     status_history,
     status_report,
 )
-from jobtrail.operators.watch import new_roles, page_fields, page_key, site_activity, snapshot_diff
+from jobtrail.operators.watch import (
+    new_roles,
+    page_fields,
+    page_key,
+    page_roles,
+    site_activity,
+    snapshot_diff,
+)
 
 __all__ = [
     "activity_windows",
@@ -27,9 +35,11 @@ __all__ = [
     "coverage_gap",
     "current_status",
     "keyword_score",
+    "keyword_weights",
     "new_roles",
     "page_fields",
     "page_key",
+    "page_roles",
     "preference_filter",
     "rank_fragments",
     "responses_within",

@@ -2,26 +2,33 @@
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.operators.spread import join_lookup
-
 DEFAULT_CHANNEL = "form"
 
 
-def apply_queue(top: DataFrame, applied: DataFrame, channels: DataFrame) -> DataFrame:
-    """Chosen roles with no application yet, each with its channel.
+def apply_queue(
+    top: DataFrame, applied: DataFrame, channels: DataFrame, closed: DataFrame | None = None
+) -> DataFrame:
+    """Chosen roles with no application yet, each with its channel and an id of its application.
 
-    ``applied`` is keyed by role, or by profile and role where it has both columns. A source
-    without a channel is applied to by form.
+    ``applied`` is keyed by role, or by profile and role where it has both columns. Roles in
+    ``closed`` (role_id), whose pages are gone, are left out. A source with several channels is
+    applied to by the first in alphabetical order, one without by form.
     """
     keys = [name for name in ("profile_id", "role_id") if name in applied.columns]
     open_roles = top.join(applied.select(*keys).distinct(), keys, "left_anti")
-    routed = join_lookup(
-        open_roles, channels.select("source", "channel"), ["source"], "left", salt_by="role_id"
-    )
-    return routed.na.fill(DEFAULT_CHANNEL, ["channel"])
+    if closed is not None:
+        open_roles = open_roles.join(closed.select("role_id").distinct(), "role_id", "left_anti")
+    one = channels.groupBy("source").agg(F.min("channel").alias("channel"))
+    routed = open_roles.join(one, "source", "left").na.fill(DEFAULT_CHANNEL, ["channel"])
+    return routed.withColumn("application_id", application_id("profile_id", "role_id"))
+
+
+def application_id(profile_id: str, role_id: str) -> Column:
+    """The id under which an application is logged: the same whenever it is worked out."""
+    return F.concat_ws("-", F.col(profile_id).cast("string"), F.col(role_id).cast("string"))
 
 
 def application_payload(queue: DataFrame, resumes: DataFrame, fields: Mapping[str, str]) -> DataFrame:
@@ -37,5 +44,5 @@ def application_payload(queue: DataFrame, resumes: DataFrame, fields: Mapping[st
     mail = F.struct(subject.alias("subject"), text.alias("body"))
     payload = F.when(F.col("channel") == "email", F.to_json(mail)).otherwise(F.to_json(form))
     return queue.join(resumes, "role_id", "left").select(
-        "profile_id", "role_id", "channel", payload.alias("payload")
+        "application_id", "profile_id", "role_id", "channel", payload.alias("payload")
     )

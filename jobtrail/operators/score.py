@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.functions import distinct_words, words
-from jobtrail.operators.spread import fits_broadcast, join_lookup
 
 # Word weights are whole millionths: their sums are exact, whatever the order of adding up.
 UNIT = 1_000_000
@@ -13,49 +12,53 @@ DIGITS = 6
 
 def preference_filter(roles: DataFrame, prefs: DataFrame) -> DataFrame:
     """(profile, role) pairs in the wanted language and within the wanted length."""
-    pairs = join_lookup(roles, prefs, ["lang"], salt_by="role_id")
+    pairs = roles.join(prefs, "lang")
     return pairs.where(F.col("n_chars").between(F.col("min_chars"), F.col("max_chars"))).select(
         "profile_id", "role_id"
     )
 
 
-def keyword_score(roles: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Sum over shared words of ``tf * ln((N + 1) / (df + 1))``, per profile and role.
-
-    The role texts are read twice and never shuffled: once to count in how many roles each
-    profile word occurs, once to add up weights. Only words of some profile get past the
-    first join, and the weights are added up where the text was read before the shuffle.
-    """
+def keyword_weights(roles: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``ln((N + 1) / (df + 1))`` of each word of a profile that occurs in ``df`` of the N roles."""
     wishes = profiles.select(
         "profile_id", F.explode(distinct_words(F.col("text"))).alias("word")
     ).distinct()
-    fits = fits_broadcast(wishes)
-
-    spread = roles.select("role_id", F.explode(distinct_words(F.col("text"))).alias("word"))
-    wanted = wishes.select("word").distinct()
-    in_roles = join_lookup(spread, wanted, ["word"], "left_semi", salt_by="role_id", fits=fits)
-    found = in_roles.groupBy("word").agg(F.count("*").alias("df"))
+    spread = roles.select(F.explode(distinct_words(F.col("text"))).alias("word"))
+    found = spread.join(wishes.select("word").distinct(), "word", "left_semi")
+    found = found.groupBy("word").agg(F.count("*").alias("df"))
     n = roles.agg(F.count("*")).scalar()
     weight = F.round(F.ln((n + 1) / (F.col("df") + 1)) * UNIT).cast("bigint")
-    weights = wishes.join(found, "word").select("word", "profile_id", weight.alias("weight"))
+    return wishes.join(found, "word").select("profile_id", "word", weight.alias("weight"))
+
+
+def keyword_score(roles: DataFrame, prefs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Sum over shared words of ``tf * weight`` for the roles that a profile's preferences allow.
 
-    text = roles.select("role_id", F.explode(words(F.col("text"))).alias("word"))
-    shared = join_lookup(text, weights, ["word"], salt_by="role_id", fits=fits)
+    A role meets only profiles of its language that want its length. Texts stay where they
+    are read: their words meet the weights, which are a lookup, and are added up before the
+    shuffle. Hand in stored preferences and weights, whose size Spark then knows.
+    """
+    wanted = weights.join(prefs, "profile_id")
+    said = roles.select("role_id", "lang", "n_chars", F.explode(words(F.col("text"))).alias("word"))
+    shared = said.join(wanted, ["lang", "word"])
+    shared = shared.where(F.col("n_chars").between(F.col("min_chars"), F.col("max_chars")))
     return shared.groupBy("profile_id", "role_id").agg((F.sum("weight") / UNIT).alias("score"))
 
 
 def vector_score(pairs: DataFrame, role_vectors: DataFrame, profile_vectors: DataFrame) -> DataFrame:
-    """Dot product, in double, of the vectors of each (profile, role) pair.
+    """Mean dot product, in double, of a role's vector with the vectors of a profile.
 
     Scoring takes the pairs that met the hard preferences, so both joins are on keys.
     """
-    wished = profile_vectors.select("profile_id", F.col("embedding").alias("wish"))
-    both = join_lookup(
-        pairs.join(role_vectors, "role_id"), wished, ["profile_id"], salt_by="role_id"
-    )
-    products = F.zip_with("embedding", "wish", lambda a, b: a.cast("double") * b.cast("double"))
-    dot = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-    return both.select("profile_id", "role_id", dot.alias("score"))
+    wishes = profile_vectors.groupBy("profile_id").agg(F.collect_list("embedding").alias("wishes"))
+    both = pairs.join(role_vectors, "role_id").join(wishes, "profile_id")
+
+    def dot(wish):
+        products = F.zip_with("embedding", wish, lambda a, b: a.cast("double") * b.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    total = F.aggregate("wishes", F.lit(0.0), lambda total, wish: total + dot(wish))
+    return both.select("profile_id", "role_id", (total / F.size("wishes")).alias("score"))
 
 
 def blend_scores(kw: DataFrame, vec: DataFrame, w_kw: float, w_vec: float) -> DataFrame:
@@ -68,7 +71,7 @@ def blend_scores(kw: DataFrame, vec: DataFrame, w_kw: float, w_vec: float) -> Da
     vec = vec.select("profile_id", "role_id", F.col("score").alias("vec"))
     top = kw.groupBy("profile_id").agg(F.max("kw").alias("top"))
     both = kw.join(vec, ["profile_id", "role_id"], "full_outer")
-    scaled = join_lookup(both, top, ["profile_id"], "left", salt_by="role_id")
+    scaled = both.join(top, "profile_id", "left")
     kw_part = F.coalesce(F.try_divide(F.col("kw"), F.col("top")), F.lit(0.0))
     blend = w_kw * kw_part + w_vec * F.coalesce("vec", F.lit(0.0))
     return scaled.select("profile_id", "role_id", F.round(blend, DIGITS).alias("score"))

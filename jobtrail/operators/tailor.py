@@ -4,30 +4,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.functions import distinct_words
-from jobtrail.operators.spread import fits_broadcast, join_lookup
+
+
+def _lines(fragments: DataFrame) -> DataFrame:
+    return fragments.select(
+        "fragment_id", F.explode(distinct_words(F.col("text"))).alias("word")
+    ).distinct()
 
 
 def rank_fragments(roles: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
     """Best ``k`` fragments per role by distinct shared words, ties by fragment id.
 
-    Words that no fragment has are dropped where the text is read. What is left is shuffled
-    once, by role; pairing with fragments, counting and ranking all work on that layout.
+    A role's words that no fragment has are dropped where the text is read, and the others
+    are counted there by fragment: what is shuffled is a number per role and fragment.
     """
-    lines = fragments.select(
-        "fragment_id", F.explode(distinct_words(F.col("text"))).alias("word")
-    ).distinct()
-    fits = fits_broadcast(lines)
     spread = roles.select("role_id", F.explode(distinct_words(F.col("text"))).alias("word"))
-    known = join_lookup(
-        spread, lines.select("word").distinct(), ["word"], "left_semi", salt_by="role_id", fits=fits
-    )
-    if fits:
-        known = known.repartition("role_id")
-    shared = (
-        join_lookup(known, lines, ["word"], salt_by="role_id", fits=fits)
-        .groupBy("role_id", "fragment_id")
-        .agg(F.count("*").alias("shared"))
-    )
+    shared = spread.join(_lines(fragments), "word").groupBy("role_id", "fragment_id")
+    shared = shared.agg(F.count("*").alias("shared"))
     best = Window.partitionBy("role_id").orderBy(F.col("shared").desc(), "fragment_id")
     return (
         shared.withColumn("rank", F.row_number().over(best))
@@ -37,23 +30,21 @@ def rank_fragments(roles: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
 
 
 def coverage_gap(roles: DataFrame, chosen: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Distinct words of each role: needed, covered by its chosen fragments, and missing."""
-    lines = fragments.select("fragment_id", distinct_words(F.col("text")).alias("line"))
-    held = (
-        join_lookup(chosen.select("role_id", "fragment_id"), lines, ["fragment_id"], salt_by="role_id")
-        .groupBy("role_id")
-        .agg(F.flatten(F.collect_list("line")).alias("held"))
-    )
-    needs = roles.select("role_id", distinct_words(F.col("text")).alias("needs"))
-    needed = F.coalesce(F.array_size("needs"), F.lit(0))
-    covered = F.coalesce(F.array_size(F.array_intersect("needs", "held")), F.lit(0))
+    """Distinct words of each role: needed, covered by its chosen fragments, and missing.
+
+    The words are counted where the text is read; only those that a fragment has are shuffled.
+    """
+    needs = roles.select("role_id", distinct_words(F.col("text")).alias("words"))
+    needed = F.coalesce(F.array_size("words"), F.lit(0)).cast("bigint")
+    lines = _lines(fragments)
+    said = needs.select("role_id", F.explode("words").alias("word"))
+    said = said.join(lines.select("word").distinct(), "word", "left_semi")
+    held = chosen.select("role_id", "fragment_id").join(lines, "fragment_id").select("role_id", "word").distinct()
+    covered = said.join(held, ["role_id", "word"]).groupBy("role_id").agg(F.count("*").alias("covered"))
     return (
-        needs.join(held, "role_id", "left")
-        .select(
-            "role_id",
-            needed.cast("bigint").alias("needed"),
-            covered.cast("bigint").alias("covered"),
-        )
+        needs.select("role_id", needed.alias("needed"))
+        .join(covered, "role_id", "left")
+        .na.fill(0, ["covered"])
         .withColumn("missing", F.col("needed") - F.col("covered"))
     )
 
@@ -65,7 +56,7 @@ def assemble_resume(roles: DataFrame, ranked: DataFrame, fragments: DataFrame) -
     that ranking left for a role.
     """
     texts = fragments.select("fragment_id", "text")
-    lines = join_lookup(ranked, texts, ["fragment_id"], salt_by="role_id")
+    lines = ranked.join(texts, "fragment_id")
     in_order = F.array_sort(F.collect_list(F.struct("rank", "text")))
     resumes = lines.groupBy("role_id").agg(
         F.array_join(F.transform(in_order, lambda line: line["text"]), "\n\n").alias("resume")

@@ -5,11 +5,18 @@ Events have ``event_id, ts, application_id, status``.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtrail.functions import micros
-from jobtrail.operators.spread import HOT_ROWS, busy_keys, cut_along
+from jobtrail.functions.times import EPOCH, micros
+
+#: Time that the events of an application are sorted together for.
+STRETCH = "1 day"
+
+
+def _length(span: str) -> Column:
+    """Microseconds of a span of days, hours, minutes or seconds."""
+    return micros(F.expr(f"{EPOCH} + INTERVAL {span}"))
 
 
 def current_status(events: DataFrame) -> DataFrame:
@@ -31,54 +38,36 @@ def current_status(events: DataFrame) -> DataFrame:
     )
 
 
-def status_history(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def status_history(events: DataFrame, stretch: str = STRETCH) -> DataFrame:
     """Each event with the microseconds until the application's next event; null for the last.
 
-    The events of one application are sorted in one task, unless there are very many of them.
-    """
-    log = events.select("application_id", "event_id", "status", "ts")
-    busy, busy_rows = busy_keys(log, "application_id", hot_rows)
-    rest = log if busy is None else log.join(busy, "application_id", "left_anti")
-    in_order = Window.partitionBy("application_id").orderBy("ts", "event_id")
-    found = rest.withColumn("next_ts", F.lead("ts").over(in_order))
-    if busy is not None:
-        busy_log = log.join(busy, "application_id", "left_semi")
-        parts = 1 + busy_rows // hot_rows
-        found = found.unionByName(_busy_history(busy_log, parts))
-    lasted = micros(F.col("next_ts")) - micros(F.col("ts"))
-    return found.select("application_id", "event_id", "status", "ts", lasted.alias("lasted_us"))
-
-
-def _busy_history(log: DataFrame, parts: int) -> DataFrame:
-    """``next_ts`` for applications with very many events.
-
-    Events are folded to the moments at which there are any, which are cut along time. The
-    next moment is the following one in the cut or, after its last, the first of a later cut.
-    Of the events of one moment, the one with the greatest id lasts until the next moment.
+    Events of a moment are ordered by id, then status. An event without a time is last and has no
+    length; events without an application, or without an id, are ordered like others, nulls last.
+
+    Events are sorted by application and ``stretch`` of time, so a busy application lies in many
+    tasks. The last event of a stretch is followed by the first of a later one, which is
+    looked up among one row per application and stretch. The stretch does not change the answer.
     """
-    moments = log.groupBy("application_id", "ts").agg(F.max("event_id").alias("last_id"))
-    moments = cut_along(moments, "ts", parts)
-    in_cut = Window.partitionBy("application_id", "slice").orderBy("ts")
-    along = Window.partitionBy("application_id").orderBy("slice")
-    later = (
-        moments.groupBy("application_id", "slice")
-        .agg(F.min("ts").alias("first_ts"))
-        .withColumn("later_ts", F.lead("first_ts").over(along))
-        .drop("first_ts")
-    )
-    following = (
-        moments.withColumn("following_ts", F.lead("ts").over(in_cut))
-        .join(later, ["application_id", "slice"])
-        .withColumn("following_ts", F.coalesce("following_ts", "later_ts"))
-        .drop("slice", "later_ts")
+    app, at = F.col("application_id"), F.col("ts")
+    part = F.floor(micros(at) / _length(stretch))
+    log = events.select("application_id", "event_id", "status", "ts").withColumns(
+        # Without nulls, so that the window and the join share one layout.
+        {
+            "_app": F.coalesce(app, F.lit(0)),
+            "_no_app": app.isNull(),
+            "_part": F.coalesce(part, F.lit(0)),
+            "_no_part": part.isNull(),
+        }
     )
-    next_ts = F.when(F.col("event_id") < F.col("last_id"), F.col("ts")).otherwise(
-        F.col("following_ts")
-    )
-    return (
-        log.join(following, ["application_id", "ts"])
-        .withColumn("next_ts", next_ts)
-        .drop("last_id", "following_ts")
+    keys = ["_app", "_no_app", "_part", "_no_part"]
+    order = [F.col(name).asc_nulls_last() for name in ("ts", "event_id", "status")]
+    log = log.withColumn("next_ts", F.lead("ts").over(Window.partitionBy(*keys).orderBy(*order)))
+    along = Window.partitionBy("_app", "_no_app").orderBy("_no_part", "_part")
+    firsts = log.groupBy(*keys).agg(F.min("ts").alias("first_ts"))
+    later = firsts.withColumn("later_ts", F.lead("first_ts").over(along)).drop("first_ts")
+    lasted = micros(F.coalesce("next_ts", "later_ts")) - micros(at)
+    return log.join(later, keys).select(
+        "application_id", "event_id", "status", "ts", F.when(at.isNotNull(), lasted).alias("lasted_us")
     )
 
 
@@ -124,122 +113,55 @@ def stale_applications(events: DataFrame, cutoff: str) -> DataFrame:
     )
 
 
-def responses_within(
-    sent: DataFrame, answers: DataFrame, span: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def responses_within(sent: DataFrame, answers: DataFrame, span: str) -> DataFrame:
     """Each sent application answered within ``span``: how many answers, and the first.
 
-    No (sent, answer) pair is formed. Both ends of each span are marked among the answers of
-    the application. Going back in time, a running count of answers is taken at both marks;
-    the difference is the number inside, both ends included. The marks of one application are
-    sorted in one task, unless there are very many of them.
-    """
-    sent = sent.select(
-        "application_id",
-        "event_id",
-        F.col("ts").alias("sent_at"),
-        (F.col("ts") + F.expr(f"INTERVAL {span}")).alias("until"),
-    )
-    answers = answers.select("application_id", F.col("ts").alias("at"))
-    ids = sent.select("application_id").unionAll(answers.select("application_id"))
-    busy, busy_rows = busy_keys(ids, "application_id", hot_rows)
-    if busy is None:
-        return _count_responses(sent, answers)
-
-    def parted(df: DataFrame, how: str) -> DataFrame:
-        return df.join(busy, "application_id", how)
-
-    rest = _count_responses(parted(sent, "left_anti"), parted(answers, "left_anti"))
-    parts = 1 + 2 * busy_rows // hot_rows
-    return rest.unionByName(
-        _count_busy_responses(parted(sent, "left_semi"), parted(answers, "left_semi"), parts)
-    )
-
+    An event that was logged twice is one sent application. Events without an application or
+    a time answer nothing and are not answered. Both ends of the span count.
 
-def _count_responses(sent: DataFrame, answers: DataFrame) -> DataFrame:
+    No (sent, answer) pair is formed. Time is cut in stretches as long as the span, so that each
+    span ends in its own stretch or in the next. Both ends are marked among the answers of the
+    application in their stretch. Going back in time, running counts give the answers from the
+    start to the end of its stretch, and those behind the end. A busy application lies in many tasks.
+    """
+    known = F.col("application_id").isNotNull() & F.col("ts").isNotNull()
+    sent = sent.where(known).select("application_id", "event_id", F.col("ts").alias("sent_at")).distinct()
+    sent = sent.withColumn("until", F.col("sent_at") + F.expr(f"INTERVAL {span}"))
     starts, replies, ends = 0, 1, 2
+    part = F.floor(micros(F.col("at")) / _length(span))
     both_ends = F.array(
         F.struct(F.col("sent_at").alias("at"), F.lit(starts).alias("mark")),
         F.struct(F.col("until").alias("at"), F.lit(ends).alias("mark")),
     )
-    marks = sent.select("application_id", "event_id", "sent_at", F.inline(both_ends)).unionByName(
-        answers.withColumn("mark", F.lit(replies)), allowMissingColumns=True
+    marks = sent.select("application_id", "event_id", "sent_at", "until", F.inline(both_ends))
+    answered = answers.where(known).select(
+        "application_id", F.col("ts").alias("at"), F.lit(replies).alias("mark")
     )
+    marks = marks.unionByName(answered, allowMissingColumns=True).withColumn("part", part)
+
+    stretch = Window.partitionBy("application_id", "part")
     # At one moment the end comes first, then answers, then the start: all of them count.
-    back = (
-        Window.partitionBy("application_id")
-        .orderBy(F.col("at").desc(), F.col("mark").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    is_reply = F.col("mark") == replies
+    back = stretch.orderBy(F.col("at").desc(), F.col("mark").desc())
+    back = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reply = F.when(F.col("mark") == replies, F.col("at"))
     marks = marks.withColumns(
         {
-            "count": F.count(F.when(is_reply, 1)).over(back),
-            "first": F.min(F.when(is_reply, F.col("at"))).over(back),
+            "behind": F.count(reply).over(back),
+            "all": F.count(reply).over(stretch),
+            "next": F.min(reply).over(back),
+            "first": F.min(reply).over(stretch),
         }
     )
     at_start = F.col("mark") == starts
-    inside = F.sum(F.when(at_start, F.col("count")).otherwise(-F.col("count")))
+    crosses = F.floor(micros(F.col("sent_at")) / _length(span)) != F.col("part")
+    up_to_end = F.when(crosses, F.col("all")).otherwise(0) - F.col("behind")
+    in_next = F.when(crosses & (F.col("first") <= F.col("until")), F.col("first"))
     return (
-        marks.where(~is_reply)
+        marks.where(F.col("mark") != replies)
         .groupBy("application_id", "event_id", "sent_at")
-        .agg(inside.alias("n_answers"), F.min(F.when(at_start, F.col("first"))).alias("first_answer"))
-        .where("n_answers > 0")
-    )
-
-
-def _count_busy_responses(sent: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """The same for applications with very many events.
-
-    Answers and marks are folded to one row per moment, and the moments are cut along time.
-    The running count is taken in each cut, and what lies in later cuts is added.
-    """
-    moments = (
-        answers.select("application_id", "at", F.lit(1).alias("n"))
-        .unionAll(sent.select("application_id", "sent_at", F.lit(0)))
-        .unionAll(sent.select("application_id", "until", F.lit(0)))
-        .groupBy("application_id", "at")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("answer_at", F.when(F.col("n") > 0, F.col("at")))
-    )
-    moments = cut_along(moments, "at", parts)
-    in_cut = Window.partitionBy("application_id", "slice").orderBy(F.col("at").desc())
-    back = Window.partitionBy("application_id").orderBy(F.col("slice").desc())
-    later = back.rowsBetween(Window.unboundedPreceding, -1)
-    beyond = (
-        moments.groupBy("application_id", "slice")
-        .agg(F.sum("n").alias("n"), F.min("answer_at").alias("answer_at"))
-        .select(
-            "application_id",
-            "slice",
-            F.coalesce(F.sum("n").over(later), F.lit(0)).alias("count_beyond"),
-            F.min("answer_at").over(later).alias("first_beyond"),
+        .agg(
+            F.sum(F.when(at_start, F.col("behind")).otherwise(up_to_end)).alias("n_answers"),
+            F.min(F.when(at_start, F.col("next")).otherwise(in_next)).alias("first_answer"),
         )
-    )
-    counted = (
-        moments.withColumns({"count": F.sum("n").over(in_cut), "first": F.min("answer_at").over(in_cut)})
-        .join(beyond, ["application_id", "slice"])
-        .select(
-            "application_id",
-            "at",
-            "n",
-            (F.col("count") + F.col("count_beyond")).alias("count"),
-            F.coalesce("first", "first_beyond").alias("first"),
-        )
-    )
-    from_start = counted.select(
-        "application_id",
-        F.col("at").alias("sent_at"),
-        F.col("count").alias("since_start"),
-        F.col("first").alias("first_answer"),
-    )
-    after_end = counted.select(
-        "application_id", F.col("at").alias("until"), (F.col("count") - F.col("n")).alias("after_end")
-    )
-    return (
-        sent.join(from_start, ["application_id", "sent_at"])
-        .join(after_end, ["application_id", "until"])
-        .withColumn("n_answers", F.col("since_start") - F.col("after_end"))
         .where("n_answers > 0")
-        .select("application_id", "event_id", "sent_at", "n_answers", "first_answer")
     )

@@ -5,37 +5,67 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions import address_key, host_of, markup_text, path_of
 from jobtrail.functions.pages import UNREAD, element
-from jobtrail.operators.spread import fits_broadcast, join_lookup
+
+OPEN = r"(?i:<article\b[^>]*>)"
+CLOSE = r"(?i:</article\s*>)"
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Heading, language and reading text of each page.
 
     Scripts, styles, comments and the head go first, since they may hold text that looks like
-    tags. The text is that of the first ``article``, or of the whole page where there is none.
+    tags. The text runs from the first ``article`` to the end of the last, to the end of the page if
+    one is not closed, and is the whole page where there is none.
     """
+    read = _read(pages)
+    markup = F.col("markup")
+    opened, closed = (F.regexp_count(markup, F.lit(tag)) for tag in (OPEN, CLOSE))
+    rest = F.regexp_extract(markup, rf"(?s){OPEN}(.*)", 1)
+    body = (
+        F.when(opened == 0, markup)
+        .when(opened > closed, rest)
+        .otherwise(F.regexp_extract(rest, rf"(?s)(.*){CLOSE}", 1))
+    )
+    return read.select(
+        "page_id", markup_text(element(markup, "h1")).alias("heading"), "language", markup_text(body).alias("body")
+    )
+
+
+def page_roles(pages: DataFrame) -> DataFrame:
+    """The roles a page lists: one for each ``article``, numbered from 0, or the whole page.
+
+    An article ends at its closing tag or where the next one opens.
+    """
+    markup = F.col("markup")
+    parts = F.split(markup, OPEN, -1)
+    listed = F.when(F.size(parts) > 1, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
+    roles = _read(pages).select("page_id", "language", F.posexplode(listed).alias("position", "part"))
+    part = F.regexp_replace(F.col("part"), rf"(?s){CLOSE}.*", "")
+    return roles.select(
+        "page_id",
+        "position",
+        "language",
+        markup_text(element(F.col("part"), "h1")).alias("heading"),
+        markup_text(part).alias("body"),
+    )
+
+
+def _read(pages: DataFrame) -> DataFrame:
+    """Language and markup of pages, without the parts that are not read."""
     html = F.col("html")
     language = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z0-9-]+)""", 1)
-    read = pages.select(
+    return pages.select(
         "page_id",
         F.lower(language).alias("language"),
         F.regexp_replace(html, F.lit(UNREAD), F.lit(" ")).alias("markup"),
     )
-    markup = F.col("markup")
-    article = F.when(markup.rlike(r"(?i)<article\b"), element(markup, "article"))
-    return read.select(
-        "page_id",
-        markup_text(element(markup, "h1")).alias("heading"),
-        "language",
-        markup_text(F.coalesce(article, markup)).alias("body"),
-    )
 
 
 def page_key(pages: DataFrame) -> DataFrame:
     """Add host, path and a key shared by all spellings of the address."""
-    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    url = F.col("url")
     parsed = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    return parsed.withColumn("page_key", address_key(host, path, url))
+    return parsed.withColumn("page_key", address_key(F.col("path"), url))
 
 
 def snapshot_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
@@ -80,10 +110,9 @@ def site_activity(diff: DataFrame) -> DataFrame:
     return diff.groupBy(host_of(F.col("url")).alias("host")).agg(*counts)
 
 
-def new_roles(
-    roles: DataFrame, seen: DataFrame, key: str = "page_key", salt_by: str = "page_id"
-) -> DataFrame:
-    """Roles whose key is not among the seen keys. A role without a key is new."""
-    seen = seen.select(key)
-    fits = fits_broadcast(seen)
-    return join_lookup(roles, seen.distinct(), [key], "left_anti", salt_by=salt_by, fits=fits)
+def new_roles(roles: DataFrame, seen: DataFrame, key: str = "page_key") -> DataFrame:
+    """Roles whose key is not among the seen keys. A role without a key is new.
+
+    Hand in ids and keys only: what is large is joined back for the few that are new.
+    """
+    return roles.join(seen.select(key).distinct(), key, "left_anti")

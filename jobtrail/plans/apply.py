@@ -17,7 +17,7 @@ from jobtrail.sources import new_folder, read_outbox, stored, write_outbox
 # Roles to apply for, per search.
 K = 100
 
-OUTBOX_SCHEMA = "profile_id string, role_id bigint, channel string, payload string, batch bigint"
+OUTBOX_SCHEMA = "application_id string, profile_id string, role_id bigint, channel string, payload string, batch bigint"
 
 # The applicant's answers to form fields.
 FIELDS = {"name": "A. Applicant", "phone": "000", "start": "at once"}
@@ -33,14 +33,14 @@ def chosen(spark: SparkSession, folder: str) -> DataFrame:
 def queue(spark: SparkSession, folder: str) -> DataFrame:
     return apply_queue(
         chosen(spark, folder), inputs.applied(spark, folder), inputs.channels(spark)
-    ).select("profile_id", "role_id", "source", "channel")
+    ).select("application_id", "profile_id", "role_id", "source", "channel")
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Resumes are tailored to the queued roles only, which are few but may be long."""
     queued = stored(queue(spark, folder), "queue")
-    ids = queued.select("role_id").distinct()
-    roles = inputs.roles(spark, folder).join(ids, "role_id", "left_semi").repartition("role_id")
+    ids = stored(queued.select("role_id").distinct(), "queued-roles")
+    roles = inputs.roles(spark, folder).join(ids, "role_id", "left_semi")
     fragments = inputs.fragments(spark, folder)
     ranked = rank_fragments(roles, fragments, tailor_plans.K)
     return application_payload(queued, assemble_resume(roles, ranked, fragments), FIELDS)
@@ -54,16 +54,16 @@ def outbox(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"apply_queue": queue, "application_payload": payloads, "write_outbox": outbox}
 
-_QUEUE = f"""{score_plans.ITEMS}, {score_plans.KEYWORDS},
+_QUEUE = f"""{score_plans.WANTED},
     chosen AS ({score_plans.TOP.format(scores="kw", k=K)}),
-    queue AS (SELECT profile_id, role_id, source,
+    queue AS (SELECT profile_id || '-' || role_id AS application_id, profile_id, role_id, source,
                      CASE WHEN source IN ('src1', 'src2') THEN 'email' ELSE 'form' END AS channel
               FROM chosen JOIN documents ON doc_id = role_id
               WHERE role_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup'))"""
 
 _PAYLOADS = f"""{_QUEUE}, {tailor_plans.RESUMES},
     payloads AS (
-        SELECT profile_id, role_id, channel,
+        SELECT application_id, profile_id, role_id, channel,
                CAST(CASE WHEN channel = 'email'
                     THEN json_object('subject', 'Application for role ' || role_id, 'body', resume)
                     ELSE json_object('role_id', role_id, 'name', 'A. Applicant', 'phone', '000',
@@ -71,8 +71,8 @@ _PAYLOADS = f"""{_QUEUE}, {tailor_plans.RESUMES},
         FROM queue JOIN resumes USING (role_id))"""
 
 ORACLES = {
-    "apply_queue": f"WITH {_QUEUE} SELECT profile_id, role_id, source, channel FROM queue",
-    "application_payload": f"WITH {_PAYLOADS} SELECT profile_id, role_id, channel, payload FROM payloads",
+    "apply_queue": f"WITH {_QUEUE} SELECT application_id, profile_id, role_id, source, channel FROM queue",
+    "application_payload": f"WITH {_PAYLOADS} SELECT application_id, profile_id, role_id, channel, payload FROM payloads",
     "write_outbox": f"""WITH {_PAYLOADS}
-        SELECT profile_id, role_id, channel, payload, CAST(0 AS BIGINT) AS batch FROM payloads""",
+        SELECT application_id, profile_id, role_id, channel, payload, CAST(0 AS BIGINT) AS batch FROM payloads""",
 }

@@ -7,7 +7,7 @@ resume fragments, and events are the log, with the user as the application.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.sources import read_table, scan_pages, spread
+from jobtrail.sources import read_table, scan_pages, spread, stored
 
 # Stages of an application, as the log spells them.
 SENT = "signup"
@@ -41,25 +41,27 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return spread(roles(spark, folder), "role_id")
 
 
-def _items(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark texts, each with the language and length of the role of its number."""
-    items = read_table(spark, folder, "benchmark")
+def items(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark texts, each with the language and length of the role of its number.
+
+    A written table, so Spark knows its size wherever it is joined.
+    """
+    texts = read_table(spark, folder, "benchmark")
     like = roles(spark, folder).select(F.col("role_id").alias("item_id"), "lang", "n_chars")
-    return items.join(like, "item_id")
+    return stored(texts.join(like, "item_id"), "items")
 
 
-def profiles(spark: SparkSession, folder: str) -> DataFrame:
+def profiles(items: DataFrame) -> DataFrame:
     """One search per language, which looks for the words of all its benchmark texts."""
-    return _items(spark, folder).select(F.col("lang").alias("profile_id"), "text")
+    return items.select(F.col("lang").alias("profile_id"), "text")
 
 
-def preferences(spark: SparkSession, folder: str) -> DataFrame:
+def preferences(items: DataFrame) -> DataFrame:
     """Each search wants its language, and half to double the mean length of its items."""
-    items, chars = F.count("*"), F.sum("n_chars")
+    number, chars = F.count("*"), F.sum("n_chars")
     return (
-        _items(spark, folder)
-        .groupBy("lang")
-        .agg(items.alias("items"), chars.alias("chars"))
+        items.groupBy("lang")
+        .agg(number.alias("items"), chars.alias("chars"))
         .selectExpr(
             "lang AS profile_id",
             "lang",
@@ -78,11 +80,10 @@ def role_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("role_id"), "embedding")
 
 
-def profile_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """The vector of the first item of each search."""
-    items = _items(spark, folder).select(F.col("lang").alias("profile_id"), "item_id")
-    first = items.groupBy("profile_id").agg(F.min("item_id").alias("role_id"))
-    return role_vectors(spark, folder).join(first, "role_id").select("profile_id", "embedding")
+def profile_vectors(spark: SparkSession, folder: str, items: DataFrame) -> DataFrame:
+    """The vectors of all items of each search."""
+    wished = items.select(F.col("lang").alias("profile_id"), F.col("item_id").alias("role_id"))
+    return role_vectors(spark, folder).join(wished, "role_id").select("profile_id", "embedding")
 
 
 def as_log(events: DataFrame) -> DataFrame:

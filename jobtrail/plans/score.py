@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobtrail.operators import (
     blend_scores,
     keyword_score,
+    keyword_weights,
     preference_filter,
     top_roles,
     vector_score,
@@ -18,18 +19,33 @@ W_VECTORS = 0.3
 
 
 def wanted(spark: SparkSession, folder: str) -> DataFrame:
-    return preference_filter(inputs.roles(spark, folder), inputs.preferences(spark, folder))
+    return _wanted(spark, folder, inputs.items(spark, folder))
+
+
+def _wanted(spark: SparkSession, folder: str, items: DataFrame) -> DataFrame:
+    return preference_filter(inputs.roles(spark, folder), inputs.preferences(items))
+
+
+def scored(roles: DataFrame, items: DataFrame) -> DataFrame:
+    """Keyword scores of the roles each search's preferences allow."""
+    prefs = stored(inputs.preferences(items), "preferences")
+    weights = stored(keyword_weights(roles, inputs.profiles(items)), "weights")
+    return keyword_score(roles, prefs, weights)
 
 
 def by_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword_score(inputs.texts(spark, folder), inputs.profiles(spark, folder))
+    return scored(inputs.texts(spark, folder), inputs.items(spark, folder))
 
 
 def by_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_vectors(spark, folder, inputs.items(spark, folder))
+
+
+def _by_vectors(spark: SparkSession, folder: str, items: DataFrame) -> DataFrame:
     return vector_score(
-        wanted(spark, folder),
+        _wanted(spark, folder, items),
         inputs.role_vectors(spark, folder),
-        inputs.profile_vectors(spark, folder),
+        inputs.profile_vectors(spark, folder, items),
     )
 
 
@@ -38,8 +54,9 @@ def vectors_rounded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blended(spark: SparkSession, folder: str) -> DataFrame:
-    kw = stored(by_keywords(spark, folder), "keyword-scores")
-    return blend_scores(kw, by_vectors(spark, folder), W_KEYWORDS, W_VECTORS)
+    items = inputs.items(spark, folder)
+    kw = stored(scored(inputs.texts(spark, folder), items), "keyword-scores")
+    return blend_scores(kw, _by_vectors(spark, folder, items), W_KEYWORDS, W_VECTORS)
 
 
 def top(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,18 +80,25 @@ QUERIES = {
 ITEMS = """
     items AS (SELECT b.item_id, b.text, d.lang, d.n_chars FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
 
-_PAIRS = """
+PREFS = """
     prefs AS (SELECT lang AS profile_id, lang, CAST(sum(n_chars) // (2 * count(*)) AS BIGINT) AS min_chars,
                      CAST(2 * sum(n_chars) // count(*) AS BIGINT) AS max_chars
-              FROM items GROUP BY lang),
-    pairs AS (SELECT p.profile_id, d.doc_id AS role_id
-              FROM prefs p JOIN documents d
-                ON d.lang = p.lang AND d.n_chars BETWEEN p.min_chars AND p.max_chars)"""
+              FROM items GROUP BY lang)"""
+
+
+def pairs_of(table: str, key: str) -> str:
+    """SQL for the roles of a table that preferences allow."""
+    return f"""{PREFS},
+    pairs AS (SELECT p.profile_id, t.{key} AS role_id
+              FROM prefs p JOIN {table} t
+                ON t.lang = p.lang AND t.n_chars BETWEEN p.min_chars AND p.max_chars)"""
+
 
+_PAIRS = pairs_of("documents", "doc_id")
 
 
 def keywords_of(table: str, key: str) -> str:
-    """SQL for keyword scores of the texts of a table."""
+    """SQL for keyword scores of the texts of a table, of whose roles ``pairs`` are wanted."""
     return f"""
     wishes AS (SELECT DISTINCT lang AS profile_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word
                FROM items),
@@ -84,17 +108,19 @@ def keywords_of(table: str, key: str) -> str:
     weights AS (SELECT word, CAST(round(ln(((SELECT count(*) FROM {table}) + 1) / (count(*) + 1)) * 1000000) AS BIGINT) AS weight
                 FROM tf GROUP BY 1),
     kw AS (SELECT profile_id, role_id, CAST(sum(tf * weight) AS DOUBLE) / 1000000 AS score
-           FROM tf JOIN weights USING (word) JOIN wishes USING (word) GROUP BY 1, 2)"""
+           FROM tf JOIN weights USING (word) JOIN wishes USING (word) JOIN pairs USING (profile_id, role_id)
+           GROUP BY 1, 2)"""
 
 
 KEYWORDS = keywords_of("documents", "doc_id")
+WANTED = f"{ITEMS}, {_PAIRS}, {KEYWORDS}"
 
 _VECTORS = """
-    wish AS (SELECT lang AS profile_id, min(item_id) AS vec_id FROM items JOIN embeddings ON vec_id = item_id GROUP BY 1),
     vec AS (SELECT p.profile_id, p.role_id,
-                   list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])) AS score
+                   avg(list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[]))) AS score
             FROM pairs p JOIN embeddings r ON r.vec_id = p.role_id
-                         JOIN wish USING (profile_id) JOIN embeddings w ON w.vec_id = wish.vec_id)"""
+                         JOIN items ON items.lang = p.profile_id JOIN embeddings w ON w.vec_id = items.item_id
+            GROUP BY 1, 2)"""
 
 _BLEND = """
     top AS (SELECT profile_id, max(score) AS top FROM kw GROUP BY 1),
@@ -113,10 +139,10 @@ _ALL = f"{ITEMS}, {_PAIRS}, {KEYWORDS}, {_VECTORS}, {_BLEND}"
 
 ORACLES = {
     "preference_filter": f"WITH {ITEMS}, {_PAIRS} SELECT profile_id, role_id FROM pairs",
-    "keyword_score": f"WITH {ITEMS}, {KEYWORDS} SELECT profile_id, role_id, score FROM kw",
+    "keyword_score": f"WITH {ITEMS}, {_PAIRS}, {KEYWORDS} SELECT profile_id, role_id, score FROM kw",
     "vector_score": f"""WITH {ITEMS}, {_PAIRS}, {_VECTORS}
         SELECT profile_id, role_id, round(score, 6) AS score FROM vec""",
     "blend_scores": f"WITH {_ALL} SELECT profile_id, role_id, score FROM blend",
-    "top_roles": f"WITH {ITEMS}, {KEYWORDS} {TOP.format(scores='kw', k=K)}",
+    "top_roles": f"WITH {ITEMS}, {_PAIRS}, {KEYWORDS} {TOP.format(scores='kw', k=K)}",
     "top_blended_roles": f"WITH {_ALL} {TOP.format(scores='blend', k=K)}",
 }

@@ -20,7 +20,7 @@ from jobtrail.sources import (
     outbox_sink,
     read_log,
     read_outbox,
-    stream_table,
+    read_table,
 )
 from jobtrail.streaming import (
     activity_changes,
@@ -32,6 +32,8 @@ from jobtrail.streaming import (
 WIDTH = "1 hour"
 SPAN = "2 days"
 LATE = "1 day"
+#: Files in which the streams get the events.
+PARTS = 3
 CUTOFF = "2024-01-30 00:00:00"
 
 
@@ -70,8 +72,22 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _arriving(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream of files, each a part of the time they span, oldest first."""
+    events = read_table(spark, folder, "events")
+    inbox = new_folder(spark, "events")
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(seconds), F.max(seconds)).first()
+    first, width = ends[0] or 0, ((ends[1] or 0) - (ends[0] or 0)) // PARTS + 1
+    for part in range(PARTS):
+        inside = events.where(F.floor((seconds - first) / width) == part)
+        inside.coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return inputs.as_log(stream.parquet(inbox))
+
+
 def windows_stream(spark: SparkSession, folder: str) -> DataFrame:
-    arriving = inputs.as_log(stream_table(spark, folder, "events"))
+    arriving = _arriving(spark, folder)
     out = new_folder(spark, "activity")
     changes = activity_changes(arriving, WIDTH, LATE)
     run_to_end(changes, outbox_sink(f"{out}/changes"), f"{out}/checkpoint", "update")
@@ -97,10 +113,8 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def responses_stream(spark: SparkSession, folder: str) -> DataFrame:
-    sent, answers = (
-        _stage(inputs.as_log(stream_table(spark, folder, "events")), stage)
-        for stage in (inputs.SENT, inputs.ANSWER)
-    )
+    events = _arriving(spark, folder)
+    sent, answers = (_stage(events, stage) for stage in (inputs.SENT, inputs.ANSWER))
     out = new_folder(spark, "responses")
     found = responses_within_stream(sent, answers, SPAN, LATE)
     run_to_end(found, outbox_sink(f"{out}/answered"), f"{out}/checkpoint")
@@ -131,7 +145,7 @@ _RESPONSES = """
     found AS (
         SELECT s.user_id AS application_id, s.event_id, s.ts AS sent_at,
                count(*) AS n_answers, min(a.ts) AS first_answer
-        FROM events s JOIN events a
+        FROM (SELECT DISTINCT user_id, event_id, ts, event_type FROM events) s JOIN events a
           ON a.user_id = s.user_id AND a.ts BETWEEN s.ts AND s.ts + INTERVAL 2 DAY
         WHERE s.event_type = 'signup' AND a.event_type = 'purchase'
         GROUP BY 1, 2, 3)"""

@@ -1,20 +1,25 @@
 """Watch queries."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobtrail.operators import (
-    keyword_score,
     new_roles,
     page_fields,
     page_key,
+    page_roles,
     site_activity,
     snapshot_diff,
     top_roles,
 )
 from jobtrail.plans import inputs
-from jobtrail.plans.score import ITEMS, K, TOP, keywords_of
-from jobtrail.sources import new_folder, read_outbox, scan_pages, stored, stream_table
-from jobtrail.streaming import new_roles_sink, run_to_end
+from jobtrail.plans.score import ITEMS, K, TOP, keywords_of, pairs_of, scored
+from jobtrail.sources import new_folder, outbox_sink, read_outbox, scan_pages, stored, stream_table
+from jobtrail.streaming import new_keys, run_to_end
+
+
+#: Parts in which streams get a table.
+PARTS = 3
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +34,10 @@ def keys(spark: SparkSession, folder: str) -> DataFrame:
     return page_key(scan_pages(spark, folder)).select("page_id", "host", "path", "page_key")
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    return page_roles(inputs.crawled(spark, folder))
+
+
 def diff(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_diff(inputs.previous_pages(spark, folder), current(spark, folder))
 
@@ -39,35 +48,43 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
 
 def unseen(spark: SparkSession, folder: str) -> DataFrame:
     found = page_key(current(spark, folder)).select("page_id", "page_key")
-    return new_roles(found, page_key(inputs.previous_pages(spark, folder)))
+    return new_roles(found, page_key(inputs.previous_pages(spark, folder))).select("page_id", "page_key")
 
 
 def unseen_stream(spark: SparkSession, folder: str) -> DataFrame:
-    arriving = page_key(inputs.current_pages(stream_table(spark, folder, "pages")))
-    seen = page_key(inputs.previous_pages(spark, folder))
+    """The pages arrive in parts by id; those that are read again show nothing new."""
+    inbox = new_folder(spark, "pages")
+    pages = scan_pages(spark, folder)
+    for part in range(PARTS):
+        pages.where(F.pmod("page_id", F.lit(PARTS)) == part).write.mode("append").parquet(inbox)
+    seen = stored(page_key(inputs.previous_pages(spark, folder)).select("page_key").distinct(), "seen-keys")
     out = new_folder(spark, "new-roles")
-    sink = new_roles_sink(seen, "page_key", f"{out}/keys")
-    run_to_end(arriving, sink, f"{out}/checkpoint")
-    return read_outbox(spark, f"{out}/keys", "page_key string, batch bigint").select("page_key")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    arriving = page_key(inputs.current_pages(stream))
+    run_to_end(new_keys(arriving, seen), outbox_sink(f"{out}/keys"), f"{out}/checkpoint")
+    return read_outbox(spark, f"{out}/keys", "page_id bigint, url string, page_key string, batch bigint").select("page_key")
 
 
 def new_role_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The new pages as roles: the id of the page and its reading text."""
-    new_pages = new_roles(
-        page_key(current(spark, folder)), page_key(inputs.previous_pages(spark, folder))
+    # Ids and keys alone find the new pages; their html is then read where it lies.
+    ids = stored(unseen(spark, folder).select("page_id").distinct(), "new-pages")
+    new_pages = current(spark, folder).join(ids, "page_id", "left_semi")
+    return page_fields(new_pages).selectExpr(
+        "page_id AS role_id", "body AS text", "language AS lang", "CAST(length(body) AS BIGINT) AS n_chars"
     )
-    return page_fields(new_pages).selectExpr("page_id AS role_id", "body AS text")
 
 
 def top_new(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best of the new pages for each search."""
     roles = stored(new_role_texts(spark, folder), "new-role-texts")
-    return top_roles(keyword_score(roles, inputs.profiles(spark, folder)), K)
+    return top_roles(scored(roles, inputs.items(spark, folder)), K)
 
 
 QUERIES = {
     "scan_pages": scan_pages,
     "page_fields": fields,
+    "page_roles": listed,
     "page_key": keys,
     "snapshot_diff": diff,
     "site_activity": activity,
@@ -82,9 +99,13 @@ _CRAWLS = """
                    html || CASE WHEN starts_with(url, 'http:') THEN '<p>moved</p>' ELSE '' END AS html
             FROM pages WHERE NOT ends_with(url, '#top'))"""
 
-_KEY = """
+_FIELDS = """
+    [x for x in string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')
+     if x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')]"""
+_KEY = f"""
     regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^(www|m)\\.', '')
-    || regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '(/|\\.html)$', '')"""
+    || regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '(/|\\.html)$', '')
+    || CASE WHEN len({_FIELDS}) > 0 THEN '?' || array_to_string({_FIELDS}, '&') ELSE '' END"""
 
 _DIFF = f"""{_CRAWLS},
     diff AS (
@@ -120,8 +141,9 @@ _UNSEEN = f"""{_CRAWLS},
                WHERE {_KEY} NOT IN (SELECT {_KEY} FROM prev))"""
 
 NEW_TEXTS = f"""{_UNSEEN},
-    read AS (SELECT page_id, regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup FROM unseen),
-    roles AS (SELECT page_id AS role_id, {_BODY} AS text FROM read)"""
+    read AS (SELECT page_id, lower(regexp_extract(html, '{_LANGUAGE}', 1)) AS lang,
+                    regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup FROM unseen),
+    roles AS (SELECT page_id AS role_id, lang, {_BODY} AS text, CAST(length({_BODY}) AS BIGINT) AS n_chars FROM read)"""
 
 ORACLES = {
     "scan_pages": "SELECT page_id, url, html FROM pages",
@@ -131,6 +153,12 @@ ORACLES = {
                    regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup
             FROM pages)
         SELECT page_id, language, {_HEADING} AS heading, {_BODY} AS body FROM read""",
+    "page_roles": f"""
+        WITH read AS (
+            SELECT page_id, lower(regexp_extract(html, '{_LANGUAGE}', 1)) AS language,
+                   regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup
+            FROM pages)
+        SELECT page_id, CAST(0 AS INTEGER) AS position, language, {_HEADING} AS heading, {_BODY} AS body FROM read""",
     "page_key": f"""
         SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host,
                regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, {_KEY} AS page_key
@@ -146,5 +174,5 @@ ORACLES = {
         FROM diff GROUP BY 1""",
     "new_roles": f"WITH {_UNSEEN} SELECT page_id, page_key FROM unseen",
     "new_roles_stream": f"WITH {_UNSEEN} SELECT DISTINCT page_key FROM unseen",
-    "top_new_roles": f"WITH {NEW_TEXTS}, {ITEMS}, {keywords_of('roles', 'role_id')} {TOP.format(scores='kw', k=K)}",
+    "top_new_roles": f"WITH {NEW_TEXTS}, {ITEMS}, {pairs_of('roles', 'role_id')}, {keywords_of('roles', 'role_id')} {TOP.format(scores='kw', k=K)}",
 }

@@ -9,16 +9,17 @@ LOG_SCHEMA = (
 )
 
 
-def append_log(events: DataFrame, folder: str) -> None:
-    """Add events to the log.
+def append_log(events: DataFrame, folder: str, batch: int = 0) -> None:
+    """Write one batch of events to the log. Writing the same batch again replaces it.
 
     Rebalancing brings the rows of a day together in files of the advised size: a quiet day is
     one file, and a day with very many events is split over many tasks.
     """
     dated = events.withColumn("day", F.to_date("ts"))
-    dated.hint("rebalance", "day").write.partitionBy("day").mode("append").parquet(folder)
+    out = f"{folder}/batch={batch}"
+    dated.hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(out)
 
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The log. Filters on ``day`` skip whole folders."""
-    return spark.read.schema(LOG_SCHEMA).parquet(folder)
+    """All batches of the log. Filters on ``day`` skip whole folders."""
+    return spark.read.schema(f"{LOG_SCHEMA}, batch bigint").parquet(folder).drop("batch")

@@ -1,5 +1,6 @@
 """The folder all machines of the cluster share."""
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get(SHARED_FOLDER, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"set {SHARED_FOLDER} to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="jobtrail-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -13,18 +13,23 @@ SCHEMAS = {
 }
 
 
+#: Tables up to this size are dealt over all cores.
+SMALL = 256 << 20
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a table that is read in fewer tasks than there are cores over all cores.
+    """Deal a table of at most ``SMALL`` bytes, as its files are, over all cores.
 
-    For work that is heavy per row, such as reading texts. At most one file block per core is
-    ever moved; larger tables stay as they are read.
+    For work that is heavy per row, such as reading texts. Larger tables are never moved: they
+    are read in many tasks anyway.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if int(str(size)) <= SMALL else df
 
 
 def stream_table(

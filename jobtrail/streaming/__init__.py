@@ -5,12 +5,12 @@ from jobtrail.streaming.track import (
     responses_within_stream,
     with_event_time,
 )
-from jobtrail.streaming.watch import new_roles_sink
+from jobtrail.streaming.watch import new_keys
 
 __all__ = [
     "activity_changes",
     "latest_counts",
-    "new_roles_sink",
+    "new_keys",
     "responses_within_stream",
     "run_to_end",
     "with_event_time",

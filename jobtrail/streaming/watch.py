@@ -1,28 +1,14 @@
 """Watch, as pages arrive."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 
-from jobtrail.sources.outbox import read_outbox, write_outbox
-
 
-def new_roles_sink(seen: DataFrame, key: str, folder: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that writes each key once, when it first arrives unseen.
+def new_keys(arriving: DataFrame, seen: DataFrame, key: str = "page_key") -> DataFrame:
+    """(page_id, url, key) of the first page to arrive with each key that is not among the seen ones.
 
-    Copies of a key within a batch are folded before they are shuffled, so a key that is much
-    of what arrives is no burden. What earlier batches found is read from ``folder``; a batch
-    that is run again leaves its own former output out of account and replaces it. ``folder``
-    belongs to one checkpoint.
+    ``arriving`` is a stream, ``seen`` a table of keys. Which keys have come is kept as state of the
+    stream, so a micro-batch costs as much as what arrives in it and the lookup of its keys, however
+    many batches there were. Pages without a key count as one.
     """
-    schema = f"{key} string, batch bigint"
-
-    def write(arrived: DataFrame, batch: int) -> None:
-        known = seen.select(key)
-        if batch > 0:
-            earlier = read_outbox(arrived.sparkSession, folder, schema).where(f"batch < {batch}")
-            known = known.union(earlier.select(key))
-        found = arrived.select(key).distinct().join(known.distinct(), key, "left_anti")
-        write_outbox(found, folder, batch)
-
-    return write
+    first = arriving.select("page_id", "url", key).dropDuplicates([key])
+    return first.join(seen.select(key), key, "left_anti").select("page_id", "url", key)

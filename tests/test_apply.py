@@ -37,13 +37,29 @@ def test_queue_by_profile_and_role(spark, top, channels):
     assert rows(found, "profile_id", "role_id") == [(1, 11), (2, 10), (2, 12), (2, 13)]
 
 
+def test_one_application_per_role(spark, top):
+    """A source with several channels is applied to by the first in alphabetical order."""
+    channels = spark.createDataFrame([("a", "form"), ("a", "email"), ("b", None)], "source string, channel string")
+    found = apply_queue(top, spark.createDataFrame([], "role_id bigint"), channels)
+    assert rows(found, "application_id", "channel") == [
+        ("1-10", "email"), ("1-11", "form"), ("2-10", "email"), ("2-12", "form"), ("2-13", "form"),
+    ]
+
+
+def test_closed_roles_leave_the_queue(spark, top, channels):
+    none = spark.createDataFrame([], "role_id bigint")
+    found = apply_queue(top, none, channels, closed=spark.createDataFrame([(10,), (10,), (77,)], "role_id bigint"))
+    assert rows(found, "profile_id", "role_id") == [(1, 11), (2, 12), (2, 13)]
+
+
 def test_queue_when_nothing_was_sent(spark, top, channels):
     assert apply_queue(top, spark.createDataFrame([], "role_id bigint"), channels).count() == 5
 
 
 def test_payloads(spark):
     queue = spark.createDataFrame(
-        [(1, 10, "email"), (1, 11, "form"), (1, 12, "form")], "profile_id bigint, role_id bigint, channel string"
+        [("1-10", 1, 10, "email"), ("1-11", 1, 11, "form"), ("1-12", 1, 12, "form")],
+        "application_id string, profile_id bigint, role_id bigint, channel string",
     )
     text = 'Said "yes"\nand \\ é\ttab'
     resumes = spark.createDataFrame([(10, text), (11, text)], "role_id bigint, resume string")

@@ -6,11 +6,12 @@ import pytest
 import regex
 from helpers import plan_of, rows
 
+from jobtrail import plans
 from jobtrail.operators import (
     blend_scores,
     keyword_score,
+    keyword_weights,
     preference_filter,
-    score,
     top_roles,
     vector_score,
 )
@@ -22,14 +23,15 @@ def words(text):
     return regex.findall(r"\p{L}+", text.lower()) if text else []
 
 
-def keyword_by_hand(roles, profiles):
+def keyword_by_hand(roles, profiles, prefs):
     """Scores in millionths."""
-    df = Counter(word for _, text in roles for word in set(words(text)))
+    df = Counter(word for _, text, *_ in roles for word in set(words(text)))
     scores = Counter()
     for profile, wish in {(p, word) for p, text in profiles for word in words(text)}:
-        for role, text in roles:
+        _, lang, least, most = next(pref for pref in prefs if pref[0] == profile)
+        for role, text, spoken, n_chars in roles:
             tf = words(text).count(wish)
-            if tf:
+            if tf and spoken == lang and least <= n_chars <= most:
                 weight = math.log((len(roles) + 1) / (df[wish] + 1))
                 scores[profile, role] += tf * round(weight * 1e6)
     return {pair: total / 1e6 for pair, total in scores.items()}
@@ -41,31 +43,77 @@ def corpus():
     vocabulary = ["the"] * 30 + [f"{a}{b}é" for a in "abcd" for b in "xyz"] + ["Straße", "ÉCOLE"]
     roles = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(60)]
     roles += [(60, None), (61, "12 34 ..."), (62, "The, the-THE\nthe")]
+    roles = [(i, text, rng.choice(("de", "fr", None)), len(text or "")) for i, text in roles]
     profiles = [(1, "the Straße axé"), (1, "axé the école"), (2, "byé"), (3, "nothing shared"), (4, None)]
-    return roles, profiles
-
-
-@pytest.mark.parametrize("fits", [True, False])
-def test_keyword_score_by_hand(spark, corpus, monkeypatch, fits):
-    monkeypatch.setattr(score, "fits_broadcast", lambda df: fits)
-    roles, profiles = corpus
-    found = keyword_score(
-        spark.createDataFrame(roles, "role_id bigint, text string"),
-        spark.createDataFrame(profiles, "profile_id bigint, text string"),
-    )
-    got = {(row.profile_id, row.role_id): row.score for row in found.collect()}
-    assert got == keyword_by_hand(roles, profiles)
-
-
-def test_keyword_score_shuffles_no_text(spark, corpus):
-    roles, profiles = corpus
-    found = keyword_score(
-        spark.createDataFrame(roles, "role_id bigint, text string"),
-        spark.createDataFrame(profiles, "profile_id bigint, text string"),
-    )
-    final = plan_of(found).split("Exchange hashpartitioning(profile_id")[1]
-    assert "partial_sum" in final.splitlines()[1]
-    assert "SortMergeJoin [word" not in plan_of(found).split("Subquery")[0]
+    prefs = [(1, "de", 0, 150), (2, "fr", 20, 999), (3, "fr", 0, 999), (4, "de", 0, 999)]
+    return roles, profiles, prefs
+
+
+def scores_of(spark, roles, profiles, prefs):
+    roles = spark.createDataFrame(roles, "role_id bigint, text string, lang string, n_chars bigint")
+    profiles = spark.createDataFrame(profiles, "profile_id bigint, text string")
+    prefs = spark.createDataFrame(prefs, "profile_id bigint, lang string, min_chars bigint, max_chars bigint")
+    return keyword_score(roles, prefs, keyword_weights(roles, profiles))
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_keyword_score_by_hand(spark, corpus, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = scores_of(spark, *corpus).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert {(row.profile_id, row.role_id): row.score for row in found} == keyword_by_hand(*corpus)
+
+
+@pytest.mark.parametrize("name", ["keyword_score", "top_roles", "top_blended_roles", "apply_queue", "vector_score"])
+def test_chain_keeps_to_preferences(spark, name):
+    folder = "/root/testdata/sf0.01"
+    wanted = plans.QUERIES["preference_filter"](spark, folder)
+    found = plans.QUERIES[name](spark, folder)
+    assert found.count() > 30
+    assert found.join(wanted, ["profile_id", "role_id"], "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("name", ["keyword_score", "rank_fragments", "coverage_gap", "top_new_roles", "new_role_resumes"])
+def test_no_text_is_shuffled(spark, name):
+    """Only what the words are reduced to, apart from dealing a small table over the cores."""
+    plan = plan_of(plans.QUERIES[name](spark, "/root/testdata/sf0.01"))
+    for part in plan.split("Exchange hashpartitioning")[1:]:
+        if "REPARTITION_BY_NUM" not in part.splitlines()[0]:
+            below = part.splitlines()[1]
+            assert "text#" not in below and "html#" not in below and "words#" not in below
+
+
+def test_skewed_joins_are_split_at_run_time(spark):
+    """A key of 90 % of the rows goes to more than 64 tasks, a key of 1 % to several."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "100",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        rows_ = spark.range(0, 400_000, 1, 100).selectExpr(
+            "xxhash64(id) AS role_id", "CASE WHEN id % 10 > 0 THEN 'hot' WHEN id % 100 = 0 THEN 'warm' ELSE 'k' || id END AS lang",
+            "5L AS n_chars",
+        )
+        prefs = spark.createDataFrame(
+            [(1, "hot", 0, 9), (2, "warm", 0, 9)], "profile_id bigint, lang string, min_chars bigint, max_chars bigint"
+        )
+        found = preference_filter(rows_, prefs).selectExpr("profile_id", "spark_partition_id() AS task")
+        tasks = {row.profile_id: row.n for row in found.groupBy("profile_id").agg({"task": "approx_count_distinct"}).toDF("profile_id", "n").collect()}
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert tasks[1] > 64 and tasks[2] > 1
 
 
 def test_preferences(spark):
@@ -85,9 +133,10 @@ def test_vector_score(spark):
     vectors = "{} bigint, embedding array<float>"
     pairs = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (2, 99)], "profile_id bigint, role_id bigint")
     roles = spark.createDataFrame([(10, [0.5, 0.25]), (11, [1.0, 0.0])], vectors.format("role_id"))
-    wishes = spark.createDataFrame([(1, [1.0, 2.0]), (2, [-1.0, 4.0])], vectors.format("profile_id"))
+    wishes = [(1, [1.0, 2.0]), (2, [-1.0, 4.0]), (2, [-2.0, 8.0])]
+    wishes = spark.createDataFrame(wishes, vectors.format("profile_id"))
     found = vector_score(pairs, roles, wishes)
-    assert rows(found, "profile_id", "role_id", "score") == [(1, 10, 1.0), (2, 10, 0.5), (2, 11, -1.0)]
+    assert rows(found, "profile_id", "role_id", "score") == [(1, 10, 1.0), (2, 10, 0.75), (2, 11, -1.5)]
 
 
 def test_blend_counts_a_missing_part_as_nothing(spark):

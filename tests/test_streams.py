@@ -10,7 +10,7 @@ from jobtrail.sources import outbox_sink, read_outbox
 from jobtrail.streaming import (
     activity_changes,
     latest_counts,
-    new_roles_sink,
+    new_keys,
     responses_within_stream,
     run_to_end,
 )
@@ -28,41 +28,30 @@ def stream(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-KEYS = "page_id bigint, page_key string"
+KEYS = "page_id bigint, url string, page_key string"
 
 
 def test_each_new_key_comes_once(spark, tmp_path):
     inbox, out = tmp_path / "inbox", str(tmp_path / "out")
     seen = spark.createDataFrame([("seen",)], "page_key string")
-    # Copies of one key are a third of what arrives, in every file.
+    # Copies of one key are a third of what arrives, in every file, and pages without a key too.
     for part in range(3):
-        arrived = [(part * 900 + i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(900)]
-        drop_file(spark, inbox, arrived + [(9_000 + part, "seen"), (9_100 + part, f"only{part}")], KEYS, part)
+        arrived = [(part * 900 + i, "u", "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(900)]
+        arrived += [(9_000 + part, "u", "seen"), (9_100 + part, "u", f"only{part}"), (9_200 + part, None, None)]
+        drop_file(spark, inbox, arrived, KEYS, part)
 
     def run():
-        sink = new_roles_sink(seen, "page_key", out)
-        run_to_end(stream(spark, inbox, KEYS), sink, str(tmp_path / "checkpoint"))
-        return Counter(row.page_key for row in read_outbox(spark, out, "page_key string, batch bigint").collect())
-
-    want = {"hot", "only0", "only1", "only2"} | {f"k{i}" for i in range(50)}
-    assert run() == Counter(want)
+        found = new_keys(stream(spark, inbox, KEYS), seen)
+        run_to_end(found, outbox_sink(out), str(tmp_path / "checkpoint"))
+        return read_outbox(spark, out, f"{KEYS}, batch bigint").collect()
+
+    want = {None, "hot", "only0", "only1", "only2"} | {f"k{i}" for i in range(50)}
+    first = run()
+    assert Counter(row.page_key for row in first) == Counter(want)
+    assert all(row.page_id is not None for row in first)
     # A later run takes up where the first ended.
-    drop_file(spark, inbox, [(9_999, "hot"), (10_000, "late")], KEYS, 4)
-    assert run() == Counter(want | {"late"})
-
-
-def test_new_keys_survive_a_batch_that_is_run_again(spark, tmp_path):
-    out = str(tmp_path / "out")
-    sink = new_roles_sink(spark.createDataFrame([("seen",)], "page_key string"), "page_key", out)
-
-    def batch(*keys):
-        return spark.createDataFrame([(key,) for key in keys], "page_key string")
-
-    sink(batch("a", "b", "seen"), 0)
-    for _ in range(2):
-        sink(batch("b", "c", "c"), 1)
-    found = read_outbox(spark, out, "page_key string, batch bigint")
-    assert rows(found, "batch", "page_key") == [(0, "a"), (0, "b"), (1, "c")]
+    drop_file(spark, inbox, [(9_999, "u", "hot"), (10_000, "u", "late"), (10_001, None, None)], KEYS, 4)
+    assert Counter(row.page_key for row in run()) == Counter(want | {"late"})
 
 
 @pytest.fixture(scope="module")

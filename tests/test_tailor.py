@@ -5,7 +5,7 @@ import pytest
 import regex
 from helpers import plan_of, rows
 
-from jobtrail.operators import assemble_resume, coverage_gap, rank_fragments, tailor
+from jobtrail.operators import assemble_resume, coverage_gap, rank_fragments
 
 ROLES = "role_id bigint, text string"
 FRAGMENTS = "fragment_id bigint, text string"
@@ -34,9 +34,7 @@ def ranked_by_hand(roles, fragments, k):
     return best
 
 
-@pytest.mark.parametrize("fits", [True, False])
-def test_fragments_by_hand(spark, texts, monkeypatch, fits):
-    monkeypatch.setattr(tailor, "fits_broadcast", lambda df: fits)
+def test_fragments_by_hand(spark, texts):
     roles, fragments = texts
     found = rank_fragments(
         spark.createDataFrame(roles, ROLES), spark.createDataFrame(fragments, FRAGMENTS), 3
@@ -48,12 +46,13 @@ def test_fragments_by_hand(spark, texts, monkeypatch, fits):
     assert got == {role: best for role, best in want.items() if best}
 
 
-def test_fragments_need_one_shuffle_of_roles(spark, texts):
+def test_fragments_are_counted_before_the_shuffle(spark, texts):
     roles, fragments = texts
     found = rank_fragments(
         spark.createDataFrame(roles, ROLES), spark.createDataFrame(fragments, FRAGMENTS), 3
     )
-    assert plan_of(found).count("Exchange hashpartitioning(role_id") == 1
+    before = plan_of(found).split("Exchange hashpartitioning(role_id")[-1]
+    assert "partial_count" in before.splitlines()[1]
 
 
 def test_gap_and_resumes_by_hand(spark, texts):

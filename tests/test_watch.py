@@ -7,9 +7,9 @@ from jobtrail.operators import (
     new_roles,
     page_fields,
     page_key,
+    page_roles,
     site_activity,
     snapshot_diff,
-    watch,
 )
 from jobtrail.sources import scan_pages
 
@@ -43,6 +43,28 @@ def test_page_without_article_is_read_whole(spark):
     assert fields(spark, "<head><title>T</title></head><p>all</p>of it") == ("", "", "all of it")
 
 
+@pytest.mark.parametrize(
+    ("html", "body"),
+    [
+        ("<p>menu</p><article>never closed", "never closed"),
+        ("<article>outer <article>in</article> tail</article> end", "outer in tail"),
+        ("<article>one</article><article>two</article> end", "one two"),
+        ("<article>one</article> <article>two", "one two"),
+        ("<articles>no</articles>", "no"),
+    ],
+)
+def test_no_article_is_lost(spark, html, body):
+    assert fields(spark, html)[2] == body
+
+
+def test_roles_of_a_page(spark):
+    html = '<html lang="en"><p>menu</p><article><h1>A</h1>one</article><p>ad</p><ARTICLE id=2><h1>B</h1>two'
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<p>whole</p>"), (3, "u", None)], PAGES)
+    assert rows(page_roles(pages), "page_id", "position", "heading", "body") == [
+        (1, 0, "A", "A one"), (1, 1, "B", "B two"), (2, 0, "", "whole"),
+    ]
+
+
 def test_null_and_empty_html(spark):
     assert fields(spark, None) == (None, None, None)
     assert fields(spark, "") == ("", "", "")
@@ -62,15 +84,20 @@ def test_spellings_of_one_address_share_a_key(spark):
         spark,
         "http://www.a.example/jobs/1.html",
         "https://a.example/jobs/1",
-        "https://A.example/jobs/1/?page=2&ref=x",
-        "https://m.a.example/jobs/1#top",
+        "https://A.example/jobs/1/?ref=x&utm_source=feed",
+        "https://m.a.example:443/jobs/1#top",
+        "http://user@a.example:80/jobs/1?",
     )
     assert set(found) == {"a.example/jobs/1"}
 
 
 def test_other_addresses_have_other_keys(spark):
-    found = keys(spark, "https://blog.a.example/x", "https://a.example/x", "https://a.example/y", "https://a.example/")
-    assert len(set(found)) == 4
+    found = keys(
+        spark, "https://blog.a.example/x", "https://a.example/x", "https://a.example/y", "https://a.example/",
+        "https://a.example/x?id=1", "https://a.example/x?id=2&ref=z", "https://a.example/x?referrer=1",
+        "https://a.example/x#/job/1", "https://a.example/x#/job/2", "https://a.example:8080/x", "http://a.example:443/x",
+    )
+    assert len(set(found)) == 11
 
 
 def test_malformed_address_is_its_own_key(spark):
@@ -139,9 +166,7 @@ def test_site_activity(spark):
     assert found == [("a.example", 1, 0, 0, 1), ("b.example", 1, 0, 0, 0)]
 
 
-@pytest.mark.parametrize("fits", [True, False])
-def test_new_roles(spark, monkeypatch, fits):
-    monkeypatch.setattr(watch, "fits_broadcast", lambda df: fits)
+def test_new_roles(spark):
     roles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, None)], "page_id bigint, page_key string")
     seen = spark.createDataFrame([("a",)] * 50 + [(None,)], "page_key string")
     assert rows(new_roles(roles, seen), "page_id") == [(2,), (3,), (4,), (5,)]
