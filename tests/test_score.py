@@ -108,8 +108,9 @@ def test_skewed_joins_are_split_at_run_time(spark):
         prefs = spark.createDataFrame(
             [(1, "hot", 0, 9), (2, "warm", 0, 9)], "profile_id bigint, lang string, min_chars bigint, max_chars bigint"
         )
-        found = preference_filter(rows_, prefs).selectExpr("profile_id", "spark_partition_id() AS task")
-        tasks = {row.profile_id: row.n for row in found.groupBy("profile_id").agg({"task": "approx_count_distinct"}).toDF("profile_id", "n").collect()}
+        found = preference_filter(rows_, prefs).selectExpr("profile_id", "role_id", "spark_partition_id() AS task")
+        found = found.groupBy("profile_id").agg({"task": "approx_count_distinct", "role_id": "max"})
+        tasks = {row.profile_id: row["approx_count_distinct(task)"] for row in found.collect()}
     finally:
         for key, value in old.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
