@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.llm import content_sort, cube, jaccard, merges, perplexity
-from jobtrail.llm.common import read
+from jobtrail.llm.common import fresh, quoted, read
 from jobtrail.llm.queries import vocabulary
 from jobtrail.sources.shared import stored
 
@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard.similar_documents(docs)
     # Copies are fewer than documents: Spark broadcasts their ids if the written table is small.
     copies = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of texts, with whether decoding them gives the text again."""
     tables = merges.load(vocabulary("piece_bpe_32k.model"))
-    done = merges.decode(merges.encode(docs, tables), tables)
+    ids, decoded, number, whole = fresh(docs, "ids", "decoded", "n_tokens", "whole")
+    done = merges.decode(merges.encode(docs, tables), tables, ids=ids)
     # The model's sign for a space is read back as a space.
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(merges.SPACE), F.lit(" "))
-    done = done.withColumns({"n_tokens": F.size("ids"), "whole": F.col("decoded") == text})
-    return done.drop("text", "decoded")
+    done = done.withColumns({number: F.size(ids), whole: F.col(decoded) == text})
+    return done.drop("text", decoded)
 
 
 STAGES = [

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtrail.sources.shared import stored
 
@@ -79,3 +81,13 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
+
+
+def map_rows(df: DataFrame, run: Callable, *added: T.StructField) -> DataFrame:
+    """``df`` mapped by ``run``, which takes the last column away and gives the ``added`` ones instead.
+
+    Columns are numbered meanwhile, since names with dots don't pass through ``mapInArrow``.
+    """
+    plain = df.toDF(*(f"c{place}" for place in range(len(df.columns))))
+    schema = T.StructType([*plain.schema.fields[:-1], *added])
+    return plain.mapInArrow(run, schema).toDF(*df.columns[:-1], *(field.name for field in added))

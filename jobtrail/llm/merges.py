@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobtrail.llm.common import fresh, quoted
+from jobtrail.llm.common import fresh, map_rows, quoted
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -337,8 +337,7 @@ def encode(docs: DataFrame, model: Tables, text: str = "text", ids: str = "ids",
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vars(model))
     (body,) = fresh(docs, "body")
-    rows = docs.withColumn(body, quoted(text)).drop(*drop)
-    kept = [field for field in rows.schema if field.name != body]
+    rows = docs.select(*(quoted(column) for column in docs.columns if column not in drop), quoted(text).alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(Tables(**shared.value))
@@ -351,8 +350,7 @@ def encode(docs: DataFrame, model: Tables, text: str = "text", ids: str = "ids",
                 offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield _with(rest, rows, pa.ListArray.from_arrays(offsets, pa.array(found)), name)
 
-    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
+    return map_rows(rows, run, T.StructField(name, T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: Tables, ids: str = "ids", text: str = "decoded", drop: tuple = ()) -> DataFrame:
@@ -360,8 +358,7 @@ def decode(encoded: DataFrame, model: Tables, ids: str = "ids", text: str = "dec
     (name,) = fresh(encoded, text)
     shared = encoded.sparkSession.sparkContext.broadcast(vars(model))
     (given,) = fresh(encoded, "given")
-    rows = encoded.withColumn(given, quoted(ids)).drop(*drop)
-    kept = [field for field in rows.schema if field.name != given]
+    rows = encoded.select(*(quoted(column) for column in encoded.columns if column not in drop), quoted(ids).alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(**shared.value)
@@ -378,4 +375,4 @@ def decode(encoded: DataFrame, model: Tables, ids: str = "ids", text: str = "dec
                 )
                 yield _with(rest, rows, texts, name)
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.StringType())]))
+    return map_rows(rows, run, T.StructField(name, T.StringType()))
