@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm import chat, content_sort, cube, huffman, jaccard, merges, perplexity, ppm, sharding, tiles
 from jobtrail.llm.common import hex_digest, read
+from jobtrail.llm.oracles import ORACLES
 from jobtrail.sources.shared import new_folder
 
 #: A conversation that tries to forge the template's marks; op6 formats it with the others.
@@ -117,4 +118,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "vocabulary"]

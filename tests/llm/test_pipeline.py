@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from check import open_tables, spark_result, sql_result
 from test_operators import docs, duplicate_groups, linked_documents, table  # noqa: F401
 
 import corpus_pipeline
@@ -93,3 +94,12 @@ def test_run_equals_the_stages(spark, tables):
     assert got.columns == tables[-1].columns
     key = [row.doc_id for row in got.select("doc_id").collect()]
     assert sorted(key) == sorted(row.doc_id for row in tables[-1].select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_queries_equal_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    got_schema, got = spark_result(spark, name, folder)
+    want_schema, want = sql_result(open_tables(folder), name)
+    assert got_schema == want_schema
+    assert got == want and got
