@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -77,10 +78,13 @@ def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of finished work now.
 
     It does so when the driver's garbage is collected, which may be long after a large
-    intermediate result was written and its shuffles became useless.
+    intermediate result was written and its shuffles became useless. What the first collection
+    lets go of holds the shuffles, which the second one then finds.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def map_rows(df: DataFrame, run: Callable, *added: T.StructField) -> DataFrame:
