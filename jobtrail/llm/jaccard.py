@@ -17,7 +17,7 @@ saves, and a pair is verified if it shares at least the smaller l of the two.
 4. Documents with equal sets are one. Prefix tokens are posted; a posting list pairs only documents whose
    sizes and places in the order allow the threshold.
 5. A list with many near copies must not give all its pairs. First each list pairs its members with two
-   of them that a hash chooses. What these pairs link is merged to components. Then only members outside the
+   of them, the one whose tokens are held most often and one that a hash chooses. What these pairs link is merged to components. Then only members outside the
    list's largest component are paired, with members of other components; of those, all pairs.
 
 Sets are compared by 64-bit hashes of their shingles, cut to the bits of bucket and token (at least
@@ -52,7 +52,7 @@ MOST_DOCS = 60_000
 TOKEN = 5
 #: The longest a prefix grows, and the cost of verifying one candidate in postings per token it has.
 LONGEST = 16
-VERIFY = 0.05
+VERIFY = 0.002
 
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -286,7 +286,7 @@ def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, n, tokens, held = (batch.column(i).to_pylist() for i in range(4))
-            match, first, posted = [], [], []
+            match, first, central, posted = [], [], [], []
             for size, packed, often in zip(n, tokens, held):
                 token, cost = np.frombuffer(packed, np.int64), np.frombuffer(often, "<u2").astype(float)
                 own = size - len(token)
@@ -298,12 +298,13 @@ def _prefixes(percent: int):
                 best = int(np.argmin(spent + VERIFY * len(token) * spent / matches)) + 1
                 match.append(best)
                 first.append(own)
+                central.append((own + cost.sum()) / size)
                 posted.append(token[: shortest + best - 1])
             arrays = [
                 pa.array(uid, pa.int64()), pa.array(n, pa.int64()), pa.array(match, pa.int32()),
-                pa.array(first, pa.int64()), pa.array(posted, pa.list_(pa.int64())),
+                pa.array(first, pa.int64()), pa.array(central, pa.float64()), pa.array(posted, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", "n", "match", "first", "posted"])
+            yield pa.RecordBatch.from_arrays(arrays, ["uid", "n", "match", "first", "central", "posted"])
 
     return run
 
@@ -352,9 +353,12 @@ def _ends(x: str, y: str) -> list[Column]:
 
 
 def _central_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Each list's members with two of them, the same two wherever they meet."""
-    chosen = [F.min_by("x", F.xxhash64("x.uid", F.lit(turn))).alias(f"c{turn}") for turn in (0, 1)]
-    centres = posts.groupBy("token").agg(F.count("*").alias("members"), *chosen).where("members > 1")
+    """Each list's members with two of them, chosen alike in all lists: the most central, and one by hash."""
+    # The set whose tokens most others hold is most like the text that the others vary.
+    central = F.max_by("x", F.struct("x.central", F.xxhash64("x.uid")))
+    other = F.min_by("x", F.xxhash64("x.uid", F.lit(1)))
+    centres = posts.groupBy("token").agg(F.count("*").alias("members"), central.alias("c0"), other.alias("c1"))
+    centres = centres.where("members > 1")
     met = posts.join(centres, "token")
     met = met.select("x", F.explode(F.array_distinct(F.array("c0", "c1"))).alias("y"))
     met = met.where((F.col("x.uid") != F.col("y.uid")) & _allowed("x", "y", percent))
@@ -383,10 +387,10 @@ def _other_pairs(posts: DataFrame, percent: int) -> DataFrame:
 
 def similar_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of linked sets. ``sets``: uid, n, tokens, held, all with tokens."""
-    schema = "uid long, n long, match int, first long, posted array<long>"
+    schema = "uid long, n long, match int, first long, central double, posted array<long>"
     posts = sets.select("uid", "n", "tokens", "held").mapInArrow(_prefixes(percent), schema)
-    posts = posts.select("uid", "n", "match", "first", F.posexplode("posted").alias("at", "token"))
-    member = F.struct("uid", "n", "match", (F.col("first") + F.col("at")).alias("place"))
+    posts = posts.select("uid", "n", "match", "first", "central", F.posexplode("posted").alias("at", "token"))
+    member = F.struct("uid", "n", "match", "central", (F.col("first") + F.col("at")).alias("place"))
     posts = stored(posts.select("token", member.alias("x")), "postings")
     links = _verify(_central_pairs(posts, percent), sets, percent, "central-links")
     release(sets.sparkSession)
