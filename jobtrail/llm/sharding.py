@@ -151,7 +151,8 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     body = quoted(text)
     rows = docs.select(
         quoted(key).alias("id"),
-        F.monotonically_increasing_id().alias("uid"),
+        # Draws and ties; rows that are alike in it are alike in all, so a rerun gives the same shards.
+        F.xxhash64(quoted(key), body).alias("uid"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + FRAME).cast("long").alias("size"),
         F.crc32(F.coalesce(body, F.lit(""))).alias("text_crc32"),
         F.xxhash64(body).alias("a"),
