@@ -14,7 +14,7 @@ from jobtrail.operators import (
 )
 from jobtrail.plans import inputs
 from jobtrail.plans.score import ITEMS, K, TOP, keywords_of, pairs_of, scored
-from jobtrail.sources import new_folder, outbox_sink, read_outbox, scan_pages, stored, stream_table
+from jobtrail.sources import new_folder, outbox_sink, read_outbox, scan_pages, stored
 from jobtrail.streaming import new_keys, run_to_end
 
 
