@@ -20,13 +20,13 @@ document is never parted, so a block is as large as its largest document at leas
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +59,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Words(dict):
-    """Ids of the words met, by the tokenizer's model alone."""
+    """Ids of the words met, by the tokenizer's model alone, packed as 16-bit numbers."""
 
     def __init__(self, tokenizer):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -68,14 +68,14 @@ class Words(dict):
         spelled = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {code: spelled.pre_tokenize_str(chr(code))[0][0] for code in range(0xC0, 0x100)}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         spelled = word if word.isascii() else word.translate(self.letters)
-        self[word] = ids = [token.id for token in self.model.tokenize(spelled)]
+        self[word] = ids = array("H", [token.id for token in self.model.tokenize(spelled)]).tobytes()
         return ids
 
 
 class Chunks(dict):
-    """Numbers of the chunks met; a worker keeps them between its tasks."""
+    """Packed ids of the chunks met; a worker keeps them between its tasks."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -95,45 +95,21 @@ class Chunks(dict):
             and (steps[1]["add_prefix_space"], steps[1]["use_regex"]) == (False, False)
         )
         self.words = Words(self.tokenizer)
-        self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.words.clear()
-        self.waiting: list[str] = []
-        self.ids = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        self.waiting.append(chunk)
-        return number
 
     def plain(self, chunk: str) -> bool:
         return self.direct and PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in self.special)
 
-    def settle(self) -> None:
-        """Tokenise the chunks that wait."""
-        if not self.waiting:
-            return
-        lists: list = [None] * len(self.waiting)
-        whole = []
-        for at, chunk in enumerate(self.waiting):
-            if self.plain(chunk):
-                words = WORD.findall(chunk.lower())
-                ids = self.words[words[0]]
-                for word in words[1:]:
-                    ids = ids + self.words[word]
-                lists[at] = ids
-            else:
-                whole.append(at)
-        found = self.tokenizer.encode_batch_fast([self.waiting[at] for at in whole], add_special_tokens=False)
-        for at, one in zip(whole, found):
-            lists[at] = one.ids
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
-        self.ids = np.concatenate([self.ids, flat])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(list(map(len, lists)))])
-        self.waiting = []
+    def __missing__(self, chunk: str) -> bytes:
+        if self.plain(chunk):
+            ids = b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
+        else:
+            ids = array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
 
 def _known(definition: str) -> Chunks:
@@ -152,25 +128,12 @@ def tokenise(known: Chunks, texts: list[str | None], end: int) -> tuple[np.ndarr
     """
     if len(known) > CHUNKS:
         known.clear()
-    numbers: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for at, text in enumerate(texts):
+    last, get = array("H", [end]).tobytes(), known.__getitem__
+    found = []
+    for text in texts:
         chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        sizes[at] = len(chunks)
-        numbers.extend(map(known.__getitem__, chunks))
-    known.settle()
-    place = np.array(numbers, np.int64)
-    begin = known.start[place]
-    count = known.start[place + 1] - begin
-    ends = np.concatenate([[0], np.cumsum(count)])
-    upto = np.cumsum(sizes)
-    n = ends[upto] - ends[upto - sizes]
-    # The end ids stand between the documents.
-    ids = np.full(ends[-1] + len(texts), end, np.uint32)
-    shift = np.repeat(begin - ends[:-1], count)
-    document = np.repeat(np.arange(len(texts)), n)
-    ids[np.arange(ends[-1]) + document] = known.ids[shift + np.arange(ends[-1])]
-    return ids, n + 1
+        found.append(b"".join(map(get, chunks)) + last)
+    return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
 
 
 def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
