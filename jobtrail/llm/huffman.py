@@ -42,8 +42,8 @@ LIMIT = 16
 #: Ids between two checkpoints, and in a block.
 STEP = 256
 BLOCK = 1 << 20
-#: Chunks of text that a worker remembers the ids of, and characters it tokenises at a time.
-CHUNKS = 1_000_000
+#: Chunks and words that a worker remembers the ids of, and characters it tokenises at a time.
+CHUNKS = 1_500_000
 CHARS = 1 << 21
 #: Parts of the vocabulary whose counts are added up by different tasks.
 SHARES = 16
@@ -96,15 +96,13 @@ class Chunks(dict):
         )
         self.words = Words(self.tokenizer)
 
-    def clear(self) -> None:
-        super().clear()
-        self.words.clear()
-
     def plain(self, chunk: str) -> bool:
-        return self.direct and PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in self.special)
+        return PLAIN.fullmatch(chunk) is not None and not any(s in chunk for s in self.special)
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.plain(chunk):
+        if self.direct and chunk.isascii() and chunk.isalpha():
+            ids = self.words[chunk.lower()]
+        elif self.direct and self.plain(chunk):
             ids = b"".join(map(self.words.__getitem__, WORD.findall(chunk.lower())))
         else:
             ids = array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -126,8 +124,9 @@ def tokenise(known: Chunks, texts: list[str | None], end: int) -> tuple[np.ndarr
 
     The tokenizer drops white space and joins nothing across it, so chunks between blanks are tokenised alone.
     """
-    if len(known) > CHUNKS:
-        known.clear()
+    for table in (known, known.words):
+        if len(table) > CHUNKS:
+            table.clear()
     last, get = array("H", [end]).tobytes(), known.__getitem__
     found = []
     for text in texts:
