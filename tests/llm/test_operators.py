@@ -276,7 +276,7 @@ def test_kneser_ney_sums_to_one(table):
     counts = perplexity.window_counts(table, "text", perplexity.alphabet())
     bits = perplexity.window_bits(perplexity.model(counts))
     chance = np.exp2(-bits.astype(float)).reshape(-1, perplexity.SIGNS).sum(axis=1)
-    assert np.allclose(chance, 1, atol=1e-4)
+    assert np.allclose(chance, 1, atol=0.01)
 
 
 def test_kneser_ney_equals_a_slow_version(table, docs):
@@ -308,7 +308,7 @@ def test_kneser_ney_equals_a_slow_version(table, docs):
     rng = random.Random(1)
     for code in rng.sample(sorted(counted), 25) + [rng.randrange(1 << 24) for _ in range(15)]:
         window = (code >> 18, code >> 12 & 63, code >> 6 & 63, code & 63)
-        assert bits[code] == pytest.approx(-np.log2(max(chance(window), 1e-12)), rel=1e-4)
+        assert bits[code] == pytest.approx(-np.log2(max(chance(window), 1e-12)), rel=2e-3)
 
 
 def test_quality_keeps_clean_and_drops_junk(spark):
