@@ -41,12 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of texts, with whether decoding them gives the text again."""
     tables = merges.load(vocabulary("piece_bpe_32k.model"))
-    ids, decoded, number, whole = fresh(docs, "ids", "decoded", "n_tokens", "whole")
-    done = merges.decode(merges.encode(docs, tables), tables, ids=ids)
-    # The model's sign for a space is read back as a space.
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit(merges.SPACE), F.lit(" "))
-    done = done.withColumns({number: F.size(ids), whole: F.col(decoded) == text})
-    return done.drop("text", decoded)
+    ids, number, whole = fresh(docs, "ids", "n_tokens", "whole")
+    done = merges.encode_checked(docs, tables, "text", ids, whole)
+    return done.withColumn(number, F.size(ids))
 
 
 STAGES = [

@@ -352,6 +352,39 @@ def encode(docs: DataFrame, model: Tables, text: str = "text", ids: str = "ids",
     return map_rows(rows, run, T.StructField(name, T.ArrayType(T.IntegerType())))
 
 
+def encode_checked(docs: DataFrame, model: Tables, text: str, ids: str, whole: str) -> DataFrame:
+    """``docs`` with ids in place of ``text``, and whether decoding them gives it again.
+
+    Both happen in one Python worker per task, and the text doesn't come back from it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    (body,) = fresh(docs, "body")
+    rows = docs.select(*(quoted(column) for column in docs.columns if column != text), quoted(text).alias(body))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(**shared.value)
+        known = Words(tables)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy().astype(np.int64)
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            for rows in _parts(sizes, CHARS // 2):
+                given = texts.slice(rows.start, rows.stop - rows.start).to_pylist()
+                found, count = encode_texts(known, given)
+                data, length = decode_ids(tables, found, count)
+                stops = np.cumsum(length)
+                # The model's sign for a space is read back as a space.
+                same = [
+                    data[start:stop].tobytes() == (one or "").replace(SPACE, " ").encode()
+                    for one, start, stop in zip(given, stops - length, stops)
+                ]
+                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                part = _with(rest, rows, pa.ListArray.from_arrays(offsets, pa.array(found)), ids)
+                yield _with(part, slice(0, len(same)), pa.array(same, pa.bool_()), whole)
+
+    return map_rows(rows, run, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(whole, T.BooleanType()))
+
+
 def decode(encoded: DataFrame, model: Tables, ids: str = "ids", text: str = "decoded", drop: tuple = ()) -> DataFrame:
     """``encoded`` with the text that ``ids`` (as ``encode`` makes them; null: none) stand for."""
     (name,) = fresh(encoded, text)
