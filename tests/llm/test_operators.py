@@ -326,6 +326,21 @@ def test_quality_without_trust_accepts_all(table, docs):
     assert perplexity.accepted(table, labels).count() == len(docs)
 
 
+def test_quality_counts_all_trusted_texts(spark, monkeypatch):
+    """Nothing bounds the number of trusted documents, and their ids join without a forced broadcast."""
+    monkeypatch.setattr(perplexity, "TRUSTED", 3, raising=False)
+    if most := perplexity.trusted_ids.__defaults__:
+        monkeypatch.setattr(perplexity.trusted_ids, "__defaults__", (3,) * len(most))
+    labels = spark.createDataFrame([(i % 40, 1, 0) for i in range(80)] + [(50, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    ids = perplexity.trusted_ids(labels)
+    assert sorted(row.trusted for row in ids.collect()) == list(range(40))
+    assert "broadcast" not in ids._jdf.queryExecution().logical().toString().lower()
+    words = ["alpha beta gamma", "delta omega sigma"]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 2 : i % 2 + 1] * 3), "en", "s") for i in range(40)], DOCS)
+    rows = perplexity.judged(docs, labels).select("doc_id", "quality.*").collect()
+    assert len(rows) == 40 and all(row.accepted for row in rows)
+
+
 # --- 6 ---
 
 
