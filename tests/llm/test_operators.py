@@ -341,6 +341,20 @@ def test_quality_counts_all_trusted_texts(spark, monkeypatch):
     assert len(rows) == 40 and all(row.accepted for row in rows)
 
 
+def test_quality_of_rare_languages(spark):
+    """A language with few trusted texts among many of another one has a limit of its own."""
+    rng = random.Random(5)
+    rare = "ženščina gžel štšuka żółw čtvrtek ďábel příliš kůň úpěl qoqod xhosa wqyz".split()
+    rows = [(i, " ".join(prose(rng, 60)), "en", "s") for i in range(300)]
+    rows += [(300 + i, " ".join(rng.choice(rare) + rng.choice("xyzwq") for _ in range(60)), "xx", "s") for i in range(8)]
+    rows += [(400, " ".join(prose(rng, 60)), "yy", "s"), (401, " ".join(prose(rng, 60)), None, "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(306)] + [(401, 1, 0)], "doc_id long, quality int, toxic int")
+    found = perplexity.judged(spark.createDataFrame(rows, DOCS), labels).select("doc_id", "quality.*").collect()
+    limit = {row.doc_id: row.limit for row in found}
+    assert all(row.accepted for row in found if row.doc_id < 306)
+    assert limit[0] != limit[300] and limit[400] == limit[401] != limit[300]
+
+
 # --- 6 ---
 
 
