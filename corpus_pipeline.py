@@ -27,10 +27,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group linked by shared shingles."""
-    found = jaccard.similar_documents(docs)
-    # Copies are fewer than documents: Spark broadcasts their ids if the written table is small.
-    copies = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    # Ids may repeat or be null, so rows are numbered; the numbers are written, or they might change.
+    number, least = fresh(docs, "uid", "least")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
+    found = stored(jaccard.similar_documents(rows, key=number), "near-components")
+    ids = rows.select(quoted(number), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", quoted(number)).alias(least))
+    groups = found.join(ids, number).groupBy("component_id").agg(F.min(least).alias(least))
+    kept = groups.select(F.col(least)[number].alias(number))
+    # Copies are fewer than documents: Spark broadcasts their numbers if the written table is small.
+    copies = stored(found.select(number).join(kept, number, "left_anti"), "near-copies")
+    return rows.join(copies, number, "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

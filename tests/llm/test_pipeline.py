@@ -57,6 +57,26 @@ def test_one_near_copy_stays(tables):
     assert sorted(row[0] for row in rows(tables[3])) == sorted(want)
 
 
+def test_near_copies_go_by_row(spark):
+    """Ids that repeat or are null take no other row with them, and keep no second copy."""
+    base = [f"word{i}" for i in range(60)]
+
+    def near(n):
+        return " ".join(base[:-1] + [f"other{n}"])
+
+    alone = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcd"]
+    given = [
+        (1, near(0)), (5, near(1)), (5, alone[0]), (7, near(2)), (7, near(3)), (None, near(4)), (None, alone[1]),
+        (None, alone[2] + " x"), (None, alone[2] + " y"), (9, alone[3] + " x"), (9, alone[3] + " y"), (3, ""), (None, None),
+    ]
+    df = spark.createDataFrame([(key, text, "en", "s") for key, text in given], "doc_id long, text string, lang string, source string")
+    kept = Counter((row.doc_id, row.text) for row in corpus_pipeline.drop_near_copies(spark, df.withColumn("uid", F.lit(0)), FOLDER).collect())
+    twice = {(None, alone[2] + " x"), (None, alone[2] + " y")}, {(9, alone[3] + " x"), (9, alone[3] + " y")}
+    assert all(sum(kept[row] for row in pair) == 1 for pair in twice)
+    rest = {row: n for row, n in kept.items() if not any(row in pair for pair in twice)}
+    assert rest == dict.fromkeys([(1, near(0)), (5, alone[0]), (None, alone[1]), (3, ""), (None, None)], 1)
+
+
 def test_mix_takes_documents_as_often_as_wanted(tables):
     times = {row.doc_id: row.times for row in cube.mix(tables[3]).collect()}
     assert Counter(row[0] for row in rows(tables[4])) == Counter({key: n for key, n in times.items() if n})
