@@ -48,17 +48,25 @@ def keyword_score(roles: DataFrame, prefs: DataFrame, weights: DataFrame) -> Dat
 def vector_score(pairs: DataFrame, role_vectors: DataFrame, profile_vectors: DataFrame) -> DataFrame:
     """Mean dot product, in double, of a role's vector with the vectors of a profile.
 
-    Scoring takes the pairs that met the hard preferences, so both joins are on keys.
+    Scoring takes the pairs that met the hard preferences, so both joins are on keys. The mean of
+    the dot products is the dot product with the mean vector, whose components are added up before
+    the shuffle: no row holds more than one vector of a profile. A missing component, also
+    that of a shorter vector, gives a null score.
     """
-    wishes = profile_vectors.groupBy("profile_id").agg(F.collect_list("embedding").alias("wishes"))
+    given = profile_vectors.where("embedding IS NOT NULL")
+    parts = given.select("profile_id", F.posexplode_outer("embedding").alias("at", "x"))
+    parts = parts.groupBy("profile_id", "at").agg(
+        F.count("*").alias("n"), F.count("x").alias("known"), F.avg(F.col("x").cast("double")).alias("x")
+    )
+    # One row per profile and component; a vector without components has its place before the others.
+    place = F.struct(F.coalesce("at", F.lit(-1)).alias("at"), F.when(F.col("n") == F.col("known"), F.col("x")).alias("x"), "n")
+    wishes = parts.groupBy("profile_id").agg(F.array_sort(F.collect_list(place)).alias("parts"), F.max("n").alias("items"))
+    wish = F.transform("parts", lambda part: F.when(part["n"] == F.col("items"), part["x"]))
+    wishes = wishes.select("profile_id", wish.alias("wish"))
     both = pairs.join(role_vectors, "role_id").join(wishes, "profile_id")
-
-    def dot(wish):
-        products = F.zip_with("embedding", wish, lambda a, b: a.cast("double") * b.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-    total = F.aggregate("wishes", F.lit(0.0), lambda total, wish: total + dot(wish))
-    return both.select("profile_id", "role_id", (total / F.size("wishes")).alias("score"))
+    products = F.zip_with("embedding", "wish", lambda a, b: a.cast("double") * b)
+    total = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    return both.select("profile_id", "role_id", total.alias("score"))
 
 
 def blend_scores(kw: DataFrame, vec: DataFrame, w_kw: float, w_vec: float) -> DataFrame:

@@ -130,6 +130,24 @@ def test_preferences(spark):
     assert rows(found, "profile_id", "role_id") == [(1, 1), (1, 2), (2, 2), (2, 3)]
 
 
+def test_vector_score_gathers_no_vectors(spark):
+    """Many items of one profile never meet in one cell, and the score is the mean of all dot products."""
+    items = [("p", [float(i % 7), 1.0 / (i + 1), -float(i)]) for i in range(500)] + [("q", [1.0, 2.0, 3.0]), ("q", None)]
+    items += [("short", [1.0, 2.0, 3.0]), ("short", [1.0, 2.0]), ("gap", [1.0, None, 3.0])]
+    roles = [("r", [0.5, -2.0, 0.25]), ("s", [1.0, 0.0, 0.0])]
+    wishes = spark.createDataFrame(items, "profile_id string, embedding array<float>")
+    vectors = spark.createDataFrame(roles, "role_id string, embedding array<float>")
+    pairs = wishes.select("profile_id").distinct().crossJoin(vectors.select("role_id"))
+    found = vector_score(pairs, vectors, wishes)
+    assert "collect_list(embedding" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(row.profile_id, row.role_id): row.score for row in found.collect()}
+    for profile in ("p", "q"):
+        for role, vector in roles:
+            dots = [sum(a * b for a, b in zip(v, vector)) for key, v in items if key == profile and v]
+            assert got[profile, role] == pytest.approx(sum(dots) / len(dots), rel=1e-6)
+    assert [got[profile, role] for profile in ("short", "gap") for role in "rs"] == [None] * 4
+
+
 def test_vector_score(spark):
     vectors = "{} bigint, embedding array<float>"
     pairs = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (2, 99)], "profile_id bigint, role_id bigint")
