@@ -67,4 +67,42 @@ ORACLES = {
         SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
         FROM texts WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)""",
+    "op12_spelling_variants": """
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+            lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS entry),
+    runs AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+    hexed AS (SELECT *, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS bytes FROM runs),
+    draws AS (
+        SELECT run, n, xor(4294967295, list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(bytes) // 2), lambda k:
+                CAST(('0x' || substr(bytes, CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT))),
+            lambda c, byte: xor(c // 256, entry[xor(c % 256, byte) + 1]))) AS h
+        FROM hexed, crc),
+    spoken AS (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+        FROM draws),
+    words AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoken GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+    cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot FROM words),
+    less AS (SELECT *, substr(word, 1, spot - 1) AS head, substr(word, spot + 1) AS tail FROM cuts),
+    pairs AS (
+        SELECT x.word AS a, y.word AS b FROM less x JOIN less y USING (head, tail) WHERE x.word <> y.word
+        UNION SELECT x.word, y.word FROM less x JOIN words y ON y.word = x.head || x.tail
+        UNION SELECT y.word, x.word FROM less x JOIN words y ON y.word = x.head || x.tail),
+    near AS (
+        SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS best, max(n) AS best_n
+        FROM pairs JOIN words ON word = b GROUP BY 1),
+    forms AS (
+        SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form,
+               CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+        FROM words LEFT JOIN near USING (word)),
+    steps AS (
+        SELECT word, coalesce(form, word) AS root FROM forms
+        UNION ALL SELECT steps.word, forms.form FROM steps JOIN forms ON forms.word = root
+        WHERE forms.form IS NOT NULL),
+    ends AS (SELECT steps.word, root FROM steps JOIN forms ON forms.word = root WHERE forms.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
 }

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtrail.llm import chat, content_sort, cube, huffman, jaccard, merges, perplexity, ppm, sharding, tiles
+from jobtrail.llm import (
+    chat,
+    content_sort,
+    cube,
+    grammar,
+    huffman,
+    jaccard,
+    merges,
+    permuterm,
+    perplexity,
+    ppm,
+    sharding,
+    tiles,
+    whitening,
+)
 from jobtrail.llm.common import hex_digest, read
 from jobtrail.llm.oracles import ORACLES
 from jobtrail.sources.shared import new_folder
@@ -106,6 +120,18 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return permuterm.spelling_variants(read(spark, folder, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return grammar.digest(grammar.find_secrets(read(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -117,6 +143,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary"]
