@@ -13,16 +13,20 @@ each leaves undecided is gathered in new blocks, and so on until each source
 is one block. Only then the landing problem remains: at most two documents of a source,
 decided so that the words taken come nearest to what was wanted, and a few flips of others.
 
-A null text has no words. A null source is a source like others, ordered last. Sources
-without words have target 0. Rows repeated with their id are documents of their own. An empty table gives
-an empty table. All choices come from hashes of the id and the size, so reruns agree.
+A null text has no words, a very long one is one number. A null source is a source like others, ordered last. Sources
+without words have target 0. Ids may be null, of any size, or repeat: every row is a document of its own, and rows are
+told apart by a number that is written with them. Extra columns are kept by ``mixed_documents`` and not looked at; their
+names may clash. An empty table gives an empty table. All choices come from hashes of id, text and source, so
+reruns agree, also on a table that is laid out differently; among rows alike in all three, which ones are taken is
+left to the layout.
 """
 
 from __future__ import annotations
 
 import math
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.llm.common import fresh, numbered, quoted
@@ -36,6 +40,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 BLOCK = 4096
 #: Documents that the landing may flip.
 FLIPS = 3
+#: Bits of a row's number below those of its partition (``monotonically_increasing_id``).
+PART_BITS = 33
 #: A probability this near to 0 or 1 is decided.
 NEAR = 1e-9
 
@@ -65,15 +71,15 @@ def source_targets(sources: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def weighted_sources(rows: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, source_size, source_rows, weight): weights repeat over the sources by code point,
-    null last."""
+    """(source, source_size, source_rows, place, weight): places count the sources by code point, null last, and
+    weights repeat over them."""
     sources = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("source_rows")
     )
     sources = numbered(sources, "place", F.col("source").asc_nulls_last())
     kinds = F.array(*map(F.lit, weights))
     weight = F.get(kinds, F.pmod("place", F.lit(len(weights))).cast("int"))
-    return sources.select("source", "source_size", "source_rows", weight.alias("weight"))
+    return sources.select("source", "source_size", "source_rows", "place", weight.alias("weight"))
 
 
 def flight(sizes: list, chances: list, draws: list) -> list[int]:
@@ -136,77 +142,103 @@ def land(sizes: list, chances: list, undecided: list[int]) -> None:
         chances[at] = 1.0 - chances[at]
 
 
-def _fly(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["draw", "id", "size"], kind="stable")
-    sizes, chances = block["size"].tolist(), block["chance"].tolist()
-    left = flight(sizes, chances, [(draw >> 11) / 2**53 + 0.5 for draw in block["draw"].tolist()])
-    if block["blocks"].iloc[0] == 1:
+def _fly(block: pa.Table) -> pa.Table:
+    """Only whole numbers without nulls and the chances pass through here; draws are distinct in a source."""
+    block = block.sort_by([("draw", "ascending"), ("size", "ascending")])
+    sizes, chances = block["size"].to_pylist(), block["chance"].to_pylist()
+    left = flight(sizes, chances, [(draw >> 11) / 2**53 + 0.5 for draw in block["draw"].to_pylist()])
+    if block["blocks"][0].as_py() == 1:
         land(sizes, chances, left)
-    block["chance"] = chances
-    return block
+    return block.set_column(block.schema.get_field_index("chance"), "chance", pa.array(chances, pa.float64()))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, size, source_size, target, times) of every row of ``docs``."""
+def _drawn(docs: DataFrame, key: str, text: str, source: str) -> list[Column]:
+    """Source, words and draw of a row; rows that are alike in id, text and source are alike in all of them."""
     words = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(quoted(key).alias("id"), quoted(source).alias("source"), words.alias("size"))
-    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
-    sources = stored(source_targets(stored(weighted_sources(rows), "mix-sources")), "mix-targets")
-    largest = sources.agg(F.max("source_rows")).first()[0] or 0
+    kinds = [F.xxhash64(quoted(name), quoted(name).isNull()) for name in (key, text, source)]
+    return [quoted(source).alias("source"), words.alias("size"), F.xxhash64(*kinds).alias("draw")]
 
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+
+def taken(rows: DataFrame) -> DataFrame:
+    """``rows`` (uid, source, size, draw and others), which are stored, with source_size, target and times.
+
+    Rows that are alike are one unit: of m of them, wanted c times each besides the whole times, the whole
+    part of m c is taken, and the fraction left is the unit's chance in the flight. However many there are, the
+    flight meets one row for them, and it meets the same units whatever the layout of the table.
+    """
+    sources = stored(source_targets(stored(weighted_sources(rows), "mix-sources")), "mix-targets")
     same = rows["source"].eqNullSafe(sources["source"])
-    rows = rows.join(sources.drop("weight"), same).drop(sources["source"])
-    rows = rows.withColumn("wanted", wanted).select(
-        "id", "uid", "source", "size", "source_size", "target",
-        F.floor("wanted").alias("whole"),
-        (F.col("wanted") - F.floor("wanted")).alias("chance"),
-        F.xxhash64("id", "size").alias("draw"),
-        F.ceil(F.col("source_rows") / BLOCK).alias("blocks"),
+    placed = rows.join(sources.drop("weight", "source_rows"), same).drop(sources["source"])
+    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = placed.withColumn("wanted", wanted).groupBy("place", "draw", "size")
+    units = units.agg(F.count("*").alias("m"), F.first("wanted").alias("wanted"))
+    share = F.col("m") * (F.col("wanted") - F.floor("wanted"))
+    units = units.select(
+        "place", "draw", "size", "m", F.floor("wanted").alias("whole"),
+        F.floor(share).alias("sure"), (share - F.floor(share)).alias("chance"),
     )
-    done, level, most_blocks = [], 0, math.ceil(largest / BLOCK)
+    units = stored(units, "mix-units")
+    numbers = units.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    numbers = stored(numbers, "mix-blocks")
+    most_blocks = numbers.agg(F.max("blocks")).first()[0] or 0
+
+    left, done, level = units.join(numbers, "place"), [], 0
     while True:
-        place = F.xxhash64(F.coalesce("id", "uid"), "size", F.lit(level))
-        dealt = rows.withColumn("block", F.pmod(place, F.col("blocks")))
-        schema = dealt.schema
-        dealt = stored(dealt.groupBy("source", "block").applyInPandas(_fly, schema), "mix-flight")
+        block = F.pmod(F.xxhash64("draw", F.lit(level)), F.col("blocks"))
+        dealt = left.withColumn("block", block)
+        dealt = stored(dealt.groupBy("place", "block").applyInArrow(_fly, dealt.schema), "mix-flight")
         decided = F.col("chance").isin(0.0, 1.0)
         done.append(dealt.where(decided))
         if most_blocks <= 1:
             break
-        rows = dealt.where(~decided).drop("block")
-        rows = rows.withColumn("blocks", F.ceil(2 * F.col("blocks") / BLOCK))
+        left = dealt.where(~decided).drop("block")
+        left = left.withColumn("blocks", F.ceil(2 * F.col("blocks") / BLOCK))
         most_blocks, level = math.ceil(2 * most_blocks / BLOCK), level + 1
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
-    times = F.col("whole") + F.col("chance").cast("long")
-    return found.select(
-        F.col("id").alias(key), "source", "size", "source_size", "target", times.alias("times")
+    found = found.select(
+        "place", "draw", "size", "m", "whole", (F.col("sure") + F.col("chance").cast("long")).alias("some")
     )
+    known = stored(placed.join(found, ["place", "draw", "size"]), "mix-known")
+
+    # Which of several alike rows: the first by number. They are numbered by scan partition, which the upper
+    # bits of uid name, so that very many of them are no single group.
+    part = F.shiftright("uid", PART_BITS)
+    alike = known.where("m > 1").select("uid", "place", "draw", "size", part.alias("part"))
+    counts = alike.groupBy("place", "draw", "size", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("place", "draw", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    keys = ["place", "draw", "size", "part"]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("uid")) - 1
+    numbered_rows = alike.withColumn("number", number).join(counts, keys)
+    numbered_rows = numbered_rows.select("uid", (F.col("number") + F.col("before")).alias("nth"))
+    known = known.join(numbered_rows, "uid", "left")
+    more = F.coalesce("nth", F.lit(0)) < F.col("some")
+    times = F.col("whole") + more.cast("long")
+    return known.withColumn("times", times).drop("place", "draw", "m", "whole", "some", "nth")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, source, size, source_size, target, times) of every row of ``docs``."""
+    rows = docs.select(quoted(key).alias("id"), *_drawn(docs, key, text, source))
+    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
+    return taken(rows).select(F.col("id").alias(key), "source", "size", "source_size", "target", "times")
 
 
 def mixed_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
-    """The rows of ``docs`` with all columns, each as often as the mix takes it, in no order."""
-    which, times, number, one = fresh(docs, "which", "times", "number", "one")
-
-    def unit(size, key, source):
-        nothing = F.lit("-")
-        return F.concat_ws(
-            " ", size, F.coalesce(key.cast("string"), nothing), F.when(source.isNull(), nothing), source
-        )
-
-    size = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0))
-    rows = docs.withColumn(which, unit(size, quoted(key), quoted(source)))
-    chosen = mix(docs, key, text, source).select(
-        unit(F.col("size"), quoted(key), F.col("source")).alias(which), "times"
+    """The rows of ``docs`` with all columns, each as often as the mix takes it, in no order.
+
+    Rows are numbered and written first, and found again by their number; texts are shuffled once.
+    """
+    number, times, one = fresh(docs, "uid", "times", "one")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.select(quoted(number).alias("uid"), *_drawn(docs, key, text, source))
+    chosen = taken(stored(sizes, "mix-sizes")).where("times > 0").select(
+        F.col("uid").alias(number), F.col("times").cast("int").alias(times)
     )
-    chosen = chosen.groupBy(which).agg(F.sort_array(F.collect_list("times")).alias(times))
-    # Rows that are repeated with all of this take an element of the list each.
-    nth = F.row_number().over(Window.partitionBy(which).orderBy(F.xxhash64(quoted(text))))
-    rows = rows.withColumn(number, nth).join(chosen, which)
-    copies = F.get(F.col(times), F.col(number) - 1).cast("int")
-    rows = rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), copies)))
+    rows = rows.join(stored(chosen, "mix-times"), number)
+    rows = rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), quoted(times))))
     return rows.select(*map(quoted, docs.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtrail.llm import grammar, permuterm, whitening
+from jobtrail.llm import cube, grammar, permuterm, whitening
 
 VECTORS = "vec_id long, embedding array<float>"
 DOCS = "doc_id long, text string"
@@ -349,3 +349,60 @@ def test_states_with_different_futures_stay_apart():
     assert grammar.format_bits(automaton, "aba-01010", True) is not None
     assert grammar.format_bits(automaton, "0aba-0101", True) is None
     assert grammar.format_bits(automaton, "aba-0101a", True) is None
+
+
+# --- 8, rows that are hard to tell apart ---
+
+MIXED = "doc_id long, text string, lang string, source string, extra long"
+
+
+def told(row):
+    return (row.doc_id, row.source, row.size, row.times)
+
+
+def awkward_mix(rng):
+    """Null ids beside ids that no double holds, repeated ids, repeated rows, and null sources."""
+    rows = [((1 << 53) + 2 * n + 1, " ".join(["w"] * rng.randrange(30)), "en", rng.choice(("a", "a", "a", "b", None)), n) for n in range(150)]
+    rows += [(None, " ".join(["w"] * rng.randrange(30)), "en", rng.choice(("a", "b", "c", None)), 200 + n) for n in range(150)]
+    rows += [(7, "same words here", None, "b", 400 + n) for n in range(40)] + [(7, None, None, "c", 500 + n) for n in range(40)]
+    return rows + [(None, "x y z", None, "a", 600 + n) for n in range(60)]
+
+
+def test_mix_keeps_ids_and_rows(spark, monkeypatch):
+    rows = awkward_mix(random.Random(9))
+    table = spark.createDataFrame(rows, MIXED)
+    for block in (4096, 16):
+        monkeypatch.setattr(cube, "BLOCK", block)
+        answers = [cube.mix(table.repartition(parts)).collect() for parts in (1, 7)]
+        assert Counter(row.doc_id for row in answers[0]) == Counter(row[0] for row in rows)
+        # The same answer, whatever the layout.
+        assert Counter(map(told, answers[0])) == Counter(map(told, answers[1]))
+        taken, target = Counter(), {}
+        for row in answers[0]:
+            assert 0 <= row.times <= 3
+            taken[row.source] += row.times * row.size
+            target[row.source] = row.target
+        assert all(abs(taken[source] - target[source]) <= 30 for source in target)
+        mixed = cube.mixed_documents(table.repartition(5)).collect()
+        assert len(mixed) == sum(row.times for row in answers[0])
+        known = Counter(rows)
+        assert all(known[tuple(row)] for row in mixed)
+        found = Counter((row.doc_id, row.source, len((row.text or "").split())) for row in mixed)
+        want = Counter()
+        for row in answers[0]:
+            want[row.doc_id, row.source, row.size] += row.times
+        assert found == +want
+        assert max(Counter(map(tuple, mixed)).values()) <= 3
+
+
+def test_mix_of_very_many_alike_rows(spark):
+    hot = spark.range(300_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "'a' AS source")
+    alike = spark.range(200_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three' AS text", "'b' AS source")
+    other = spark.range(1000).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 50 AS INT)) AS text", "'c' AS source")
+    mixed = cube.mix(hot.unionByName(alike).unionByName(other))
+    got = {row.source: row for row in mixed.groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.col("times") * F.col("size")).alias("taken"), F.max("target").alias("target"),
+        F.max("times").alias("most"),
+    ).collect()}
+    assert {source: row.n for source, row in got.items()} == {"a": 300_000, "b": 200_000, "c": 1000}
+    assert all(abs(row.taken - row.target) <= 3 and row.most <= 3 for row in got.values())
