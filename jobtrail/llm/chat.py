@@ -11,13 +11,14 @@ turn or forge a header: reading back is splitting at the marks and taking the es
 
 Turns are ordered by (turn, role, text), nulls first; rows that are repeated stay repeated. A null role
 or text counts as empty. Rows with a null
-conversation id form one conversation with that id. An empty table gives no conversation. A conversation is one
-string, so it must fit in memory; how many there are does not matter.
+conversation id form one conversation with that id. Extra columns are not looked at. An empty table gives no conversation.
+A conversation is one string, so it must fit in memory; how many there are does not matter, and the work on one grows with its
+length, not with its square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtrail.llm.common import quoted
@@ -25,6 +26,8 @@ from jobtrail.llm.common import quoted
 HEADER = "<role:"
 ALSO = "<also>"
 END = "</turn>\n"
+#: Between a mark and what stands beside it: escaped strings have neither sign.
+MARKS = r"(?<=>)|(?=<)"
 #: In the order they are applied; the second to last are taken away between escaped backslashes.
 ESCAPES = (("\\", "\\\\"), ("<", "\\l"), (">", "\\g"))
 #: The role whose texts the loss mask covers.
@@ -84,33 +87,21 @@ def format_chats(
             (x["role"] == TAUGHT).alias("taught"),
         ),
     )
-    chats = chats.select("conv", parts.alias("parts"))
-    formatted = F.concat(
-        F.array_join(F.transform("parts", lambda x: F.concat(x["mark"], x["text"])), ""), F.lit(END)
-    )
-    step = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,length:int>>").alias("spans"))
-    spans = F.aggregate(
-        "parts",
-        step,
-        lambda seen, x: F.struct(
-            (seen["at"] + F.length(x["mark"]) + F.length(x["text"])).alias("at"),
-            F.when(
-                x["taught"],
-                F.concat(
-                    seen["spans"],
-                    F.array(
-                        F.struct(
-                            (seen["at"] + F.length(x["mark"])).alias("start"),
-                            F.length(x["text"]).alias("length"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(seen["spans"])
-            .alias("spans"),
-        ),
-        lambda seen: seen["spans"],
-    )
+    # One row per part, so that places are running sums: appending to an array copies it each time. The rows of a
+    # conversation stay together, so nothing is shuffled again.
+    rows = chats.select("conv", F.posexplode(parts).alias("nth", "part")).select("conv", "nth", "part.*")
+    before = Window.partitionBy("conv").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("mark") + F.length("text")).over(before), F.lit(0)) + F.length("mark")
+    rows = rows.select(
+        "conv",
+        F.struct(
+            "nth", F.concat("mark", "text").alias("part"), "taught",
+            F.struct(at.cast("int").alias("start"), F.length("text").alias("length")).alias("span"),
+        ).alias("piece"),
+    )
+    chats = rows.groupBy("conv").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda x: x["part"]), ""), F.lit(END))
+    spans = F.transform(F.filter("pieces", lambda x: x["taught"]), lambda x: x["span"])
     return chats.select(
         F.col("conv").alias(conversation), formatted.alias("formatted"), spans.alias("loss")
     )
@@ -134,9 +125,24 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def read_loss(formatted: Column, loss: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    texts = F.transform(
-        loss, lambda span: unescaped(F.substring(formatted, span["start"] + 1, span["length"]))
+def read_loss(chats: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """(conversation, taught): the text under the loss mask, unescaped, of each row of ``format_chats``.
+
+    The string is cut at its marks, once; running sums give each piece its place, where spans find it.
+    """
+    conv = quoted(conversation)
+    pieces = chats.select(conv.alias("conv"), F.posexplode(F.split("formatted", MARKS, -1)).alias("nth", "piece"))
+    before = Window.partitionBy("conv").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+    spans = chats.select(conv.alias("of"), F.inline("loss")).where("length > 0")
+    under = F.col("conv").eqNullSafe(F.col("of")) & (pieces["start"] == spans["start"])
+    found = pieces.join(spans, under, "left").select(
+        "conv",
+        F.when(
+            F.col("length").isNotNull(),
+            F.struct(pieces["start"], unescaped(F.substring("piece", F.lit(1), F.col("length"))).alias("text")),
+        ).alias("said"),
     )
-    return F.array_join(texts, "")
+    found = found.groupBy("conv").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    text = F.array_join(F.transform("said", lambda x: x["text"]), "")
+    return found.select(F.col("conv").alias(conversation), text.alias("taught"))

@@ -78,12 +78,9 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(FORGERY).alias("text"),
     )
     chats = chat.format_chats(turns.unionByName(forged))
-    turns = chats.withColumns(
-        {
-            "turns": chat.read_turns(F.col("formatted")),
-            "taught": chat.read_loss(F.col("formatted"), F.col("loss")),
-        }
-    )
+    taught = chat.read_loss(chats).withColumnRenamed("conv_id", "of")
+    turns = chats.withColumn("turns", chat.read_turns(F.col("formatted")))
+    turns = turns.join(taught, F.col("conv_id").eqNullSafe(F.col("of")))
     lines = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     return turns.select(
         "conv_id",

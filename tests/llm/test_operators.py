@@ -365,15 +365,19 @@ def test_chats(spark):
         (-7, 0, "user", queries.FORGERY), (-7, 1, "assistant", queries.FORGERY),
     ]
     df = spark.createDataFrame(said, "conv_id long, turn int, role string, text string")
-    chats = chat.format_chats(clashing(df)).withColumns(
-        {"turns": chat.read_turns(F.col("formatted")), "taught": chat.read_loss(F.col("formatted"), F.col("loss"))}
-    )
-    rows = {row.conv_id: row for row in chats.collect()}
+    chats = chat.format_chats(clashing(df))
+    taught = {row.conv_id: row.taught for row in chat.read_loss(chats).collect()}
+    rows = {row.conv_id: row for row in chats.withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    assert taught.keys() == rows.keys()
     for key in (1, 2, None, -7):
         own = [((t is not None, t), r or "", x or "") for k, t, r, x in said if k == key]
         own = [(r, x) for _, r, x in sorted(own, key=lambda row: (row[0][0], row[0][1] or 0, row[1], row[2]))]
         assert [tuple(turn) for turn in rows[key].turns] == own
-        assert rows[key].taught == "".join(x for r, x in own if r == "assistant")
+        assert taught[key] == "".join(x for r, x in own if r == "assistant")
+        spans = [rows[key].formatted[at : at + n] for at, n in rows[key].loss]
+        assert [x.replace("\\l", "<").replace("\\g", ">") for x in spans if "\\\\" not in x] == [
+            x for r, x in own if r == "assistant" and "\\" not in x
+        ]
     # Adjacent turns of a role stand under one header.
     assert rows[1].formatted.count("<role:") == 3 and rows[2].formatted.count("<role:also>") == 1
     assert rows[-7].formatted == (

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtrail.llm import cube, grammar, permuterm, whitening
+from jobtrail.llm import chat, cube, grammar, permuterm, whitening
 
 VECTORS = "vec_id long, embedding array<float>"
 DOCS = "doc_id long, text string"
@@ -406,3 +407,32 @@ def test_mix_of_very_many_alike_rows(spark):
     ).collect()}
     assert {source: row.n for source, row in got.items()} == {"a": 300_000, "b": 200_000, "c": 1000}
     assert all(abs(row.taken - row.target) <= 3 and row.most <= 3 for row in got.values())
+
+
+# --- 6, long conversations ---
+
+
+def test_a_long_conversation(spark):
+    def turns(n):
+        rows = spark.range(n).selectExpr(
+            "CAST(1 AS LONG) AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role",
+            "concat('turn <', id, '> ü ', repeat('x', CAST(id % 90 AS INT))) AS text",
+        )
+        return rows.repartition(4)
+
+    def run(n):
+        start = time.time()
+        chats = chat.format_chats(turns(n))
+        read = chats.select(chat.read_turns(F.col("formatted")).alias("turns")).first().turns
+        taught = chat.read_loss(chats).first().taught
+        return time.time() - start, read, taught
+
+    run(100)
+    run(8_000)
+    small, *_ = run(8_000)
+    large, read, taught = run(16_000)
+    said = [(("user", "assistant")[i % 3 > 0], f"turn <{i}> ü " + "x" * (i % 90)) for i in range(16_000)]
+    assert [tuple(turn) for turn in read] == said
+    assert taught == "".join(text for role, text in said if role == "assistant")
+    # In proportion, with room for a noisy machine; with its square it would be four times.
+    assert large < 2.5 * small + 1
