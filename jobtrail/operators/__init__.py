@@ -7,7 +7,18 @@ from jobtrail.operators.score import (
     top_roles,
     vector_score,
 )
-from jobtrail.operators.tailor import assemble_resume, coverage_gap, rank_fragments
+from jobtrail.operators.search import bucket_bounds, posting_weights, search_roles
+from jobtrail.operators.tailor import (
+    assemble_resume,
+    cover_fragments,
+    cover_matched,
+    coverage_gap,
+    fragment_words,
+    gap_matched,
+    matched_words,
+    rank_fragments,
+    rank_matched,
+)
 from jobtrail.operators.track import (
     activity_windows,
     current_status,
@@ -32,17 +43,26 @@ __all__ = [
     "apply_queue",
     "assemble_resume",
     "blend_scores",
+    "bucket_bounds",
+    "cover_fragments",
+    "cover_matched",
     "coverage_gap",
     "current_status",
+    "fragment_words",
+    "gap_matched",
     "keyword_score",
     "keyword_weights",
+    "matched_words",
     "new_roles",
     "page_fields",
     "page_key",
     "page_roles",
+    "posting_weights",
     "preference_filter",
     "rank_fragments",
+    "rank_matched",
     "responses_within",
+    "search_roles",
     "site_activity",
     "snapshot_diff",
     "stage_funnel",

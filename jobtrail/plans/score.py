@@ -1,19 +1,24 @@
 """Score queries."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobtrail.operators import (
     blend_scores,
     keyword_score,
     keyword_weights,
+    posting_weights,
     preference_filter,
+    search_roles,
     top_roles,
     vector_score,
 )
 from jobtrail.plans import inputs
-from jobtrail.sources import stored
+from jobtrail.sources import add_postings, new_folder, read_postings, stored
 
 K = 10
+#: Batches in which roles are indexed.
+BATCHES = 2
 W_KEYWORDS = 0.7
 W_VECTORS = 0.3
 
@@ -64,6 +69,24 @@ def top(spark: SparkSession, folder: str) -> DataFrame:
     return top_roles(by_keywords(spark, folder), K)
 
 
+def indexed(spark: SparkSession, folder: str) -> str:
+    """The folder of the postings of all roles, which came in batches."""
+    index = new_folder(spark, "postings")
+    for batch in range(BATCHES):
+        arrived = inputs.texts(spark, folder).where(F.pmod("role_id", F.lit(BATCHES)) == batch)
+        add_postings(arrived, index, batch)
+    return index
+
+
+def top_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """``top`` from stored postings."""
+    roles, blocks = read_postings(spark, indexed(spark, folder))
+    items = inputs.items(spark, folder)
+    prefs = stored(inputs.preferences(items), "preferences")
+    weights = stored(posting_weights(roles, blocks, inputs.profiles(items)), "weights")
+    return search_roles(blocks, prefs, weights, K)
+
+
 def top_blended(spark: SparkSession, folder: str) -> DataFrame:
     return top_roles(blended(spark, folder), K)
 
@@ -74,6 +97,7 @@ QUERIES = {
     "vector_score": vectors_rounded,
     "blend_scores": blended,
     "top_roles": top,
+    "search_roles": top_indexed,
     "top_blended_roles": top_blended,
 }
 
@@ -143,6 +167,7 @@ ORACLES = {
     "vector_score": f"""WITH {ITEMS}, {_PAIRS}, {_VECTORS}
         SELECT profile_id, role_id, round(score, 6) AS score FROM vec""",
     "blend_scores": f"WITH {_ALL} SELECT profile_id, role_id, score FROM blend",
+    "search_roles": f"WITH {ITEMS}, {_PAIRS}, {KEYWORDS} {TOP.format(scores='kw', k=K)}",
     "top_roles": f"WITH {ITEMS}, {_PAIRS}, {KEYWORDS} {TOP.format(scores='kw', k=K)}",
     "top_blended_roles": f"WITH {_ALL} {TOP.format(scores='blend', k=K)}",
 }

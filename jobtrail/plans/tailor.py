@@ -1,8 +1,17 @@
 """Tailor queries."""
 
 from pyspark.sql import DataFrame, SparkSession
-
-from jobtrail.operators import assemble_resume, coverage_gap, rank_fragments
+from pyspark.sql import functions as F
+
+from jobtrail.operators import (
+    assemble_resume,
+    cover_matched,
+    fragment_words,
+    gap_matched,
+    matched_words,
+    rank_fragments,
+    rank_matched,
+)
 from jobtrail.plans import inputs, watch
 from jobtrail.sources import stored
 
@@ -14,10 +23,33 @@ def ranked(spark: SparkSession, folder: str) -> DataFrame:
     return rank_fragments(inputs.texts(spark, folder), inputs.fragments(spark, folder), K)
 
 
+def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(matched, lines); texts are read once for all that is asked of them."""
+    lines = fragment_words(inputs.fragments(spark, folder))
+    return stored(matched_words(inputs.texts(spark, folder), lines), "matched"), lines
+
+
 def gap(spark: SparkSession, folder: str) -> DataFrame:
-    return coverage_gap(
-        inputs.texts(spark, folder), ranked(spark, folder), inputs.fragments(spark, folder)
-    )
+    matched, lines = _matched(spark, folder)
+    return gap_matched(matched, rank_matched(matched, lines, K), lines)
+
+
+def covering(spark: SparkSession, folder: str) -> DataFrame:
+    """Three fragments for each role that cover as many of its words together as the greedy choice does."""
+    matched, lines = _matched(spark, folder)
+    return cover_matched(matched, lines, K)
+
+
+def choices(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that all roles need, and how many of them either way of choosing covers."""
+    matched, lines = _matched(spark, folder)
+    found = None
+    for name, choose in (("ranked", rank_matched), ("covering", cover_matched)):
+        gaps = gap_matched(matched, choose(matched, lines, K), lines)
+        row = gaps.agg(F.sum("needed").alias("needed"), F.sum("covered").alias("covered"))
+        row = row.select(F.lit(name).alias("choice"), "needed", "covered")
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 def resumes(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +68,8 @@ def new_role_resumes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "rank_fragments": ranked,
     "coverage_gap": gap,
+    "cover_fragments": covering,
+    "coverage_by_choice": choices,
     "assemble_resume": resumes,
     "new_role_resumes": new_role_resumes,
 }
@@ -65,7 +99,33 @@ def resumes_of(table: str, key: str) -> str:
 RANKED = ranked_of("documents", "doc_id")
 RESUMES = resumes_of("documents", "doc_id")
 
+
+def _step(n: int) -> str:
+    """SQL for the greedy choice's ``n``-th fragment of each role."""
+    return f"""
+    left{n} AS (SELECT role_id, word FROM needs {"" if n == 1 else f"""WHERE (role_id, word) NOT IN (
+        SELECT role_id, word FROM greedy{n - 1} JOIN lines USING (fragment_id))"""}),
+    gains{n} AS (SELECT role_id, fragment_id, count(*) AS gained FROM left{n} JOIN lines USING (word) GROUP BY 1, 2),
+    best{n} AS (SELECT * FROM gains{n} QUALIFY row_number() OVER (PARTITION BY role_id ORDER BY gained DESC, fragment_id) = 1),
+    greedy{n} AS (SELECT role_id, {n} AS rank, fragment_id, gained FROM best{n}
+                  {"" if n == 1 else f"UNION ALL SELECT * FROM greedy{n - 1}"})"""
+
+
+GREEDY = ",".join(_step(n) for n in range(1, K + 1))
+
+
+def _covered(choice: str, chosen: str) -> str:
+    return f"""
+        SELECT '{choice}' AS choice, (SELECT count(*) FROM needs) AS needed, count(*) AS covered
+        FROM needs WHERE (role_id, word) IN (SELECT role_id, word FROM {chosen} JOIN lines USING (fragment_id))"""
+
+
 ORACLES = {
+    "cover_fragments": f"""
+        WITH {RANKED}, {GREEDY}
+        SELECT role_id, CAST(rank AS INTEGER) AS rank, fragment_id, gained FROM greedy{K}""",
+    "coverage_by_choice": f"""
+        WITH {RANKED}, {GREEDY} {_covered("ranked", "ranked")} UNION ALL {_covered("covering", f"greedy{K}")}""",
     "rank_fragments": f"WITH {RANKED} SELECT role_id, rank, fragment_id, shared FROM ranked",
     "coverage_gap": f"""
         WITH {RANKED},
