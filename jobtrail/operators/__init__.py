@@ -8,6 +8,13 @@ from jobtrail.operators.score import (
     vector_score,
 )
 from jobtrail.operators.search import bucket_bounds, posting_weights, search_roles
+from jobtrail.operators.seen import marked_keys, merged_sketch, new_by_sketch, seen_sketch
+from jobtrail.operators.sketches import (
+    application_report,
+    application_sketches,
+    duration_quantiles,
+    duration_sketches,
+)
 from jobtrail.operators.tailor import (
     assemble_resume,
     cover_fragments,
@@ -22,6 +29,8 @@ from jobtrail.operators.tailor import (
 from jobtrail.operators.track import (
     activity_windows,
     current_status,
+    quiet_spells,
+    response_pairs,
     responses_within,
     stage_funnel,
     stale_applications,
@@ -30,16 +39,21 @@ from jobtrail.operators.track import (
 )
 from jobtrail.operators.watch import (
     new_roles,
+    own_content,
     page_fields,
     page_key,
+    page_lines,
     page_roles,
     site_activity,
+    site_lines,
     snapshot_diff,
 )
 
 __all__ = [
     "activity_windows",
     "application_payload",
+    "application_report",
+    "application_sketches",
     "apply_queue",
     "assemble_resume",
     "blend_scores",
@@ -48,22 +62,33 @@ __all__ = [
     "cover_matched",
     "coverage_gap",
     "current_status",
+    "duration_quantiles",
+    "duration_sketches",
     "fragment_words",
     "gap_matched",
     "keyword_score",
     "keyword_weights",
+    "marked_keys",
     "matched_words",
+    "merged_sketch",
+    "new_by_sketch",
     "new_roles",
+    "own_content",
     "page_fields",
     "page_key",
+    "page_lines",
     "page_roles",
     "posting_weights",
     "preference_filter",
+    "quiet_spells",
     "rank_fragments",
     "rank_matched",
+    "response_pairs",
     "responses_within",
     "search_roles",
+    "seen_sketch",
     "site_activity",
+    "site_lines",
     "snapshot_diff",
     "stage_funnel",
     "stale_applications",

@@ -165,3 +165,38 @@ def responses_within(sent: DataFrame, answers: DataFrame, span: str) -> DataFram
         )
         .where("n_answers > 0")
     )
+
+
+def quiet_spells(events: DataFrame, span: str) -> DataFrame:
+    """(application_id, last_ts, quiet_at, n_events) of each stretch of an application's events after which
+    nothing came for longer than ``span``; batch or stream. ``last_ts`` is the last event, ``quiet_at`` when the span was over.
+
+    Windows that grow with each event close ``span`` after the last one. In a batch each application's last stretch
+    is closed too, whenever it was. Events without a time are left out; a null application is one like others.
+    """
+    window = F.session_window("ts", span)
+    return (
+        events.groupBy("application_id", window)
+        .agg(F.max("ts").alias("last_ts"), F.count("*").alias("n_events"))
+        .select("application_id", "last_ts", F.col("session_window.end").alias("quiet_at"), "n_events")
+    )
+
+
+def response_pairs(sent: DataFrame, answers: DataFrame, span: str, cut: int = 4) -> DataFrame:
+    """(application_id, event_id, sent_at, answer_id, answered_at): each answer within ``span`` of each sending of
+    its application; both ends of the span count.
+
+    Events logged twice, and those without an application or a time, count as in ``responses_within``.
+    Time is cut in stretches of a part of the span, ``cut`` to one. A sending stays in its stretch and
+    an answer goes to its own and the ``cut`` before, where all sendings it can belong to are. So both sides meet by
+    application and stretch, and a busy application lies in as many tasks as it has stretches.
+    """
+    known = F.col("application_id").isNotNull() & F.col("ts").isNotNull()
+    part = F.floor(micros(F.col("ts")) * cut / _length(span))
+    left = sent.where(known).select("application_id", "event_id", F.col("ts").alias("sent_at"), part.alias("part")).distinct()
+    right = answers.where(known).select(
+        "application_id", F.col("event_id").alias("answer_id"), F.col("ts").alias("answered_at"),
+        F.explode(F.sequence(part - cut, part)).alias("part"),
+    ).distinct()
+    inside = F.expr(f"answered_at BETWEEN sent_at AND sent_at + INTERVAL {span}")
+    return left.join(right, ["application_id", "part"]).where(inside).drop("part")

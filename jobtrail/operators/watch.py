@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.functions import address_key, host_of, markup_text, path_of
-from jobtrail.functions.pages import UNREAD, element
+from jobtrail.functions.pages import SPACE, TAG, UNREAD, element
+from jobtrail.sources.shared import stored
 
 OPEN = r"(?i:<article\b[^>]*>)"
 CLOSE = r"(?i:</article\s*>)"
@@ -116,3 +117,43 @@ def new_roles(roles: DataFrame, seen: DataFrame, key: str = "page_key") -> DataF
     Hand in ids and keys only: what is large is joined back for the few that are new.
     """
     return roles.join(seen.select(key).distinct(), key, "left_anti")
+
+
+#: A line belongs to the site if it stands on this share of a host's pages, and on so many at least.
+SITE_SHARE, SITE_PAGES = 0.5, 3
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, lines): the hashes of a page's pieces of text between tags, in order, without empty ones."""
+    markup = F.regexp_replace("html", F.lit(UNREAD), F.lit(" "))
+    pieces = F.transform(F.split(markup, TAG), lambda piece: F.trim(F.regexp_replace(piece, F.lit(SPACE), F.lit(" "))))
+    lines = F.transform(F.filter(pieces, lambda piece: piece != ""), lambda piece: F.xxhash64(piece))
+    return pages.select(
+        "page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(lines, F.array().cast("array<bigint>")).alias("lines")
+    )
+
+
+def site_lines(read: DataFrame, share: float = SITE_SHARE, least: int = SITE_PAGES) -> DataFrame:
+    """(host, line) of ``page_lines``: what stands on most pages of a host, such as menus and footers.
+
+    Counts are by host and line, so a host with very many pages is no single group.
+    """
+    on = read.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    on = on.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sizes = read.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
+    both = on.join(sizes, F.col("host").eqNullSafe(F.col("of")))
+    return both.where(F.col("n") >= share * F.col("pages")).select("host", "line")
+
+
+def own_content(pages: DataFrame, share: float = SITE_SHARE, least: int = SITE_PAGES) -> DataFrame:
+    """(page_id, url, html): pages with a digest of their own lines, those that are not the site's, in place of
+    the html. ``snapshot_diff`` of two crawls in this form tells apart roles that changed from sites that changed a footer."""
+    read = stored(page_lines(pages), "page-lines")
+    site = stored(site_lines(read, share, least), "site-lines").withColumnsRenamed({"host": "of", "line": "site_line"})
+    rows = read.select("page_id", "url", "host", F.posexplode_outer("lines").alias("at", "line"))
+    same = F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("site_line"))
+    # A page all of whose lines are the site's still has a row.
+    own = rows.join(site, same, "left").withColumn("own", F.when(F.col("site_line").isNull(), F.struct("at", "line")))
+    own = own.groupBy("page_id", "url").agg(F.array_sort(F.collect_list("own")).alias("own"))
+    digest = F.array_join(F.transform("own", lambda x: x["line"].cast("string")), " ")
+    return own.select("page_id", "url", F.md5(digest.cast("binary")).alias("html"))

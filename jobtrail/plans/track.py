@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 
 from jobtrail.operators import (
     activity_windows,
+    application_report,
+    application_sketches,
     current_status,
+    duration_quantiles,
+    duration_sketches,
+    quiet_spells,
+    response_pairs,
     responses_within,
     stage_funnel,
     stale_applications,
@@ -18,13 +24,16 @@ from jobtrail.sources import (
     append_log,
     new_folder,
     outbox_sink,
+    read_batches,
     read_log,
     read_outbox,
     read_table,
+    write_batch,
 )
 from jobtrail.streaming import (
     activity_changes,
     latest_counts,
+    quiet_spells_stream,
     responses_within_stream,
     run_to_end,
 )
@@ -34,6 +43,9 @@ SPAN = "2 days"
 LATE = "1 day"
 #: Files in which the streams get the events.
 PARTS = 3
+#: An application is quiet if nothing came for so long.
+QUIET = "18 hours"
+QUANTILES = {"half": 0.5, "most": 0.9}
 CUTOFF = "2024-01-30 00:00:00"
 
 
@@ -123,6 +135,49 @@ def responses_stream(spark: SparkSession, folder: str) -> DataFrame:
     return answered.withColumn("sent_at", shown("sent_at"))
 
 
+def pairs(spark: SparkSession, folder: str) -> DataFrame:
+    events = inputs.log(spark, folder)
+    found = response_pairs(_stage(events, inputs.SENT), _stage(events, inputs.ANSWER), SPAN)
+    return found.withColumns({"sent_at": shown("sent_at"), "answered_at": shown("answered_at")})
+
+
+def quiet(spark: SparkSession, folder: str) -> DataFrame:
+    found = quiet_spells(inputs.log(spark, folder), QUIET)
+    return found.withColumns({"last_ts": shown("last_ts"), "quiet_at": shown("quiet_at")})
+
+
+def quiet_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Spells that were over when the last events came; later ones are not known to be."""
+    out = new_folder(spark, "quiet")
+    found = quiet_spells_stream(_arriving(spark, folder), QUIET, LATE)
+    run_to_end(found, outbox_sink(f"{out}/spells"), f"{out}/checkpoint")
+    schema = "application_id bigint, last_ts timestamp, quiet_at timestamp, n_events bigint, batch bigint"
+    spells = read_outbox(spark, f"{out}/spells", schema).drop("batch")
+    return spells.withColumns({"last_ts": shown("last_ts"), "quiet_at": shown("quiet_at")})
+
+
+def _by_day(spark: SparkSession, rows: DataFrame, sketch, schema: str) -> DataFrame:
+    """Sketches of the days, stored in two batches of days and read again."""
+    out = new_folder(spark, "day-sketches")
+    for batch in range(2):
+        part = sketch(rows.where(F.pmod(F.unix_date(F.to_date("ts")), F.lit(2)) == batch))
+        write_batch(out, batch, spark, lambda folder, part=part: part.write.parquet(folder))
+    return read_batches(spark, out, schema)
+
+
+SKETCH_SCHEMA = "status string, day date, n bigint, sketch binary"
+
+
+def applicants(spark: SparkSession, folder: str) -> DataFrame:
+    sketches = _by_day(spark, inputs.log(spark, folder), application_sketches, SKETCH_SCHEMA)
+    return application_report(sketches).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def durations(spark: SparkSession, folder: str) -> DataFrame:
+    lasted = status_history(inputs.log(spark, folder))
+    return duration_quantiles(_by_day(spark, lasted, duration_sketches, SKETCH_SCHEMA), QUANTILES)
+
+
 QUERIES = {
     "append_log": logged,
     "current_status": current,
@@ -134,6 +189,11 @@ QUERIES = {
     "stale_applications": stale,
     "responses_within": responses,
     "responses_within_stream": responses_stream,
+    "response_pairs": pairs,
+    "quiet_spells": quiet,
+    "quiet_spells_stream": quiet_stream,
+    "application_report": applicants,
+    "duration_quantiles": durations,
 }
 
 _WINDOWS = """
@@ -150,6 +210,17 @@ _RESPONSES = """
         WHERE s.event_type = 'signup' AND a.event_type = 'purchase'
         GROUP BY 1, 2, 3)"""
 
+_SPELLS = """
+    gaps AS (
+        SELECT *, coalesce(ts - lag(ts) OVER spell > INTERVAL 18 HOUR, true) AS opens
+        FROM events WINDOW spell AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM gaps),
+    spells AS (SELECT user_id, max(ts) AS last_ts, max(ts) + INTERVAL 18 HOUR AS quiet_at, count(*) AS n_events
+               FROM numbered GROUP BY user_id, nth)"""
+
+_SPELL = """user_id AS application_id, strftime(last_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_ts,
+               strftime(quiet_at, '%Y-%m-%d %H:%M:%S.%f') AS quiet_at, n_events"""
+
 
 def _first(stage: str) -> str:
     at_stage = f"CASE WHEN event_type = '{stage}'"
@@ -192,4 +263,25 @@ ORACLES = {
     "responses_within_stream": f"""
         WITH {_RESPONSES}
         SELECT application_id, event_id, strftime(sent_at, '%Y-%m-%d %H:%M:%S.%f') AS sent_at FROM found""",
+    "response_pairs": """
+        SELECT DISTINCT s.user_id AS application_id, s.event_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S.%f') AS sent_at,
+               a.event_id AS answer_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S.%f') AS answered_at
+        FROM events s JOIN events a ON a.user_id = s.user_id AND a.ts BETWEEN s.ts AND s.ts + INTERVAL 2 DAY
+        WHERE s.event_type = 'signup' AND a.event_type = 'purchase'""",
+    "quiet_spells": f"WITH {_SPELLS} SELECT {_SPELL} FROM spells",
+    "quiet_spells_stream": f"""
+        WITH {_SPELLS}
+        SELECT {_SPELL} FROM spells WHERE quiet_at <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    "application_report": """
+        SELECT CASE WHEN grouping(status) = 1 THEN 'total' WHEN grouping(day) = 1 THEN 'status' ELSE 'day' END AS level,
+               status, day, count(*) AS n, count(DISTINCT user_id) AS applications
+        FROM (SELECT user_id, event_type AS status, strftime(ts, '%Y-%m-%d') AS day FROM events)
+        GROUP BY ROLLUP (status, day)""",
+    "duration_quantiles": """
+        WITH lasted AS (
+            SELECT event_type AS status,
+                   date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS us
+            FROM events)
+        SELECT status, count(*) AS n, quantile_disc(us, 0.5) AS half, quantile_disc(us, 0.9) AS most
+        FROM lasted WHERE us IS NOT NULL GROUP BY 1""",
 }

@@ -4,17 +4,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail.operators import (
+    merged_sketch,
+    new_by_sketch,
     new_roles,
+    own_content,
     page_fields,
     page_key,
     page_roles,
+    seen_sketch,
     site_activity,
     snapshot_diff,
     top_roles,
 )
 from jobtrail.plans import inputs
 from jobtrail.plans.score import ITEMS, K, TOP, keywords_of, pairs_of, scored
-from jobtrail.sources import new_folder, outbox_sink, read_outbox, scan_pages, stored
+from jobtrail.sources import new_folder, outbox_sink, read_batches, read_outbox, scan_pages, spread, stored, write_batch
 from jobtrail.streaming import new_keys, run_to_end
 
 
@@ -52,17 +56,37 @@ def unseen(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unseen_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages arrive in parts by id; those that are read again show nothing new."""
+    """The pages arrive in parts by id, each in one file in order; those that are read again show nothing new."""
     inbox = new_folder(spark, "pages")
     pages = scan_pages(spark, folder)
     for part in range(PARTS):
-        pages.where(F.pmod("page_id", F.lit(PARTS)) == part).write.mode("append").parquet(inbox)
+        arrived = pages.where(F.pmod("page_id", F.lit(PARTS)) == part)
+        arrived.coalesce(1).sortWithinPartitions("page_id").write.mode("append").parquet(inbox)
     seen = stored(page_key(inputs.previous_pages(spark, folder)).select("page_key").distinct(), "seen-keys")
     out = new_folder(spark, "new-roles")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     arriving = page_key(inputs.current_pages(stream))
     run_to_end(new_keys(arriving, seen), outbox_sink(f"{out}/keys"), f"{out}/checkpoint")
-    return read_outbox(spark, f"{out}/keys", "page_id bigint, url string, page_key string, batch bigint").select("page_key")
+    return read_outbox(spark, f"{out}/keys", "page_id bigint, url string, page_key string, batch bigint").drop("batch")
+
+
+def unseen_by_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """``unseen`` by bitmaps; what was seen came in two crawls, each with a sketch of its own."""
+    seen = stored(page_key(inputs.previous_pages(spark, folder)).select("page_id", "page_key"), "seen-keys")
+    sketches = new_folder(spark, "sketches")
+    for crawl in range(2):
+        part = seen_sketch(seen.where(F.pmod("page_id", F.lit(2)) == crawl))
+        write_batch(sketches, crawl, spark, lambda out, part=part: part.write.parquet(out))
+    sketch = stored(merged_sketch(read_batches(spark, sketches, "slot bigint, marks binary, batch bigint")), "sketch")
+    found = page_key(current(spark, folder)).select("page_id", "page_key")
+    return new_by_sketch(found, seen, sketch).select("page_id", "page_key")
+
+
+def role_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """``diff`` of what is the pages' own."""
+    before = own_content(spread(inputs.previous_pages(spark, folder), "page_id"))
+    now = own_content(spread(current(spark, folder), "page_id"))
+    return snapshot_diff(before, now)
 
 
 def new_role_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,6 +114,8 @@ QUERIES = {
     "site_activity": activity,
     "new_roles": unseen,
     "new_roles_stream": unseen_stream,
+    "new_roles_by_sketch": unseen_by_sketch,
+    "role_diff": role_diff,
     "top_new_roles": top_new,
 }
 
@@ -145,6 +171,26 @@ NEW_TEXTS = f"""{_UNSEEN},
                     regexp_replace(html, '{_UNREAD}', ' ', 'g') AS markup FROM unseen),
     roles AS (SELECT page_id AS role_id, lang, {_BODY} AS text, CAST(length({_BODY}) AS BIGINT) AS n_chars FROM read)"""
 
+
+def _own(crawl: str) -> str:
+    """SQL for the lines of a crawl's pages that are not the site's."""
+    return f"""
+    pieces_{crawl} AS (
+        SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host,
+               [x for x in [trim(regexp_replace(y, '[ \\t\\r\\n\\f]+', ' ', 'g')) for y in
+                   regexp_split_to_array(regexp_replace(html, '{_UNREAD}', ' ', 'g'), '<[^>]*>')] if x <> ''] AS lines
+        FROM {crawl}),
+    site_{crawl} AS (
+        SELECT host, line FROM (
+            SELECT host, line, count(*) AS n FROM (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM pieces_{crawl}) GROUP BY 1, 2)
+        JOIN (SELECT host, count(*) AS pages FROM pieces_{crawl} GROUP BY 1) USING (host)
+        WHERE n >= 3 AND n >= 0.5 * pages),
+    sites_{crawl} AS (SELECT host, list(line) AS gone FROM site_{crawl} GROUP BY 1),
+    own_{crawl} AS (
+        SELECT page_id, url, [x for x in lines if NOT list_contains(coalesce(gone, []), x)] AS own
+        FROM pieces_{crawl} LEFT JOIN sites_{crawl} USING (host))"""
+
+
 ORACLES = {
     "scan_pages": "SELECT page_id, url, html FROM pages",
     "page_fields": f"""
@@ -173,6 +219,18 @@ ORACLES = {
                count(CASE WHEN state = 'same' THEN 1 END) AS same
         FROM diff GROUP BY 1""",
     "new_roles": f"WITH {_UNSEEN} SELECT page_id, page_key FROM unseen",
-    "new_roles_stream": f"WITH {_UNSEEN} SELECT DISTINCT page_key FROM unseen",
+    "new_roles_stream": f"""
+        WITH {_UNSEEN}
+        SELECT page_id, url, page_key FROM unseen JOIN cur USING (page_id)
+        QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY page_id % {PARTS}, page_id) = 1""",
+    "new_roles_by_sketch": f"WITH {_UNSEEN} SELECT page_id, page_key FROM unseen",
+    "role_diff": f"""
+        WITH {_CRAWLS}, {_own("prev")}, {_own("cur")},
+        diff AS (
+            SELECT coalesce(c.page_id, p.page_id) AS page_id, coalesce(c.url, p.url) AS url,
+                   CASE WHEN p.page_id IS NULL THEN 'added' WHEN c.page_id IS NULL THEN 'removed'
+                        WHEN p.own <> c.own THEN 'changed' ELSE 'same' END AS state
+            FROM own_prev p FULL OUTER JOIN own_cur c ON p.page_id = c.page_id)
+        SELECT page_id, url, state FROM diff""",
     "top_new_roles": f"WITH {NEW_TEXTS}, {ITEMS}, {pairs_of('roles', 'role_id')}, {keywords_of('roles', 'role_id')} {TOP.format(scores='kw', k=K)}",
 }

@@ -2,6 +2,7 @@ from jobtrail.streaming.run import run_to_end
 from jobtrail.streaming.track import (
     activity_changes,
     latest_counts,
+    quiet_spells_stream,
     responses_within_stream,
     with_event_time,
 )
@@ -11,6 +12,7 @@ __all__ = [
     "activity_changes",
     "latest_counts",
     "new_keys",
+    "quiet_spells_stream",
     "responses_within_stream",
     "run_to_end",
     "with_event_time",

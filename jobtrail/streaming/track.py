@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtrail.operators.track import activity_windows
+from jobtrail.operators.track import activity_windows, quiet_spells
 
 
 def with_event_time(events: DataFrame, late: str) -> DataFrame:
@@ -50,3 +50,12 @@ def responses_within_stream(
         F.col("stretch") == F.col("answer_stretch")
     )
     return sent.join(answers, same & inside, "left_semi").drop("stretch")
+
+
+def quiet_spells_stream(events: DataFrame, span: str, late: str) -> DataFrame:
+    """``quiet_spells`` as they are over (append mode): an application is reported when the watermark, ``late``
+    behind the newest event, has passed the end of its span.
+
+    The state holds one window per application and open stretch, and lets go of it with the report.
+    """
+    return quiet_spells(with_event_time(events, late), span)
