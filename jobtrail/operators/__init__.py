@@ -1,4 +1,4 @@
-from jobtrail.operators.apply import application_payload, apply_queue
+from jobtrail.operators.apply import application_payload, apply_queue, sent_events
 from jobtrail.operators.score import (
     blend_scores,
     keyword_score,
@@ -87,6 +87,7 @@ __all__ = [
     "responses_within",
     "search_roles",
     "seen_sketch",
+    "sent_events",
     "site_activity",
     "site_lines",
     "snapshot_diff",

@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from helpers import rows
 
-from jobtrail.operators import application_payload, apply_queue
-from jobtrail.sources import outbox_sink, read_outbox, write_outbox
+from jobtrail.operators import application_payload, apply_queue, current_status, sent_events
+from jobtrail.sources import append_log, outbox_sink, read_log, read_outbox, replaced, write_batch, write_outbox
 
 TOP = "profile_id bigint, role_id bigint, source string"
 PAYLOADS = "profile_id bigint, role_id bigint, channel string, payload string"
@@ -41,9 +42,10 @@ def test_one_application_per_role(spark, top):
     """A source with several channels is applied to by the first in alphabetical order."""
     channels = spark.createDataFrame([("a", "form"), ("a", "email"), ("b", None)], "source string, channel string")
     found = apply_queue(top, spark.createDataFrame([], "role_id bigint"), channels)
-    assert rows(found, "application_id", "channel") == [
-        ("1-10", "email"), ("1-11", "form"), ("2-10", "email"), ("2-12", "form"), ("2-13", "form"),
-    ]
+    told = {int(hashlib.md5(f"{a}-{b}".encode()).hexdigest()[:15], 16): (a, b) for a, b in [(1, 10), (1, 11), (2, 10), (2, 12), (2, 13)]}
+    got = {told[row.application_id]: row.channel for row in found.collect()}
+    assert got == {(1, 10): "email", (1, 11): "form", (2, 10): "email", (2, 12): "form", (2, 13): "form"}
+    assert dict(found.dtypes)["application_id"] == "bigint"
 
 
 def test_closed_roles_leave_the_queue(spark, top, channels):
@@ -58,8 +60,8 @@ def test_queue_when_nothing_was_sent(spark, top, channels):
 
 def test_payloads(spark):
     queue = spark.createDataFrame(
-        [("1-10", 1, 10, "email"), ("1-11", 1, 11, "form"), ("1-12", 1, 12, "form")],
-        "application_id string, profile_id bigint, role_id bigint, channel string",
+        [(110, 1, 10, "email"), (111, 1, 11, "form"), (112, 1, 12, "form")],
+        "application_id bigint, profile_id bigint, role_id bigint, channel string",
     )
     text = 'Said "yes"\nand \\ é\ttab'
     resumes = spark.createDataFrame([(10, text), (11, text)], "role_id bigint, resume string")
@@ -85,6 +87,38 @@ def test_batch_written_again_replaces_itself(spark, tmp_path):
     assert found == [(0, 1), (0, 2), (0, 3), (1, 4)]
 
 
+def test_broken_batch_leaves_the_old_one(spark, tmp_path):
+    out = str(tmp_path / "outbox")
+    write_outbox(batch(spark, 1, 2), out, 0)
+
+    def lost_halfway(folder):
+        batch(spark, 7, 8).write.parquet(folder)
+        raise RuntimeError("lost after writing, before the commit")
+
+    with pytest.raises(RuntimeError):
+        write_batch(out, 0, spark, lost_halfway)
+    assert rows(read_outbox(spark, out, STORED), "batch", "role_id") == [(0, 1), (0, 2)]
+    # A reader that looked before the batch was replaced still finds what it saw.
+    before = read_outbox(spark, out, STORED)
+    write_outbox(batch(spark, 9), out, 0)
+    assert rows(before, "role_id") == [(1,), (2,)]
+    assert rows(read_outbox(spark, out, STORED), "batch", "role_id") == [(0, 9)]
+    assert len(replaced(spark, out)) == 1 and "batch=0/write=" in replaced(spark, out)[0]
+
+
+def test_no_batches_are_an_empty_table(spark, tmp_path):
+    found = read_outbox(spark, str(tmp_path / "none"), STORED)
+    assert found.count() == 0 and "batch" in found.columns
+
+
+def test_outbox_meets_the_log(spark, tmp_path):
+    outbox = spark.createDataFrame([(5, 1, 10), (5, 1, 10), (6, 1, 11)], "application_id bigint, profile_id bigint, role_id bigint")
+    log = str(tmp_path / "log")
+    append_log(sent_events(outbox, "2024-02-01 00:00:00"), log)
+    status = current_status(read_log(spark, log))
+    assert rows(status, "application_id", "status", "n_events") == [(5, "sent", 1), (6, "sent", 1)]
+
+
 def test_stream_that_fails_in_the_sink_goes_on_without_loss_or_copies(spark, tmp_path):
     inbox, out = tmp_path / "inbox", str(tmp_path / "outbox")
     for first in (0, 10, 20):

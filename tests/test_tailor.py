@@ -5,7 +5,15 @@ import pytest
 import regex
 from helpers import plan_of, rows
 
-from jobtrail.operators import assemble_resume, coverage_gap, rank_fragments
+from jobtrail.operators import (
+    assemble_resume,
+    cover_fragments,
+    coverage_gap,
+    fragment_words,
+    matched_words,
+    rank_fragments,
+    rank_matched,
+)
 
 ROLES = "role_id bigint, text string"
 FRAGMENTS = "fragment_id bigint, text string"
@@ -46,13 +54,42 @@ def test_fragments_by_hand(spark, texts):
     assert got == {role: best for role, best in want.items() if best}
 
 
-def test_fragments_are_counted_before_the_shuffle(spark, texts):
+def test_one_row_per_role_is_shuffled(spark, texts):
     roles, fragments = texts
-    found = rank_fragments(
-        spark.createDataFrame(roles, ROLES), spark.createDataFrame(fragments, FRAGMENTS), 3
-    )
-    before = plan_of(found).split("Exchange hashpartitioning(role_id")[-1]
-    assert "partial_count" in before.splitlines()[1]
+    lines = fragment_words(spark.createDataFrame(fragments, FRAGMENTS))
+    plan = plan_of(rank_matched(matched_words(spark.createDataFrame(roles, ROLES), lines), lines, 3))
+    # Folded to a row per role before the only exchange by role; none by role and fragment, or role and word.
+    assert plan.count("Exchange hashpartitioning(role_id") == 1
+    assert "partial_collect_set" in plan.split("Exchange hashpartitioning(role_id")[1].splitlines()[1]
+
+
+def greedy_by_hand(text, fragments, k):
+    left, found = words(text), []
+    while len(found) < k:
+        gained, fragment = max(((len(left & words(line)), -fragment) for fragment, line in fragments), default=(0, 0))
+        if not gained:
+            break
+        found.append((-fragment, gained))
+        left -= words(dict(fragments)[-fragment])
+    return found
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_covering_fragments_by_hand(spark, texts, k):
+    roles, fragments = texts
+    found = cover_fragments(spark.createDataFrame(roles, ROLES), spark.createDataFrame(fragments, FRAGMENTS), k)
+    got = {}
+    for row in found.orderBy("role_id", "rank").collect():
+        got.setdefault(row.role_id, []).append((row.fragment_id, row.gained))
+    want = {role: greedy_by_hand(text, fragments, k) for role, text in roles}
+    assert got == {role: best for role, best in want.items() if best}
+
+
+def test_covering_fragments_complement_one_another(spark):
+    roles = spark.createDataFrame([(1, "a b c d e f")], ROLES)
+    fragments = spark.createDataFrame([(1, "a b c d"), (2, "a b c"), (3, "e"), (4, "x y"), (5, None)], FRAGMENTS)
+    assert rows(rank_fragments(roles, fragments, 2), "rank", "fragment_id") == [(1, 1), (2, 2)]
+    assert rows(cover_fragments(roles, fragments, 5), "rank", "fragment_id", "gained") == [(1, 1, 4), (2, 3, 1)]
 
 
 def test_gap_and_resumes_by_hand(spark, texts):
