@@ -272,43 +272,111 @@ def test_encode_documents(table, docs, pieces):
 # --- 5 ---
 
 
-def test_kneser_ney_sums_to_one(table):
-    counts = perplexity.window_counts(table, "text", perplexity.alphabet())
-    bits = perplexity.window_bits(perplexity.model(counts))
-    chance = np.exp2(-bits.astype(float)).reshape(-1, perplexity.SIGNS).sum(axis=1)
-    assert np.allclose(chance, 1, atol=0.01)
+def whole_model(counts):
+    """The model in one shard, each half scored by its own."""
+    return perplexity.shard(*perplexity.model(counts), 0, 1, {0: 0, 1: 1})
+
+
+def test_kneser_ney_sums_to_one(table, docs):
+    counts = perplexity.window_counts(table, "text").collect()
+    found = whole_model(table.sparkSession.createDataFrame(counts))
+    contexts = sorted({(row.half << perplexity.HALF | row.code) >> perplexity.BITS for row in counts})
+    for context in random.Random(2).sample(contexts, 20):
+        chance = np.exp2(-found.bits((context << perplexity.BITS) + np.arange(perplexity.SIGNS)))
+        assert chance.sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_kneser_ney_equals_a_slow_version(table, docs):
-    classes = perplexity.alphabet()
-    windows, _ = perplexity.signs([text for _, text, *_ in docs], classes)
-    counted = Counter(windows.tolist())
-    got = perplexity.window_counts(table, "text", classes)
-    assert {(row.code, row.n) for row in got.collect()} == set(counted.items())
-    bits = perplexity.window_bits(perplexity.model(got))
-    orders = [{(code >> 18, code >> 12 & 63, code >> 6 & 63, code & 63): n for code, n in counted.items()}]
-    for _ in range(3):
-        orders.append(Counter(window[1:] for window in orders[-1]))
-
-    def chance(window):
+    order, width = perplexity.ORDER, perplexity.BITS
+    got = perplexity.window_counts(table, "text").collect()
+    halves = {row.doc_id: row.half for row in table.select("doc_id", perplexity._half(F.col("text")).alias("half")).collect()}
+    counted = Counter()
+    for key, text, *_ in docs:
+        # Windows by hand: five signs up to each one.
+        line = perplexity.folded(text)
+        points = [0] * (order - 1) + [c if c < 768 else 768 + c % 256 for c in map(ord, line)]
+        counted.update((halves[key], tuple(points[i : i + order])) for i in range(len(line)))
+
+    def code(window):
+        return sum(sign << width * (len(window) - 1 - i) for i, sign in enumerate(window))
+
+    assert {(row.half, row.code, row.n) for row in got} == {(half, code(w), n) for (half, w), n in counted.items()}
+    found = whole_model(table.sparkSession.createDataFrame(got))
+    orders = {half: [{w: n for (h, w), n in counted.items() if h == half}] for half in (0, 1)}
+    for half in orders:
+        for _ in range(order - 1):
+            orders[half].append(Counter(window[1:] for window in orders[half][-1]))
+
+    def chance(half, window):
         if not window:
-            return 1 / 64
-        counts = orders[4 - len(window)]
+            return 1 / perplexity.SIGNS
+        counts = orders[half][order - len(window)]
         n1, n2, n3, n4 = (sum(n == k for n in counts.values()) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 and n3 else 0
         take = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3) if y else (0.5,) * 3
         take = [min(max(d, 0), k) for k, d in enumerate(take, 1)]
         same = {w: n for w, n in counts.items() if w[:-1] == window[:-1]}
         if not same:
-            return chance(window[1:])
+            return chance(half, window[1:])
         total, off = sum(same.values()), sum(take[min(n, 3) - 1] for n in same.values())
         n = same.get(window, 0)
-        return (n - (take[min(n, 3) - 1] if n else 0)) / total + off / total * chance(window[1:])
+        if not n:
+            return max(off / total, perplexity.LEAST) * chance(half, window[1:])
+        return (n - take[min(n, 3) - 1]) / total + off / total * chance(half, window[1:])
 
     rng = random.Random(1)
-    for code in rng.sample(sorted(counted), 25) + [rng.randrange(1 << 24) for _ in range(15)]:
-        window = (code >> 18, code >> 12 & 63, code >> 6 & 63, code & 63)
-        assert bits[code] == pytest.approx(-np.log2(max(chance(window), 1e-12)), rel=2e-3)
+    seen = rng.sample(sorted(counted), 25)
+    seen += [(half, (*window[:-1], rng.randrange(97, 122))) for half, window in seen[:10]]
+    seen += [(rng.randrange(2), tuple(rng.randrange(97, 122) for _ in range(order))) for _ in range(15)]
+    bits = found.bits(np.array([half << perplexity.HALF | code(window) for half, window in seen]))
+    assert bits == pytest.approx([-np.log2(chance(*window)) for window in seen], rel=2e-3)
+
+
+def test_repeated_words_are_one_sign():
+    assert perplexity.folded("a b  a\nc d e f a") == " a b\x01 c d e f a"
+    assert perplexity.folded(None) == perplexity.folded(" \t") == ""
+
+
+def test_shards_add_up(table, docs, monkeypatch):
+    labels = table.sparkSession.createDataFrame([(n, 1, 0) for n in range(0, len(docs), 2)], "doc_id long, quality int, toxic int")
+    one = {row.doc_id: row.quality for row in perplexity.judged(table, labels).select("doc_id", "quality").collect()}
+    monkeypatch.setattr(perplexity, "SHARD", 4000)
+    good = perplexity.trusted_texts(table, labels, "doc_id", "text", "lang")
+    assert len(perplexity.fitted(good)) > 2
+    many = perplexity.judged(clashing(table), labels)
+    assert many.columns == [*clashing(table).columns, "quality_"]
+    rows = many.select("doc_id", "quality_").collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        assert list(row.quality_) == pytest.approx(list(one[row.doc_id]), rel=1e-6)
+
+
+def test_quality_sees_more_than_letters(spark):
+    """Trusted English texts, altered: what is no prose any more goes, and what was not altered stays."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    good = docs.where("lang = 'en'").join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id")
+    rng = random.Random(3)
+    changes = {
+        "digits": lambda text: "".join(c if c.isspace() else rng.choice("0123456789") for c in text),
+        "shuffled": lambda text: " ".join(rng.sample(text.split(), len(text.split()))),
+        "alternating": lambda text: " ".join((text.split() * 2)[i % 2] for i in range(len(text.split()))),
+        "capitals": lambda text: "".join(c if c.isspace() else rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in text),
+        "same": lambda text: text,
+    }
+    rows, kind = [], {}
+    for row in good.orderBy("doc_id").collect():
+        for name, change in changes.items():
+            key = 1_000_000 + len(rows)
+            kind[key] = name
+            rows.append((key, change(row.text), "en", "s"))
+    more = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, DOCS))
+    found = perplexity.accepted(more, labels)
+    kept = Counter(kind[row.doc_id] for row in found.select("doc_id").collect() if row.doc_id in kind)
+    n = len(rows) / len(changes)
+    assert n > 200
+    assert kept["same"] >= 0.98 * n
+    assert all(kept[name] <= 0.05 * n for name in changes if name != "same"), kept
 
 
 def test_quality_keeps_clean_and_drops_junk(spark):
