@@ -70,8 +70,8 @@ QUANTILE = 0.99
 MARGIN, PRIOR = 0.3, 100
 EDGE_MARGIN, EDGE_PRIOR = 0.1, 40
 #: Characters that a task folds at a time, and windows that it holds before it hands counts on.
-CHARS = 1 << 20
-HELD = 1 << 22
+CHARS = 1 << 18
+HELD = 1 << 20
 
 
 def folded(text: str | None) -> str:
