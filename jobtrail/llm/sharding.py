@@ -1,18 +1,24 @@
 """Shards of even size that keep linked documents together (operator 3).
 
-Balanced label propagation. Documents start in the shard of their id's hash. In every round each
-group of linked documents adds up its bytes by shard and prefers the shard that holds most of it, with
-a bonus for room; its other documents ask to move there. Requests meet quotas: from
-the bytes that want to go from each shard to each other one, the share that every shard accepts is
-worked out so that none grows above the capacity. Documents without links then even out the
-loads at no cost in cut links; linked ones move only where those don't suffice.
+Balanced label propagation. Documents start in the shard of their id's hash. Every group of linked
+documents adds up its bytes by shard, and the rounds then work on one row per group. In a round each group
+without a place asks for the shard that holds most of it and has room for all of it. Requests meet quotas:
+a shard takes the largest first, up to its room, which is what an even share leaves beside the groups
+it took before; the others see the new rooms in the next round and ask again. Documents that still lie where their hash
+put them take no room, as they will move too.
+
+Groups larger than a share are laid first, groups that fit nowhere are laid last: one after the other along the
+shards' rooms, so that each is cut in as few pieces as it needs. No shard thus gets more than its share of
+linked documents, and documents without links even out the loads at no cost in cut links. Where they don't suffice,
+documents of groups that are cut anyway move as well, and only then those of other groups laid last.
 
 The law is ``bytes``: the sizes of the shards are near equal. Linked are documents with the same
 text; other links can be given. Everything is DataFrame joins and aggregates; what comes
-to the driver is one number per shard or per pair of shards.
+to the driver is one number per shard.
 
 A null text has no bytes and is a text of its own. Rows repeated with their id are documents of their
-own. Null ids are allowed. A group too large for one shard spreads over several. An empty table
+own, and those alike in id and text stay together. Null ids are allowed. A text of any length is one document; one larger than a share
+fills a shard alone. Other columns of the input, whatever their names, are not read. An empty table
 gives an empty table.
 """
 
@@ -27,20 +33,17 @@ from jobtrail.sources.shared import stored
 SHARDS = 24
 #: Bytes a document takes besides its text.
 FRAME = 8
-#: A shard may grow this much above the mean while documents move.
-SLACK = 0.02
-#: No more rounds than this; rounds also end when fewer than SETTLED of the bytes ask to move.
-ROUNDS = 8
-SETTLED = 0.0005
-#: What a full shard loses in a group's choice, as a share of the group.
-FULL = 0.4
+#: No more rounds than this; rounds also end when no group found a place.
+ROUNDS = 12
+#: What chance adds to a group's choice, so that groups held alike by two shards don't all ask the same one.
+CHANCE = 0.02
+#: Requests are added up by size, in classes of half an octave, and by this many steps of a class.
+REQUESTS = 128
 #: Loads are evened out in steps of this part of a shard.
 STEPS = 4096
-#: Shards count as even when they differ by this part of the mean. Documents without links are
-#: moved in all turns but the last, where linked ones may move too if shards differ by APART.
+#: Shards count as even when they differ by this part of the mean.
 EVEN = 0.002
-APART = 0.03
-EVENINGS = 5
+EVENINGS = 8
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -52,56 +55,120 @@ def _by_shard(values: list, shard: str) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.col(shard))
 
 
-def _accepted(flows: dict, loads: list, capacity: float) -> list[float]:
-    """The share of requests each shard can take, so that no load passes the capacity."""
-    shards = range(len(loads))
-    wanted = [sum(flows.get((s, t), 0) for s in shards) for t in shards]
-    share = [1.0 if n else 0.0 for n in wanted]
-    for _ in range(100):
-        leaving = [sum(flows.get((s, t), 0) * share[t] for t in shards) for s in shards]
-        new = [
-            min(share[t], max(0.0, (capacity - loads[t] + leaving[t]) / wanted[t])) if wanted[t] else 0.0
-            for t in shards
-        ]
-        if new == share:
-            break
-        share = new
-    return share
-
-
 def _chance(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
-def propagate(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """``rows`` (uid, group, size, shard) with new shards; ``group`` is null for documents without links."""
+def _up_to(*order: Column) -> Window:
+    return Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """One row for each group of two documents or more, with its bytes by shard."""
+    cells = rows.where("group IS NOT NULL").groupBy("group", "shard")
+    cells = cells.agg(F.sum("size").alias("held"), F.count("*").alias("n"))
+    # A group has one cell per shard at most.
+    held = F.map_from_entries(F.collect_list(F.struct("shard", "held")))
+    groups = cells.groupBy("group").agg(F.sum("n").alias("n"), F.sum("held").alias("bytes"), held.alias("held"))
+    return groups.where("n > 1").select(
+        "group", "bytes", "held",
+        F.floor(2 * F.log2(F.greatest("bytes", F.lit(1)))).cast("int").alias("class"),
+        F.pmod(F.xxhash64("group"), F.lit(REQUESTS)).cast("int").alias("step"),
+        F.lit(None).cast("int").alias("goal"),
+        F.lit(None).cast("double").alias("start"),
+        F.lit(None).cast("double").alias("span"),
+        F.lit(False).alias("cut"),
+    )
+
+
+def _settle(groups: DataFrame, rooms: list[float], mean: float, turn: int) -> DataFrame:
+    """``groups`` in which those without a place asked for one, and shards took what they have room for."""
+    options = []
+    for shard, room in enumerate(rooms):
+        near = F.coalesce(F.element_at("held", F.lit(shard)), F.lit(0)) / F.greatest("bytes", F.lit(1))
+        near = near + room / mean + CHANCE * _chance(F.col("group"), F.lit(shard), F.lit(turn))
+        choice = F.struct(near.alias("score"), F.lit(-shard).alias("shard"))
+        options.append(F.when(F.col("bytes") <= room, choice))
+    wish = F.when(F.expr("goal IS NULL AND start IS NULL"), -F.array_max(F.array(*options))["shard"])
+    asked = groups.withColumn("wish", wish)
+    wishes = asked.where("wish IS NOT NULL").groupBy("wish", "class", "step").agg(F.sum("bytes").alias("asked"))
+    upto = F.sum("asked").over(_up_to(F.desc("class"), "step").partitionBy("wish"))
+    taken = wishes.withColumn("upto", upto).where(F.col("upto") <= _by_shard(rooms, "wish"))
+    # Shards, classes of a size and steps bound these rows, whatever the input.
+    taken = F.broadcast(taken.select("wish", "class", "step", F.lit(True).alias("taken")))
+    settled = asked.join(taken, ["wish", "class", "step"], "left")
+    goal = F.when(F.col("taken"), F.col("wish")).otherwise(F.col("goal"))
+    return settled.withColumn("goal", goal).select(groups.columns)
+
+
+def _lay(groups: DataFrame, which: Column, ahead: float) -> DataFrame:
+    """``groups`` in which those of ``which`` without a place have one on a line that begins at ``ahead``."""
+    which = which & F.expr("goal IS NULL AND start IS NULL")
+    laid = groups.where(which).groupBy("class", "step").agg(F.sum("bytes").alias("all"), F.count("*").alias("n"))
+    upto = F.sum("all").over(_up_to(F.desc("class"), "step"))
+    # Classes of a size and steps bound these rows.
+    laid = F.broadcast(laid.withColumn("from", upto - F.col("all")))
+    joined = groups.join(laid, ["class", "step"], "left")
+    # A group alone in its step is cut where rooms end; of several, each is whole at a point of its own.
+    point = F.col("from") + F.floor(F.col("all") * _chance(F.col("group")))
+    alone = F.col("n") == 1
+    start = F.when(which, ahead + F.when(alone, F.col("from")).otherwise(point))
+    span = F.when(which, F.when(alone, F.col("all")).otherwise(0))
+    return joined.withColumns(
+        {
+            "cut": F.when(which, alone).otherwise(F.col("cut")),
+            "start": F.coalesce(start, "start").cast("double"),
+            "span": F.coalesce(span, "span").cast("double"),
+        }
+    ).select(groups.columns)
+
+
+def _ends(rooms: list[float], ahead: float) -> list[tuple[float, int]]:
+    """Where each shard's room ends on the line that begins at ``ahead``, the largest room first."""
+    ends = []
+    for shard in sorted(range(len(rooms)), key=lambda shard: (-rooms[shard], shard)):
+        ahead += rooms[shard]
+        ends.append((ahead, shard))
+    return ends
+
+
+def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """``rows`` (uid, group, size, shard) with new shards, and ``kind``: 0 without links, 1 of a group
+    cut in pieces, 2 of a whole group laid last, 3 of a group that a shard took."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    capacity = total / shards * (1 + slack)
-    linked = stored(rows.where("group IS NOT NULL"), "linked")
-    alone = rows.where("group IS NULL")
-    still = _loads(alone, shards)
+    mean = max(1.0, total / shards)
+    # Two lines: the rooms of all shards, for what is larger than one; the rooms left at the end.
+    second = 2.0 * shards * mean
+    rooms, whole = [mean] * shards, _ends([mean] * shards, 0.0)
+    groups = stored(_lay(_groups(rows), F.col("bytes") > mean, 0.0), "shard-groups")
+    sums = groups.agg(F.sum("bytes").alias("all"), F.sum("span").alias("laid")).first()
+    waiting, left = sums["all"] or 0, sums.laid or 0.0
+    waiting -= left
+    for _, shard in whole:
+        used = min(left, rooms[shard])
+        rooms[shard] -= used
+        left -= used
+    free = rooms
     for turn in range(rounds):
-        votes = linked.groupBy("group", "shard").agg(F.sum("size").alias("held"))
-        loads = [a + b for a, b in zip(still, _loads(votes.withColumn("size", F.col("held")), shards))]
-        # A full shard is worth less, or groups that hold most there would ask in vain.
-        worth = [1 - load / (capacity or 1) - FULL * (load > capacity * (1 - slack / 4)) for load in loads]
-        bonus = _by_shard(worth, "shard")
-        # A group's own bytes weigh more than any bonus, unless two shards hold about the same. Chance
-        # has such groups choose differently, so that they can change places between full shards.
-        bonus = bonus + slack * _chance(F.col("group"), F.col("shard"), F.lit(turn))
-        score = F.col("held").cast("double") / F.sum("held").over(Window.partitionBy("group")) + bonus
-        votes = votes.withColumn("score", F.struct(score, -F.col("shard")))
-        goals = votes.groupBy("group").agg(F.max_by("shard", "score").alias("goal"))
-        asked = stored(linked.join(goals, "group"), "asked")
-        moves = asked.where("shard <> goal").groupBy("shard", "goal").agg(F.sum("size").alias("size"))
-        flows = {(row.shard, row.goal): row.size for row in moves.collect()}
-        share = _accepted(flows, loads, capacity)
-        takes = _chance(F.col("uid"), F.lit(turn)) < _by_shard(share, "goal")
-        linked = asked.withColumn("shard", F.when(takes, F.col("goal")).otherwise(F.col("shard"))).drop("goal")
-        linked = stored(linked, "moved")
-        if sum(flows.values()) <= SETTLED * total:
+        if waiting <= 0:
+            break
+        groups = stored(_settle(groups, rooms, mean, turn), "shard-settled")
+        held = dict(groups.where("goal IS NOT NULL").groupBy("goal").agg(F.sum("bytes")).collect())
+        rooms = [max(0.0, room - held.get(shard, 0)) for shard, room in enumerate(free)]
+        before, waiting = waiting, (sums["all"] or 0) - (sums.laid or 0) - sum(held.values())
+        if waiting >= before:
             break
-    return alone.unionByName(linked)
+    if waiting > 0:
+        groups = stored(_lay(groups, F.lit(True), second), "shard-laid")
+    place, ends = F.lit(None).cast("int"), whole + _ends(rooms, second)
+    point = F.col("start") + F.col("span") * _chance(F.col("uid"))
+    for end, shard in reversed(ends):
+        place = F.when(point < end, F.lit(shard)).otherwise(F.coalesce(place, F.lit(shard)))
+    placed = rows.join(groups.select("group", "goal", "start", "span", "cut"), "group", "left")
+    laid = F.col("start").isNotNull()
+    kind = F.when(F.col("goal").isNotNull(), 3).when(laid & F.col("cut"), 1).when(laid, 2).otherwise(0)
+    shard = F.coalesce("goal", F.when(laid, place), "shard")
+    return placed.withColumns({"kind": kind, "shard": shard}).drop("goal", "start", "span", "cut")
 
 
 def even_out(rows: DataFrame, movable: Column, shards: int = SHARDS, turn: int = 0) -> DataFrame:
@@ -155,23 +222,25 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         F.xxhash64(quoted(key), body).alias("uid"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + FRAME).cast("long").alias("size"),
         F.crc32(F.coalesce(body, F.lit(""))).alias("text_crc32"),
-        F.xxhash64(body).alias("a"),
-        F.xxhash64(F.lit(1), body).alias("b"),
+        F.when(body.isNotNull(), F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"))).alias(
+            "group"
+        ),
     )
-    rows = stored(rows, "shard-rows")
-    groups = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    # Written first: the join can then split a group that holds many of the rows.
-    groups = stored(groups.withColumn("group", F.struct("a", "b")), "shard-groups")
     start = F.pmod(F.xxhash64(F.coalesce("id", "uid")), F.lit(shards)).cast("int")
-    rows = rows.join(groups, ["a", "b"], "left").drop("a", "b").withColumn("shard", start)
-    rows = stored(propagate(stored(rows, "shard-links"), shards), "shard-propagated")
-    for turn in range(EVENINGS):
+    rows = stored(rows.withColumn("shard", start), "shard-rows")
+    rows = stored(propagate(rows, shards).drop("group"), "shard-propagated")
+    best, movable = None, 0
+    for turn in range(EVENINGS + 1):
         loads = _loads(rows, shards)
-        apart = (max(loads) - min(loads)) * shards
-        last = turn == EVENINGS - 1
-        if apart <= (APART if last else EVEN) * sum(loads):
+        apart = max(loads) - min(loads)
+        if best and apart >= best[0]:
+            # These moves gave nothing, so more documents may move.
+            rows, movable = best[1], movable + 1
+            apart = best[0]
+        best = apart, rows
+        if apart * shards <= EVEN * sum(loads) or movable > 2 or turn == EVENINGS:
             break
-        rows = stored(even_out(rows, F.lit(True) if last else F.col("group").isNull(), shards, turn), "shard-even")
+        rows = stored(even_out(rows, F.col("kind") <= movable, shards, turn), "shard-even")
     return slots(rows).select(
         F.col("id").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
