@@ -44,6 +44,8 @@ STEPS = 4096
 #: Shards count as even when they differ by this part of the mean.
 EVEN = 0.002
 EVENINGS = 8
+#: More documents may move when a turn leaves more than this part of the difference.
+GAIN = 0.8
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -83,13 +85,15 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def _settle(groups: DataFrame, rooms: list[float], mean: float, turn: int) -> DataFrame:
     """``groups`` in which those without a place asked for one, and shards took what they have room for."""
-    options = []
-    for shard, room in enumerate(rooms):
-        near = F.coalesce(F.element_at("held", F.lit(shard)), F.lit(0)) / F.greatest("bytes", F.lit(1))
-        near = near + room / mean + CHANCE * _chance(F.col("group"), F.lit(shard), F.lit(turn))
-        choice = F.struct(near.alias("score"), F.lit(-shard).alias("shard"))
-        options.append(F.when(F.col("bytes") <= room, choice))
-    wish = F.when(F.expr("goal IS NULL AND start IS NULL"), -F.array_max(F.array(*options))["shard"])
+    room = F.array(*map(F.lit, rooms))
+
+    def choice(shard: Column) -> Column:
+        near = F.coalesce(F.element_at("held", shard), F.lit(0)) / F.greatest("bytes", F.lit(1))
+        near = near + F.get(room, shard) / mean + CHANCE * _chance(F.col("group"), shard, F.lit(turn))
+        return F.when(F.col("bytes") <= F.get(room, shard), F.struct(near.alias("score"), (-shard).alias("shard")))
+
+    choices = F.transform(F.sequence(F.lit(0), F.lit(len(rooms) - 1)), choice)
+    wish = F.when(F.expr("goal IS NULL AND start IS NULL"), -F.array_max(choices)["shard"])
     asked = groups.withColumn("wish", wish)
     wishes = asked.where("wish IS NOT NULL").groupBy("wish", "class", "step").agg(F.sum("bytes").alias("asked"))
     upto = F.sum("asked").over(_up_to(F.desc("class"), "step").partitionBy("wish"))
@@ -160,10 +164,11 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
             break
     if waiting > 0:
         groups = stored(_lay(groups, F.lit(True), second), "shard-laid")
-    place, ends = F.lit(None).cast("int"), whole + _ends(rooms, second)
+    ends = [F.struct(F.lit(end).alias("end"), F.lit(shard).alias("shard")) for end, shard in whole + _ends(rooms, second)]
     point = F.col("start") + F.col("span") * _chance(F.col("uid"))
-    for end, shard in reversed(ends):
-        place = F.when(point < end, F.lit(shard)).otherwise(F.coalesce(place, F.lit(shard)))
+    inside = F.filter(F.array(*ends), lambda room: point < room["end"])
+    # Rounding may put a point at the very end.
+    place = F.coalesce(F.get(inside, F.lit(0)), ends[-1])["shard"]
     placed = rows.join(groups.select("group", "goal", "start", "span", "cut"), "group", "left")
     laid = F.col("start").isNotNull()
     kind = F.when(F.col("goal").isNotNull(), 3).when(laid & F.col("cut"), 1).when(laid, 2).otherwise(0)
@@ -233,10 +238,11 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     for turn in range(EVENINGS + 1):
         loads = _loads(rows, shards)
         apart = max(loads) - min(loads)
-        if best and apart >= best[0]:
-            # These moves gave nothing, so more documents may move.
-            rows, movable = best[1], movable + 1
-            apart = best[0]
+        if best and apart > GAIN * best[0]:
+            # These moves gave next to nothing, so more documents may move.
+            movable += 1
+        if best and apart > best[0]:
+            apart, rows = best
         best = apart, rows
         if apart * shards <= EVEN * sum(loads) or movable > 2 or turn == EVENINGS:
             break

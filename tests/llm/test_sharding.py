@@ -28,7 +28,7 @@ def sharded(spark, rows, shards=24):
 
 def copies(groups, size, seed=5):
     rng = random.Random(seed)
-    texts = [f"{group} " + "x" * rng.randint(60, 300) for group in range(groups) for _ in range(size)]
+    texts = [f"{group} " + "x" * rng.randint(60, 300) for group in range(groups)] * size
     rng.shuffle(texts)
     return list(enumerate(texts))
 
