@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by int8 tile products (operator 2).
 
-Vectors of a label are dealt into blocks, and every two blocks of a label meet in one tile.
-In a tile both blocks are scaled to length one and quantised to int8, each vector with its own
+Vectors of a label are dealt into blocks, blocks into sides, and every two blocks of a label meet in one tile,
+in the square of their sides. In a tile both blocks are scaled to length one and quantised to int8, each vector with its own
 step, and one matrix product gives all dot products of the quantised vectors exactly: they are sums
 of integers that floats hold. With u = q + e for a unit vector u, its quantised form q and
 the error e,
@@ -18,7 +18,7 @@ it hangs together with. A dense cluster thus gives rows in proportion to its vec
 Vectors with a null label, a null or non-finite component, no component or length zero link with nothing, and vectors of
 different lengths don't link. Rows repeated with their id are vectors of their own; ``kept`` compares ids, so all rows
 with the id of the component are kept. A null id is allowed and never a component's id unless
-there is no other. An empty table gives an empty table.
+there is no other. Other columns, whatever their names, are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ from jobtrail.sources.shared import stored
 THRESHOLD = 0.98
 #: Components of a block: 4096 vectors of 64, or fewer longer ones.
 BLOCK = 1 << 18
+#: Blocks of one side of a square, at most: 16 blocks, 32 MB, in a task. Labels of few blocks have shorter
+#: sides, so that they are still the work of many tasks.
+SIDE = 8
 #: Rows of one block that are multiplied at a time.
 STRIP = 512
 #: Sums of this many products of two int8 are whole numbers that float32 holds.
@@ -129,17 +132,20 @@ def _pack(rows: pa.Table) -> pa.Table:
     )
 
 
-def _tile(threshold: float):
-    def links(rows: pa.Table) -> pa.Table:
-        blocks = rows.to_pydict()
-        parts = sorted(range(rows.num_rows), key=lambda at: blocks["block"][at])
-        dim = blocks["dim"][0]
-        uid = [np.frombuffer(blocks["uids"][at], "<i8") for at in parts]
-        number = [np.frombuffer(blocks["numbers"][at], "<i8") for at in parts]
-        vector = [np.frombuffer(blocks["vectors"][at], "<f8").reshape(-1, dim) for at in parts]
+def _square(threshold: float):
+    """The links of each tile of a square: of each two blocks of its two sides, or of its one side."""
+    schema = pa.schema([("uid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def column(rows: pa.Table, name: str, at: int, kind: str) -> np.ndarray:
+        return np.frombuffer(rows[name][at].as_buffer(), kind)
+
+    def tile(rows: pa.Table, parts: list[int]) -> pa.Table:
+        dim = rows["dim"][0].as_py()
+        uid = [column(rows, "uids", at, "<i8") for at in parts]
+        vector = [column(rows, "vectors", at, "<f8").reshape(-1, dim) for at in parts]
         second = vector[1] if len(parts) > 1 else None
         shift = len(uid[0]) if second is not None else 0
-        uids, numbers = np.concatenate(uid), np.concatenate(number)
+        uids, numbers = np.concatenate(uid), np.concatenate([column(rows, "numbers", at, "<i8") for at in parts])
         count, pairs = np.zeros(len(uids), np.int64), []
         for i, j in linked_pairs(vector[0], second, threshold):
             j = j + shift
@@ -148,10 +154,20 @@ def _tile(threshold: float):
             pairs.append((i, j))
         root = _smallest(len(uids), pairs)
         linked = np.nonzero(count)[0]
-        return pa.table(
-            {"uid": uids[linked], "links": count[linked], "root": uids[root[linked]]},
-            schema=pa.schema([("uid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]),
-        )
+        return pa.table({"uid": uids[linked], "links": count[linked], "root": uids[root[linked]]}, schema=schema)
+
+    def links(rows: pa.Table) -> pa.Table:
+        place = {block: at for at, block in enumerate(rows["block"].to_pylist())}
+        side = dict(zip(rows["block"].to_pylist(), rows["side"].to_pylist()))
+        one_side = rows["i"][0].as_py() == rows["j"][0].as_py()
+        found = []
+        for a in sorted(place):
+            if one_side:
+                found.append(tile(rows, [place[a]]))
+            for b in sorted(place):
+                if a < b and (one_side or side[a] != side[b]):
+                    found.append(tile(rows, [place[a], place[b]]))
+        return pa.concat_tables(found) if found else schema.empty_table()
 
     return links
 
@@ -187,12 +203,16 @@ def near_duplicates(
     packed = "label long, dim int, block long, blocks long, uids binary, numbers binary, vectors binary"
     blocks = dealt.select("label", "dim", "block", "blocks", "uid", "n", "vector")
     blocks = stored(blocks.groupBy("label", "dim", "block").applyInArrow(_pack, packed), "blocks")
-    # A block meets every block of its label once: itself, and each other one in the pair's tile.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = blocks.withColumn("other", other)
-    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    tiles = met.groupBy("label", "dim", "i", "j")
-    links = stored(tiles.applyInArrow(_tile(threshold), "uid long, links long, root long"), "links")
+    # Every two sides of a label are a square, and every two blocks of its sides a tile of it. A block thus moves
+    # once per side, not once per block.
+    met = blocks.withColumn("wide", F.least(F.lit(SIDE), F.ceil(F.col("blocks") / SIDE)))
+    met = met.withColumn("side", F.floor(F.col("block") / F.col("wide")))
+    last = F.floor((F.col("blocks") - 1) / F.col("wide"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = met.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    met = met.drop("other", "wide", "blocks")
+    squares = met.groupBy("label", "dim", "i", "j")
+    links = stored(squares.applyInArrow(_square(threshold), "uid long, links long, root long"), "links")
 
     roots = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("uid").agg(F.sum("links").alias("links"))

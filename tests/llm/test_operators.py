@@ -172,8 +172,10 @@ def vectors():
 
 def test_near_duplicates(spark, vectors, monkeypatch):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
-    for block in (1 << 18, 24 * 16):
+    # One block a label; blocks in squares of one; in squares of up to three.
+    for block, side in ((1 << 18, 8), (24 * 16, 8), (24 * 4, 3)):
         monkeypatch.setattr(tiles, "BLOCK", block)
+        monkeypatch.setattr(tiles, "SIDE", side)
         got = tiles.near_duplicates(clashing(df)).collect()
         assert len(got) == len(vectors)
         assert {tuple(row) for row in got} == linked_vectors(vectors)
