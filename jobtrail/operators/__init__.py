@@ -1,4 +1,5 @@
 from jobtrail.operators.apply import application_payload, apply_queue, sent_events
+from jobtrail.operators.nearest import cell_bounds, deal_cells, fit_centres, nearest, probe, units
 from jobtrail.operators.score import (
     blend_scores,
     keyword_score,
@@ -58,12 +59,15 @@ __all__ = [
     "assemble_resume",
     "blend_scores",
     "bucket_bounds",
+    "cell_bounds",
     "cover_fragments",
     "cover_matched",
     "coverage_gap",
     "current_status",
+    "deal_cells",
     "duration_quantiles",
     "duration_sketches",
+    "fit_centres",
     "fragment_words",
     "gap_matched",
     "keyword_score",
@@ -71,6 +75,7 @@ __all__ = [
     "marked_keys",
     "matched_words",
     "merged_sketch",
+    "nearest",
     "new_by_sketch",
     "new_roles",
     "own_content",
@@ -80,6 +85,7 @@ __all__ = [
     "page_roles",
     "posting_weights",
     "preference_filter",
+    "probe",
     "quiet_spells",
     "rank_fragments",
     "rank_matched",
@@ -96,5 +102,6 @@ __all__ = [
     "status_history",
     "status_report",
     "top_roles",
+    "units",
     "vector_score",
 ]

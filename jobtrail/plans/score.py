@@ -5,16 +5,22 @@ from pyspark.sql import functions as F
 
 from jobtrail.operators import (
     blend_scores,
+    cell_bounds,
+    deal_cells,
+    fit_centres,
     keyword_score,
     keyword_weights,
+    nearest,
     posting_weights,
     preference_filter,
+    probe,
     search_roles,
     top_roles,
+    units,
     vector_score,
 )
 from jobtrail.plans import inputs
-from jobtrail.sources import add_postings, new_folder, read_postings, stored
+from jobtrail.sources import add_postings, new_folder, read_postings, stored, stored_by
 
 K = 10
 #: Batches in which roles are indexed.
@@ -23,6 +29,25 @@ W_KEYWORDS = 0.7
 W_VECTORS = 0.3
 
 
+def _probed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(searches, index, bounds, found): the roles whose id 20 divides search all roles."""
+    directions = stored(units(inputs.role_vectors(spark, folder)), "directions")
+    centres = stored(fit_centres(directions), "centres")
+    index = stored_by(deal_cells(directions, centres), "cells", "cell")
+    bounds = stored(cell_bounds(index, centres), "bounds")
+    searches = directions.where("role_id % 20 = 0")
+    return searches, index, bounds, probe(searches, index, bounds, K)
+
+
+def nearest_probed(spark: SparkSession, folder: str) -> DataFrame:
+    return _probed(spark, folder)[-1]
+
+
+def nearest_roles(spark: SparkSession, folder: str) -> DataFrame:
+    searches, index, bounds, found = _probed(spark, folder)
+    return nearest(searches, index, bounds, stored(found, "probed"), K)
+
+
 def wanted(spark: SparkSession, folder: str) -> DataFrame:
     return _wanted(spark, folder, inputs.items(spark, folder))
 
@@ -94,6 +119,7 @@ def top_blended(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "preference_filter": wanted,
     "keyword_score": by_keywords,
+    "nearest_roles": nearest_roles,
     "vector_score": vectors_rounded,
     "blend_scores": blended,
     "top_roles": top,
@@ -164,6 +190,18 @@ _ALL = f"{ITEMS}, {_PAIRS}, {KEYWORDS}, {_VECTORS}, {_BLEND}"
 ORACLES = {
     "preference_filter": f"WITH {ITEMS}, {_PAIRS} SELECT profile_id, role_id FROM pairs",
     "keyword_score": f"WITH {ITEMS}, {_PAIRS}, {KEYWORDS} SELECT profile_id, role_id, score FROM kw",
+    "nearest_roles": f"""WITH known AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        units AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM known),
+        pairs AS (
+            SELECT a.vec_id AS search_id, b.vec_id AS role_id, round(list_dot_product(a.e, b.e), 9) AS score
+            FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 20 = 0)
+        SELECT search_id, role_id, score,
+            CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, role_id) AS INTEGER) AS rank
+        FROM pairs QUALIFY rank <= {K}""",
     "vector_score": f"""WITH {ITEMS}, {_PAIRS}, {_VECTORS}
         SELECT profile_id, role_id, round(score, 6) AS score FROM vec""",
     "blend_scores": f"WITH {_ALL} SELECT profile_id, role_id, score FROM blend",

@@ -2,7 +2,7 @@ from jobtrail.sources.commits import read_batches, replaced, write_batch
 from jobtrail.sources.log import append_log, read_log
 from jobtrail.sources.outbox import outbox_sink, read_outbox, write_outbox
 from jobtrail.sources.postings import add_postings, read_postings
-from jobtrail.sources.shared import new_folder, stored
+from jobtrail.sources.shared import new_folder, stored, stored_by
 from jobtrail.sources.tables import read_table, scan_pages, spread, stream_table
 
 __all__ = [
@@ -19,6 +19,7 @@ __all__ = [
     "scan_pages",
     "spread",
     "stored",
+    "stored_by",
     "stream_table",
     "write_batch",
     "write_outbox",

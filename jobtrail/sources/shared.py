@@ -32,3 +32,11 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     folder = new_folder(spark, purpose)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def stored_by(df: DataFrame, purpose: str, column: str) -> DataFrame:
+    """``stored`` with a folder per value of ``column``, so that a join on it reads the values it needs."""
+    spark = df.sparkSession
+    folder = new_folder(spark, purpose)
+    df.write.partitionBy(column).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
