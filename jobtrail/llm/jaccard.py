@@ -8,9 +8,11 @@ it lengthens its prefix as long as the postings it adds cost less than the candi
 saves, and a pair is verified if it shares at least the smaller l of the two.
 
 1. Texts are cut into blocks of some MB. A task hashes their shingles, sorts them and sends each bucket
-   of the hash range one packed row per block: 7 bytes per token.
+   of the hash range packed rows per block: 7 bytes per token. A token that CROWD or more documents of the block hold
+   goes once with their number; who they are stays with the block's own row, which goes by a hash of the block.
 2. A bucket counts the documents of each of its tokens. Tokens that only one document holds can link
-   nothing; the others go back to their block with their count.
+   nothing; the others go back to their block with their count. So a token sends a bucket fewer than CROWD entries
+   a block, were it in every document, and the number of buckets grows with the bytes of all texts.
 3. A block knows for each document how many tokens are its own alone. If they fill the shortest
    prefix, no other document can reach the threshold, and the document is done. The rest, few, keep the
    tokens that others have too: all that a pair can share, so enough to verify it exactly.
@@ -50,6 +52,11 @@ BLOCK = 6 << 20
 MOST_DOCS = 60_000
 #: Bytes of a token besides its bucket.
 TOKEN = 5
+#: From so many documents of a block on, a token is counted there: what it then takes is less than it saves.
+CROWD = 4
+#: Bytes of tokens that a bucket holds in the mean, for words of three letters and more, and the most bits of its number.
+BUCKET = 64 << 20
+MOST_BITS = 24
 #: The longest a prefix grows, and the cost of verifying one candidate in postings per token it has.
 LONGEST = 16
 VERIFY = 0.002
@@ -176,10 +183,27 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0]).astype(np.int64)
 
 
+def _tails(keys: np.ndarray) -> np.ndarray:
+    """The bytes of each key that its bucket does not tell."""
+    return np.ascontiguousarray(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN]
+
+
+def _by_bucket(keys: np.ndarray, values: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, values, tails) of the buckets that ascending ``keys`` fall in."""
+    cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    tails = _tails(keys)
+    for bucket in np.nonzero(np.diff(cuts))[0].tolist():
+        part = slice(cuts[bucket], cuts[bucket + 1])
+        yield bucket, values[part].tobytes(), tails[part].tobytes()
+
+
 def _cut(words: int, bits: int):
+    """Rows (bucket, block, a, b, c): of tokens with few owners in the block, owners and tails in a and b; of crowded
+    ones, tails and numbers of owners in b and c; below zero the block's own row, with all its documents and crowds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
+        edges = np.arange(1, 1 << bits, dtype=U) << U(8 * TOKEN)
         for number, piece in enumerate(_pieces(batches)):
             block = task << 32 | number
             hashes, count = word_hashes(*_flat(piece.column(1)))
@@ -189,13 +213,19 @@ def _cut(words: int, bits: int):
             about[0] = pa.compute.fill_null(ids, 0).to_numpy()
             about[1] = pa.compute.is_null(ids).to_numpy(zero_copy_only=False)
             about[2], about[3:] = n, sums.view(np.int64)
-            rows = [(-1 - number % (1 << bits), block, about.tobytes(), None, None)]
-            cuts = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
-            rest = (tokens >> U(64 - bits - 8 * TOKEN)) & U((1 << 8 * TOKEN) - 1)
-            rest = rest.view(np.uint8).reshape(-1, 8)[:, :TOKEN]
-            for bucket in np.nonzero(np.diff(cuts))[0].tolist():
-                part = slice(cuts[bucket], cuts[bucket + 1])
-                rows.append((bucket, block, owner[part].tobytes(), rest[part].tobytes(), None))
+            keys = tokens >> U(64 - bits - 8 * TOKEN)
+            starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, int)
+            members = np.diff(np.append(starts, len(keys)))
+            many = members >= CROWD
+            crowded = np.repeat(many, members)
+            crowds, sizes = keys[starts[many]], members[many].astype("<u4")
+            home = -1 - int(_mix(np.array([block], U))[0] >> U(64 - bits))
+            known = sizes.tobytes() + owner[crowded].tobytes()
+            rows = [(home, block, about.tobytes(), crowds.astype("<u8").tobytes(), known)]
+            for bucket, owners, tails in _by_bucket(keys[~crowded], owner[~crowded], edges):
+                rows.append((bucket, block, owners, tails, None))
+            for bucket, held, tails in _by_bucket(crowds, sizes, edges):
+                rows.append((bucket, block, None, tails, held))
             yield _packed(rows)
 
     return run
@@ -212,25 +242,30 @@ def _count(rows: pa.Table) -> pa.Table:
     bucket = rows["bucket"][0].as_py()
     if bucket < 0 or not rows.num_rows:
         return rows
-    blocks, owners, packed = (rows[name].to_pylist() for name in ("block", "a", "b"))
-    size = np.array([len(a) // 2 for a in owners])
+    blocks, owners, packed, crowds = (rows[name].to_pylist() for name in ("block", "a", "b", "c"))
+    size = np.array([len(tails) // TOKEN for tails in packed])
     tokens = _unpacked(b"".join(packed))
-    owner = np.frombuffer(b"".join(owners), "<u2")
+    # Of a crowd, how many hold the token stands for an owner.
+    owner = np.concatenate(
+        [np.frombuffer(c, "<u4") if a is None else np.frombuffer(a, "<u2").astype("<u4") for a, c in zip(owners, crowds)]
+    )
+    crowded = np.repeat([a is None for a in owners], size)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
+    tokens, owner, crowded = tokens[order], owner[order], crowded[order]
     of = np.repeat(np.arange(len(size)), size)[order]
     starts = np.nonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))[0]
-    held = np.diff(np.append(starts, len(tokens)))
-    held = np.repeat(np.minimum(held, 65535), held).astype("<u2")
+    held = np.add.reduceat(np.where(crowded, owner, 1).astype(np.int64), starts)
+    held = np.repeat(np.minimum(held, 65535), np.diff(np.append(starts, len(tokens)))).astype("<u2")
     shared = held > 1
     tokens, owner, of, held = tokens[shared], owner[shared], of[shared], held[shared]
     order = np.argsort(of, kind="stable")
     tokens, owner, of, held = tokens[order], owner[order], of[order], held[order]
-    rest = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :TOKEN]
+    tails, owner = _tails(tokens), owner.astype("<u2")
     found, cuts = [], np.searchsorted(of, np.arange(len(size) + 1))
     for at in np.nonzero(np.diff(cuts))[0].tolist():
         part = slice(cuts[at], cuts[at + 1])
-        found.append((bucket, blocks[at], owner[part].tobytes(), rest[part].tobytes(), held[part].tobytes()))
+        who = None if owners[at] is None else owner[part].tobytes()
+        found.append((bucket, blocks[at], who, tails[part].tobytes(), held[part].tobytes()))
     return pa.Table.from_batches([_packed(found)] if found else [], rows.schema)
 
 
@@ -245,12 +280,25 @@ def _regroup(percent: int):
         (head,) = np.nonzero(bucket < 0)[0]
         about = np.frombuffer(a[head], np.int64).reshape(5, -1)
         n = about[2]
-        parts = [at for at in np.argsort(bucket, kind="stable").tolist() if bucket[at] >= 0]
-        owner = np.frombuffer(b"".join(a[at] for at in parts), "<u2")
-        held = np.frombuffer(b"".join(c[at] for at in parts), "<u2")
-        tokens = _unpacked(b"".join(b[at] for at in parts))
-        above = np.repeat(bucket[parts], [len(a[at]) // 2 for at in parts]).astype(U) if parts else tokens
-        tokens = tokens | (above << U(8 * TOKEN))
+        order = [at for at in np.argsort(bucket, kind="stable").tolist() if bucket[at] >= 0]
+
+        def joined(parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            held = np.frombuffer(b"".join(c[at] for at in parts), "<u2")
+            tokens = _unpacked(b"".join(b[at] for at in parts))
+            above = np.repeat(bucket[parts], [len(c[at]) // 2 for at in parts]).astype(U) if parts else tokens
+            return tokens | (above << U(8 * TOKEN)), held
+
+        few = [at for at in order if a[at] is not None]
+        tokens, held = joined(few)
+        owner = np.frombuffer(b"".join(a[at] for at in few), "<u2")
+        crowds, by = joined([at for at in order if a[at] is None])
+        by = by[np.argsort(crowds)]
+        # All crowds come back; the block's own row has them in the same order.
+        crowds = np.frombuffer(b[head], "<u8")
+        sizes = np.frombuffer(c[head], "<u4", len(crowds))
+        tokens = np.concatenate([tokens, np.repeat(crowds, sizes)])
+        held = np.concatenate([held, np.repeat(by, sizes)])
+        owner = np.concatenate([owner, np.frombuffer(c[head], "<u2", offset=4 * len(crowds))])
         order = np.lexsort((tokens, held, owner))
         tokens, held, owner = tokens[order], held[order], owner[order]
         shared = np.bincount(owner, minlength=len(n))
@@ -270,12 +318,18 @@ def _regroup(percent: int):
     return run
 
 
+def bucket_bits(size: int, tasks: int) -> int:
+    """Bits of a bucket's number, for so many bytes of text and tasks."""
+    buckets = max(2 * tasks, (2 + TOKEN) * size // 4 // BUCKET + 1)
+    return min(max(5, (buckets - 1).bit_length()), MOST_BITS)
+
+
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(id, n, s, t, tokens, held): each document's number of tokens and two sums over its set; of those
     that may link, the tokens other documents hold too, rarest first, and how many hold each."""
     spark = docs.sparkSession
-    bits = max(5, (2 * partitions(spark) - 1).bit_length())
     rows = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text"))
+    bits = bucket_bits(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, partitions(spark))
     cut = rows.mapInArrow(_cut(words, bits), _PACKED)
     counted = cut.groupBy("bucket").applyInArrow(_count, _PACKED)
     schema = "id long, n long, s long, t long, tokens binary, held binary"

@@ -105,6 +105,56 @@ def test_prefixes_of_any_length_lose_no_link(table, docs, monkeypatch):
         assert {tuple(row) for row in got} == linked_documents(docs)
 
 
+def common_passage(number, common=9):
+    """Documents that share a passage, with five words more of their own, some of which others have too."""
+    rng = random.Random(7)
+    shared = " ".join(prose(rng, common))
+    rows = []
+    for key in range(number):
+        own = " ".join(f"w{rng.randrange(3)}" for _ in range(rng.choice((1, 2, 12))))
+        rows.append((key, f"{shared} {own}", "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [2, 4, 10_000])
+def test_crowds_of_blocks_lose_no_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "BLOCK", 2_000)
+    monkeypatch.setattr(jaccard, "BUCKET", 1_000)
+    rows = common_passage(200)
+    got = jaccard.similar_documents(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert {tuple(row) for row in got} == linked_documents(rows)
+
+
+def test_a_shingle_of_all_documents_is_sent_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2_000)
+    table = spark.createDataFrame(common_passage(600), DOCS).select("doc_id", "text").repartition(3)
+    sent = table.mapInArrow(jaccard._cut(5, 5), jaccard._PACKED).collect()
+    blocks = {row.block for row in sent}
+    assert len(blocks) > 12
+    entries = {}
+    for row in sent:
+        tails = row.b if row.bucket >= 0 else b""
+        for at in range(0, len(tails), jaccard.TOKEN):
+            key = row.bucket, bytes(tails[at : at + jaccard.TOKEN])
+            entries.setdefault(key, []).append(row.block)
+    # The five shingles of the passage are in every document, once a block but where a block has fewer than a crowd.
+    small = sum(len(row.a) // 40 < jaccard.CROWD for row in sent if row.bucket < 0)
+    everywhere = [found for found in entries.values() if set(found) == blocks]
+    assert small <= 3
+    assert sum(len(found) <= len(blocks) + small * (jaccard.CROWD - 2) for found in everywhere) >= 5
+    assert all(found.count(block) < jaccard.CROWD for found in entries.values() for block in set(found))
+    # The blocks' own rows are dealt like the others.
+    assert len({row.bucket for row in sent if row.bucket < 0}) > len(blocks) / 3
+
+
+def test_more_text_gives_more_buckets():
+    assert jaccard.bucket_bits(0, 4) == 5
+    assert jaccard.bucket_bits(0, 1000) == 11
+    assert 2 ** jaccard.bucket_bits(30 << 30, 4) * jaccard.BUCKET >= 30 * 7 / 4 * 2**30
+    assert jaccard.bucket_bits(1 << 60, 4) == jaccard.MOST_BITS
+
+
 def test_long_words_are_hashed_whole():
     texts = ["a" * 1000, "a" * 1001, "a" * 999 + "b", "b" + "a" * 999, "aA aa", "ab\x0b ab", "\x1c"]
     data = [text.encode() for text in texts]
