@@ -13,8 +13,10 @@ from jobtrail.operators.seen import marked_keys, merged_sketch, new_by_sketch, s
 from jobtrail.operators.sketches import (
     application_report,
     application_sketches,
+    daily_applications,
     duration_quantiles,
     duration_sketches,
+    exact_report,
 )
 from jobtrail.operators.tailor import (
     assemble_resume,
@@ -64,9 +66,11 @@ __all__ = [
     "cover_matched",
     "coverage_gap",
     "current_status",
+    "daily_applications",
     "deal_cells",
     "duration_quantiles",
     "duration_sketches",
+    "exact_report",
     "fit_centres",
     "fragment_words",
     "gap_matched",
