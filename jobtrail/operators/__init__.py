@@ -14,8 +14,10 @@ from jobtrail.operators.sketches import (
     application_report,
     application_sketches,
     daily_applications,
+    daily_durations,
     duration_quantiles,
     duration_sketches,
+    exact_quantiles,
     exact_report,
 )
 from jobtrail.operators.tailor import (
@@ -67,9 +69,11 @@ __all__ = [
     "coverage_gap",
     "current_status",
     "daily_applications",
+    "daily_durations",
     "deal_cells",
     "duration_quantiles",
     "duration_sketches",
+    "exact_quantiles",
     "exact_report",
     "fit_centres",
     "fragment_words",

@@ -1,18 +1,23 @@
 """Reports from what is stored of each day: days that are over are not read again.
 
 Distinct applications don't add up, since one may come on two days, and quantiles don't either. Sketches of them do, with
-an error. The exact report of applications stores those of each day.
+an error. The exact reports store the applications of each day, and how long the statuses that began on it lasted.
 """
 
 from collections.abc import Mapping
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtrail.sources.shared import stored
+
 #: Logarithm of the buckets of a HyperLogLog sketch: a relative standard error of 1.6 %. Small counts are exact.
 BUCKETS = 12
 #: Size of a KLL sketch: up to so many durations it is exact, beyond that ranks are off by 0.1 % or so.
 KEPT = 4096
+#: Exact quantiles are found digit by digit: the bits below each digit. No digit has more than 2**22 values.
+DIGITS = (42, 21, 0)
 
 
 def application_sketches(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -78,3 +83,53 @@ def exact_report(daily: DataFrame) -> DataFrame:
         )
         .select("level", "status", "day", "n", "applications")
     )
+
+
+def daily_durations(history: DataFrame) -> DataFrame:
+    """(status, day, lasted_us) of ``status_history``: each status that ended, with the day it began on."""
+    return history.where("lasted_us IS NOT NULL").select("status", F.to_date("ts").alias("day"), "lasted_us")
+
+
+def exact_quantiles(daily: DataFrame, quantiles: Mapping[str, float]) -> DataFrame:
+    """(status, n, one column for each of ``quantiles``): the smallest duration that at least that share does not exceed.
+
+    ``daily`` is stored and read once per digit of a duration. Each time the durations that begin with the digits found
+    so far are counted by their next one, and running counts tell which it is. No task holds the durations of a status.
+    """
+    sizes = stored(daily.groupBy("status").agg(F.count("*").alias("n")), "duration-counts")
+    ranks = [
+        F.struct(
+            F.lit(name).alias("name"),
+            F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(18,0)") * F.lit(Decimal(str(share))))).cast("bigint").alias("rank"),
+        )
+        for name, share in quantiles.items()
+    ]
+    if not ranks:
+        return sizes
+    # Nothing is known of a duration at first: all have the same start.
+    sought = sizes.select("status", F.inline(F.array(*ranks)), F.lit(0).cast("bigint").alias("start"))
+    before = None
+    for below in DIGITS:
+        start = F.lit(0).cast("bigint") if before is None else F.shiftright("lasted_us", before)
+        found = daily.select("status", start.alias("start"), F.shiftright("lasted_us", below).alias("next"))
+        if before is not None:
+            found = _begun(found, sought)
+        found = found.groupBy("status", "start", "next").agg(F.count("*").alias("here"))
+        up_to = F.sum("here").over(Window.partitionBy("status", "start").orderBy("next"))
+        found = found.withColumn("up_to", up_to).withColumnsRenamed({"status": "_status", "start": "_start"})
+        met = F.col("status").eqNullSafe(F.col("_status")) & (F.col("start") == F.col("_start"))
+        inside = (F.col("rank") <= F.col("up_to")) & (F.col("rank") > F.col("up_to") - F.col("here"))
+        left = F.col("rank") - (F.col("up_to") - F.col("here"))
+        sought = sought.join(found, met & inside).select("status", "name", left.alias("rank"), F.col("next").alias("start"))
+        sought = stored(sought, "duration-digits")
+        before = below
+    columns = [F.max(F.when(F.col("name") == name, F.col("start"))).alias(name) for name in quantiles]
+    found = sought.groupBy("status").agg(*columns).withColumnRenamed("status", "_status")
+    return sizes.join(found, F.col("status").eqNullSafe(F.col("_status"))).select("status", "n", *quantiles)
+
+
+def _begun(found: DataFrame, sought: DataFrame) -> DataFrame:
+    """Rows of ``found`` of a status and start that are ``sought``; a null status is one like others."""
+    starts = sought.select(F.col("status").alias("_status"), F.col("start").alias("_start")).distinct()
+    met = F.col("status").eqNullSafe(F.col("_status")) & (F.col("start") == F.col("_start"))
+    return found.join(starts, met, "left_semi")

@@ -8,6 +8,7 @@ import pytest
 from helpers import T0
 
 from jobtrail import plans
+from jobtrail.operators import exact_quantiles
 from jobtrail.sources.tables import SCHEMAS
 
 
@@ -25,7 +26,7 @@ def large_log(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["application_report"])
+@pytest.mark.parametrize("name", ["application_report", "duration_quantiles"])
 def test_report_equals_sql_beyond_sketches(spark, large_log, name):
     got = plans.QUERIES[name](spark, large_log)
     db = duckdb.connect()
@@ -33,3 +34,14 @@ def test_report_equals_sql_beyond_sketches(spark, large_log, name):
     want = db.execute(plans.ORACLES[name]).fetchall()
     columns = [column[0] for column in db.description]
     assert sorted(map(str, want)) == sorted(str(tuple(row)) for row in got.select(columns).collect())
+
+
+def test_quantiles_of_far_apart_and_equal_durations(spark):
+    found = [0] * 7 + [1, 2**21 - 1, 2**21, 2**42, 2**42 + 1, 2**62, -(2**50), -1]
+    daily = spark.createDataFrame([("a", us) for us in found] + [(None, 5)], "status string, lasted_us bigint")
+    quantiles = {f"q{i}": i / 20 for i in range(21)}
+    got = {row.status: row for row in exact_quantiles(daily, quantiles).collect()}
+    us = sorted(found)
+    assert [got["a"][name] for name in quantiles] == [us[max(1, -(-i * len(us) // 20)) - 1] for i in range(21)]
+    assert got["a"].n == len(us) and set(got[None][name] for name in quantiles) == {5}
+    assert exact_quantiles(daily.limit(0), quantiles).collect() == []
