@@ -22,6 +22,7 @@ from jobtrail.operators.sketches import (
 )
 from jobtrail.operators.tailor import (
     assemble_resume,
+    by_role,
     cover_fragments,
     cover_matched,
     coverage_gap,
@@ -63,6 +64,7 @@ __all__ = [
     "assemble_resume",
     "blend_scores",
     "bucket_bounds",
+    "by_role",
     "cell_bounds",
     "cover_fragments",
     "cover_matched",

@@ -3,6 +3,7 @@
 All choices start from ``matched_words``: one row per role with the numbers of those of its words
 that a fragment has. It reads each text once and shuffles one row per role. What follows is counted
 by role, where that row already lies, so rows per role and fragment, or per role and word, are never shuffled.
+Matches that were stored are dealt by role once more (``by_role``), to tasks of a fixed size.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 from jobtrail.functions import distinct_words
 from jobtrail.sources.shared import stored
+from jobtrail.sources.tables import dealt
+
+#: Bytes of stored matches that one task counts: some thousands of roles, each with a row per fragment.
+EACH = 1 << 18
 
 
 def fragment_words(fragments: DataFrame) -> DataFrame:
@@ -25,12 +30,21 @@ def matched_words(roles: DataFrame, lines: DataFrame) -> DataFrame:
     (``fragment_words``). Repeated roles with one id are one role, which says the words of all."""
     needs = roles.select("role_id", distinct_words(F.col("text")).alias("words"))
     needs = needs.withColumn("needed", F.coalesce(F.array_size("words"), F.lit(0)).cast("bigint"))
-    said = needs.select("role_id", "needed", F.explode_outer("words").alias("word"))
-    said = said.join(lines.select("word", "number").distinct(), "word", "left")
+    # Words that no fragment has are left out at once; the empty one, which is no word, keeps each role.
+    words = F.array_append(F.coalesce("words", F.array().cast("array<string>")), "")
+    numbers = lines.select("word", "number").distinct()
+    none = lines.sparkSession.sql("SELECT '' AS word, CAST(NULL AS BIGINT) AS number")
+    said = needs.select("role_id", "needed", F.explode(words).alias("word")).join(numbers.unionByName(none), "word")
     # All words of a role are in one task, which folds them before the shuffle.
     return said.groupBy("role_id").agg(F.max("needed").alias("needed"), F.collect_set("number").alias("said"))
 
 
+def by_role(matched: DataFrame) -> DataFrame:
+    """Stored ``matched_words`` dealt by role. The rows per role and fragment that a task counts don't
+    become more the more roles there are, and none of them is shuffled."""
+    return dealt(matched, "role_id", EACH)
+
+
 def _shared(matched: DataFrame, lines: DataFrame) -> DataFrame:
     """(role_id, number, fragment_id) for each word that a role and a fragment share."""
     return matched.select("role_id", F.explode("said").alias("number")).join(
@@ -52,7 +66,7 @@ def rank_matched(matched: DataFrame, lines: DataFrame, k: int) -> DataFrame:
 def rank_fragments(roles: DataFrame, fragments: DataFrame, k: int) -> DataFrame:
     """Best ``k`` fragments per role by distinct shared words, ties by fragment id."""
     lines = fragment_words(fragments)
-    return rank_matched(matched_words(roles, lines), lines, k)
+    return rank_matched(by_role(stored(matched_words(roles, lines), "matched")), lines, k)
 
 
 def cover_matched(matched: DataFrame, lines: DataFrame, k: int) -> DataFrame:
@@ -97,7 +111,7 @@ def cover_fragments(roles: DataFrame, fragments: DataFrame, k: int) -> DataFrame
     a fold over arrays, in the row of the role.
     """
     lines = fragment_words(fragments)
-    return cover_matched(matched_words(roles, lines), lines, k)
+    return cover_matched(by_role(stored(matched_words(roles, lines), "matched")), lines, k)
 
 
 def gap_matched(matched: DataFrame, chosen: DataFrame, lines: DataFrame) -> DataFrame:
@@ -118,7 +132,7 @@ def gap_matched(matched: DataFrame, chosen: DataFrame, lines: DataFrame) -> Data
 def coverage_gap(roles: DataFrame, chosen: DataFrame, fragments: DataFrame) -> DataFrame:
     """Distinct words of each role: needed, covered by its chosen fragments, and missing."""
     lines = fragment_words(fragments)
-    return gap_matched(matched_words(roles, lines), chosen, lines)
+    return gap_matched(by_role(stored(matched_words(roles, lines), "matched")), chosen, lines)
 
 
 def assemble_resume(roles: DataFrame, ranked: DataFrame, fragments: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.operators import (
     assemble_resume,
+    by_role,
     cover_matched,
     fragment_words,
     gap_matched,
@@ -26,7 +27,7 @@ def ranked(spark: SparkSession, folder: str) -> DataFrame:
 def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(matched, lines); texts are read once for all that is asked of them."""
     lines = fragment_words(inputs.fragments(spark, folder))
-    return stored(matched_words(inputs.texts(spark, folder), lines), "matched"), lines
+    return by_role(stored(matched_words(inputs.texts(spark, folder), lines), "matched")), lines
 
 
 def gap(spark: SparkSession, folder: str) -> DataFrame:

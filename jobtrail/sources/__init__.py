@@ -3,11 +3,12 @@ from jobtrail.sources.log import append_log, read_log
 from jobtrail.sources.outbox import outbox_sink, read_outbox, write_outbox
 from jobtrail.sources.postings import add_postings, read_postings
 from jobtrail.sources.shared import new_folder, stored, stored_by
-from jobtrail.sources.tables import read_table, scan_pages, spread, stream_table
+from jobtrail.sources.tables import dealt, read_table, scan_pages, spread, stream_table
 
 __all__ = [
     "add_postings",
     "append_log",
+    "dealt",
     "new_folder",
     "outbox_sink",
     "read_batches",

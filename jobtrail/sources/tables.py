@@ -21,15 +21,29 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def _bytes(df: DataFrame) -> int:
+    """What Spark estimates ``df`` to take, by its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, key: str, each: int) -> DataFrame:
+    """A stored table, dealt by ``key`` to as many tasks as it has ``each`` bytes, or cores if those are more.
+
+    For work that makes many rows of one and groups them by ``key``: these stay in the task, and a task has no more
+    of them the larger the table is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-_bytes(df) // each)), key)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal a table of at most ``SMALL`` bytes, as its files are, over all cores.
 
     For work that is heavy per row, such as reading texts. Larger tables are never moved: they
     are read in many tasks anyway.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if int(str(size)) <= SMALL else df
+    return df.repartition(cores, key) if _bytes(df) <= SMALL else df
 
 
 def stream_table(
