@@ -24,12 +24,15 @@ def previous_pages(spark: SparkSession, folder: str) -> DataFrame:
     return scan_pages(spark, folder).where(~F.col("url").endswith("?utm_source=feed"))
 
 
+def now_there(pages: DataFrame) -> DataFrame:
+    """Pages at ``#top`` are gone by now."""
+    return pages.where(~F.col("url").endswith("#top"))
+
+
 def current_pages(pages: DataFrame) -> DataFrame:
     """The crawl now: pages at ``#top`` are gone, sites without https carry a new footer."""
     footer = F.when(F.col("url").startswith("http:"), "<p>moved</p>").otherwise("")
-    return pages.where(~F.col("url").endswith("#top")).withColumn(
-        "html", F.concat("html", footer)
-    )
+    return now_there(pages).withColumn("html", F.concat("html", footer))
 
 
 def roles(spark: SparkSession, folder: str) -> DataFrame:

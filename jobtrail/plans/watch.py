@@ -58,14 +58,15 @@ def unseen(spark: SparkSession, folder: str) -> DataFrame:
 def unseen_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The pages arrive in parts by id, each in one file in order; those that are read again show nothing new."""
     inbox = new_folder(spark, "pages")
-    pages = scan_pages(spark, folder)
+    # Keys need the address only. All tasks read; the one that writes a part gets no html.
+    pages = scan_pages(spark, folder).select("page_id", "url")
     for part in range(PARTS):
         arrived = pages.where(F.pmod("page_id", F.lit(PARTS)) == part)
-        arrived.coalesce(1).sortWithinPartitions("page_id").write.mode("append").parquet(inbox)
+        arrived.repartition(1).sortWithinPartitions("page_id").write.mode("append").parquet(inbox)
     seen = stored(page_key(inputs.previous_pages(spark, folder)).select("page_key").distinct(), "seen-keys")
     out = new_folder(spark, "new-roles")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    arriving = page_key(inputs.current_pages(stream))
+    arriving = page_key(inputs.now_there(stream))
     run_to_end(new_keys(arriving, seen), outbox_sink(f"{out}/keys"), f"{out}/checkpoint")
     return read_outbox(spark, f"{out}/keys", "page_id bigint, url string, page_key string, batch bigint").drop("batch")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jobtrail import plans
 from jobtrail.operators import by_role, cover_matched, fragment_words, gap_matched, matched_words, rank_matched, tailor
+from jobtrail.plans import watch
 from jobtrail.sources import stored
 
 
@@ -41,3 +42,13 @@ def test_plans_shuffle_no_rows_per_role_and_fragment(spark):
         plan = plan_of(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Exchange hashpartitioning(role_id" in plan and "hashpartitioning(role_id#" in plan
         assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning(role_id" in line), name
+
+
+def test_arriving_pages_carry_no_html(spark, tmp_path, monkeypatch):
+    """Html in one task is as much as the pages are."""
+    monkeypatch.setattr(watch, "new_folder", lambda _, purpose: str(tmp_path / purpose))
+    watch.unseen_stream(spark, "/root/testdata/sf0.001")
+    arrived = spark.read.parquet(str(tmp_path / "pages"))
+    assert arrived.columns == ["page_id", "url"]
+    assert arrived.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    assert len(arrived.inputFiles()) == watch.PARTS
