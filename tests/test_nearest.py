@@ -1,5 +1,8 @@
 """Nearest roles by cells: recall of a probe, exactness of the whole search, awkward vectors."""
 
+import sys
+import time
+
 import numpy as np
 import pytest
 from helpers import rows
@@ -83,3 +86,47 @@ def test_small_tables(spark, given):
     directions, index, bounds = index_of(spark.createDataFrame(given, VECTORS), 4)
     found = stored(probe(directions, index, bounds), "probed")
     assert nearest(directions, index, bounds, found).collect() == []
+
+
+def test_tiles_of_cells_hand_on_the_best_only(spark, vectors, monkeypatch):
+    module = sys.modules["jobtrail.operators.nearest"]
+    # Tiles of 20 vectors, multiplied 7 searches and 6 roles at a time.
+    for name, value in {"TILE": 20 * 16, "STRIP": 7, "COLUMNS": 6}.items():
+        monkeypatch.setattr(module, name, value)
+    again = [(20, vectors[0][1]), (0, vectors[5][1]), (None, vectors[1][1])]  # ids that repeat, and none
+    directions, index, bounds = index_of(spark.createDataFrame(vectors + again, VECTORS), 4)
+    once = directions.where("role_id % 20 = 0 AND role_id NOT IN (0, 20)")
+    known = vectors + again[:2]
+    expected = brute(known, [key for key, _ in vectors if key % 20 == 0 and key > 20], 10)
+    for probes in (1, 4):
+        found = stored(probe(once, index, bounds, 10, probes), "probed")
+        assert by_search(nearest(once, index, bounds, found, 10, probes)) == expected
+    sizes = {row.cell: row.n for row in bounds.collect()}
+    assert sum(sizes.values()) == len(known) + 1
+    wishes = module._wishes(once, bounds).selectExpr("*", "CAST(NULL AS double) AS least")
+    handed = module._scores(once, wishes, wishes["cells"], index, bounds, 3).groupBy("search_id").count()
+    tiles = sum(-(-n // 20) for n in sizes.values())
+    assert max(row["count"] for row in handed.collect()) <= 3 * tiles < len(known)
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    # Products within a few units of the last place of where rounding changes, of both signs.
+    rng = np.random.default_rng(3)
+    halves = (rng.integers(-(10**9), 10**9, 400) + 0.5) / 1e9
+    halves = np.concatenate([halves, np.nextafter(halves, 2), np.nextafter(halves, -2)])
+    given = [(20, [1.0, 0.0])] + [(1000 + i, [float(x), float(np.sqrt(1 - x * x))]) for i, x in enumerate(halves)]
+    directions = spark.createDataFrame([(key, unit) for key, unit in given], "role_id bigint, unit array<double>")
+    index = directions.selectExpr("0 AS cell", "role_id", "unit", "acos(unit[0]) AS angle")
+    centres = spark.createDataFrame([(0, [1.0, 0.0])], "cell int, centre array<double>")
+    index, centres = stored(index, "cells"), stored(centres, "centres")
+    found = probe(directions.where("role_id = 20"), index, cell_bounds(index, centres), len(given), 1)
+    expected = directions.where("role_id > 20").selectExpr("role_id", "round(0.0D + 1.0D * unit[0] + 0.0D * unit[1], 9) AS score")
+    assert rows(found, "role_id", "score") == rows(expected, "role_id", "score")
+
+
+def test_units_take_time_in_proportion_to_their_length(spark):
+    long = spark.range(4).selectExpr("id AS role_id", "transform(sequence(1, 20000), i -> CAST(i % 7 AS float)) AS embedding")
+    units(long.limit(0)).collect()
+    start = time.time()
+    assert [round(row.n, 9) for row in units(long).selectExpr("aggregate(unit, 0D, (s, x) -> s + x * x) AS n").collect()] == [1.0] * 4
+    assert time.time() - start < 10
