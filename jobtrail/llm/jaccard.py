@@ -50,6 +50,8 @@ PERCENT = 75
 #: Bytes of text in a block, and documents, whose numbers take two bytes.
 BLOCK = 6 << 20
 MOST_DOCS = 60_000
+#: Bytes of text whose words and shingles are worked out at a time: these take some thirty times as much memory.
+SLICE = 1 << 19
 #: Bytes of a token besides its bucket.
 TOKEN = 5
 #: From so many documents of a block on, a token is counted there: what it then takes is less than it saves.
@@ -160,14 +162,14 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut to blocks."""
+def _pieces(batches: Iterator[pa.RecordBatch], bytes_each: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to blocks, or blocks to slices."""
     for batch in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
         upto, start = np.cumsum(size), 0
         while start < len(size):
             done = upto[start] - size[start]
-            stop = max(start + 1, int(np.searchsorted(upto, done + BLOCK, "right")))
+            stop = max(start + 1, int(np.searchsorted(upto, done + bytes_each, "right")))
             stop = min(stop, start + MOST_DOCS)
             yield batch.slice(start, stop - start)
             start = stop
@@ -183,6 +185,20 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0]).astype(np.int64)
 
 
+def _sets(block: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``distinct`` of the shingles of a block's texts, of which only a slice is spread out to words at a time."""
+    found, docs = [], 0
+    for part in _pieces([block], SLICE):
+        tokens, owner, n, sums = distinct(*shingles(*word_hashes(*_flat(part.column(1))), words), len(part))
+        found.append((tokens, owner + np.uint16(docs), n, sums))
+        docs += len(part)
+    tokens, owner, n, sums = (np.concatenate(values, axis=-1) for values in zip(*found))
+    del found
+    # Slices are in the order of documents, so those with the same token stay in it.
+    order = np.argsort(tokens, kind="stable")
+    return tokens[order], owner[order], n, sums
+
+
 def _tails(keys: np.ndarray) -> np.ndarray:
     """The bytes of each key that its bucket does not tell."""
     return np.ascontiguousarray(keys).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN]
@@ -204,16 +220,16 @@ def _cut(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         edges = np.arange(1, 1 << bits, dtype=U) << U(8 * TOKEN)
-        for number, piece in enumerate(_pieces(batches)):
+        for number, piece in enumerate(_pieces(batches, BLOCK)):
             block = task << 32 | number
-            hashes, count = word_hashes(*_flat(piece.column(1)))
-            tokens, owner, n, sums = distinct(*shingles(hashes, count, words), len(piece))
+            tokens, owner, n, sums = _sets(piece, words)
             ids = piece.column(0)
             about = np.zeros((5, len(piece)), np.int64)
             about[0] = pa.compute.fill_null(ids, 0).to_numpy()
             about[1] = pa.compute.is_null(ids).to_numpy(zero_copy_only=False)
             about[2], about[3:] = n, sums.view(np.int64)
             keys = tokens >> U(64 - bits - 8 * TOKEN)
+            del tokens
             starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, int)
             members = np.diff(np.append(starts, len(keys)))
             many = members >= CROWD

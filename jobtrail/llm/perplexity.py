@@ -109,17 +109,10 @@ def _parts(sizes: np.ndarray) -> Iterator[slice]:
             yield slice(int(start), int(stop))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[slice, list]]:
-    column = batch.column(batch.num_columns - 1)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy().astype(np.int64)
-    for rows in _parts(sizes):
-        yield rows, column.slice(rows.start, rows.stop - rows.start).to_pylist()
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[slice, list, np.ndarray]]:
-    """Rows, texts and halves; the last column has the texts and the one before it the halves."""
-    column = batch.column(batch.num_columns - 1)
-    halves = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+def _texts(batch: pa.RecordBatch, text: int) -> Iterator[tuple[slice, list, np.ndarray]]:
+    """Rows, texts and halves; column ``text`` has the texts and the last one the halves."""
+    column = batch.column(text)
+    halves = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
     sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy().astype(np.int64)
     for rows in _parts(sizes):
         yield rows, column.slice(rows.start, rows.stop - rows.start).to_pylist(), halves[rows]
@@ -148,7 +141,7 @@ def window_counts(docs: DataFrame, text: str) -> DataFrame:
             )
 
         for batch in batches:
-            for _, texts, halves in _texts(batch):
+            for _, texts, halves in _texts(batch, 0):
                 found, place, _ = _windows(texts, halves)
                 both = np.concatenate([codes, found])
                 numbers = np.concatenate([counts, np.bincount(place, minlength=len(found))])
@@ -160,7 +153,7 @@ def window_counts(docs: DataFrame, text: str) -> DataFrame:
                     codes, counts = codes[:0], counts[:0]
         yield rows()
 
-    body = docs.select(_half(quoted(text)).alias("half"), quoted(text).alias("text"))
+    body = docs.select(quoted(text).alias("text"), _half(quoted(text)).alias("half"))
     found = body.mapInArrow(count, "half long, code long, n long")
     return found.groupBy("half", "code").agg(F.sum("n").alias("n"))
 
@@ -294,16 +287,19 @@ def scored(docs: DataFrame, text: str, shards: list, names: list[str]) -> DataFr
     With several shards the rows are numbered and written, each shard makes a pass over the texts, and the bits are added up.
     """
     fields = [T.StructField(name, T.DoubleType() if at % 2 == 0 else T.LongType()) for at, name in enumerate(names)]
-    half, body = fresh(docs, "half", "body")
+    (half,) = fresh(docs, "half")
 
     def passed(rows: DataFrame, part: Shard) -> DataFrame:
+        # The texts go along once, as the column that they are.
+        same = [name == text for name in rows.columns]
+        body = same.index(True) if any(same) else [name.lower() for name in rows.columns].index(text.lower())
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for batch in batches:
                 # Small batches go back, so that texts fill no memory on their way.
-                for rows, texts, halves in _texts(batch):
+                for rows, texts, halves in _texts(batch, body):
                     codes, place, count = _windows(texts, halves)
                     bits, edge = table.bits(codes)[place], at_edge(codes)[place]
                     ends = np.cumsum(count)
@@ -315,7 +311,7 @@ def scored(docs: DataFrame, text: str, shards: list, names: list[str]) -> DataFr
                         [*out.schema.names[:-1], *names],
                     )
 
-        return map_rows(rows.withColumns({half: _half(quoted(text)), body: quoted(text)}), run, *fields).drop(half)
+        return map_rows(rows.withColumn(half, _half(quoted(text))), run, *fields)
 
     if len(shards) == 1:
         return passed(docs, shards[0]())
